@@ -3,3 +3,38 @@
 from __future__ import annotations
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op5_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm)
+"""
+
+ORACLE_SQL["op3_mixing"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM docs GROUP BY source
+), weighed AS (
+  SELECT source, source_size, n % 3 AS class, [5, 2, 1][n % 3 + 1] AS weight, 2 * source_size AS most, 2.0::DOUBLE * source_size / [5, 2, 1][n % 3 + 1] AS fills FROM sizes
+), levels AS (
+  SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(most) OVER b, 0)::DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+  FROM weighed WINDOW b AS (ORDER BY fills, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), plan AS (
+  SELECT source, source_size, class, least(most::DOUBLE, (SELECT level FROM levels WHERE level < fills ORDER BY fills LIMIT 1) * weight) AS target FROM levels
+), laid AS (
+  SELECT doc_id, size, source_size, class, target, floor(target + 0.5)::BIGINT AS lim,
+         coalesce(sum(size) OVER (PARTITION BY docs.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM docs JOIN plan ON docs.source IS NOT DISTINCT FROM plan.source
+), taken AS (
+  SELECT *, greatest(0, least(size, lim - start)) AS t0, greatest(0, least(size, lim - start - source_size)) AS t1, start::DOUBLE / nullif(target, 0) AS y FROM laid
+)
+SELECT doc_id, size, source_size, target, (t0 + t1)::BIGINT AS taken,
+       CASE WHEN t0 > 0 THEN floor(1e9::DOUBLE * CASE class
+         WHEN 0 THEN 2 * y / (1.5::DOUBLE + sqrt(greatest(0, 2.25::DOUBLE - 2 * y)))
+         WHEN 1 THEN 2 * y / (1 + sqrt(1::DOUBLE))
+         ELSE CASE WHEN y >= 0.375 THEN 0.5 + 2 * (y - 0.375::DOUBLE) / (1 + sqrt(greatest(0, 1 + 2 * (y - 0.375::DOUBLE)))) ELSE 2 * y / (0.5::DOUBLE + sqrt(greatest(0, 0.25::DOUBLE + 2 * y))) END
+       END) / 1e9::DOUBLE END AS position
+FROM taken
+"""
