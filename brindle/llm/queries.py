@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import exact_dedup, mixing, quality, sharding, simhash
+from brindle.llm import bpe, exact_dedup, mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,3 +47,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return out.select("doc_id", "bpe.*")
