@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, exact_dedup, mixing, quality, sharding, simhash
+from brindle.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, quality, sharding, simhash, url_filter
+
+#: (verdict, host and path) of the explicit URL rules
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -54,3 +57,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return out.select("doc_id", "bpe.*")
+
+
+@_query
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return line_dedup.drop_page_lines(pages).select("page_id", "lines.*")
+
+
+@_query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extracted(pages).select("page_id", "url", "extracted.*")

@@ -38,3 +38,24 @@ SELECT doc_id, size, source_size, target, (t0 + t1)::BIGINT AS taken,
        END) / 1e9::DOUBLE END AS position
 FROM taken
 """
+
+ORACLE_SQL["op10_line_dedup"] = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>', ' ', 'g'),
+      '(?i)</?(p|div|li|ul|ol|h[1-6]|nav|header|footer|article|aside|section|main|table|tr|td|th|br|form|body|html|head)\b[^>]*>', chr(10), 'g'),
+      '<[^>]*>', '', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') AS lines
+  FROM pages
+), hosts AS (
+  SELECT host, count(*) AS n FROM p GROUP BY host
+), common AS (
+  SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) JOIN hosts USING (host)
+  GROUP BY host, line, n HAVING count(*) >= 3 AND count(*) * 100 > n * 30
+), sets AS (
+  SELECT host, list(line) AS dropped FROM common GROUP BY host
+), kept AS (
+  SELECT page_id, host, lines, list_filter(lines, lambda s: NOT list_contains(coalesce(dropped, []), s)) AS stay FROM p LEFT JOIN sets USING (host)
+)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_dropped, coalesce(array_to_string(stay, chr(10)), '') AS text FROM kept
+"""
