@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, quality, sharding, simhash, url_filter
+from brindle.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, url_filter
 
 #: (verdict, host and path) of the explicit URL rules
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -74,3 +74,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extracted(pages).select("page_id", "url", "extracted.*")
+
+
+@_query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.strip_repeats(docs, with_text=False).select("doc_id", "stripped.*")
