@@ -1 +1,364 @@
-"""Not filled yet."""
+"""Scoring queries. The embeddings' labels 0 to 7 are in scope; 8 and 9 stand for inputs that the model never saw."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from brindle.functions import text as X
+from brindle.operators import corpus as C
+from brindle.operators import scoring as S
+from brindle.plans import oracle as O
+from brindle.plans.catalog import query
+from brindle.plans.corpus import docs
+from brindle.sources.tables import inline, table, values
+
+TEMPERATURE = 0.1
+IN_SCOPE = 8
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("gold"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def scored(spark: SparkSession, sf: str, temperature: float = TEMPERATURE) -> DataFrame:
+    rows = vectors(spark, sf)
+    model = S.prototypes(rows.filter(F.col("gold") < IN_SCOPE), "v", "gold")
+    out = S.scored(S.with_logits(rows, "v", model), temperature)
+    return out.withColumns({"ood": F.col("gold") >= IN_SCOPE, "correct": F.col("gold") == F.col("pred"), "c": F.floor(F.col("conf") * 200).cast("int"), "m": F.floor(F.col("margin") * 20).cast("int")})
+
+
+MODEL = f"""e AS (SELECT vec_id, label::BIGINT AS gold, embedding::DOUBLE[] AS v FROM embeddings),
+cell AS (SELECT gold AS label, i, avg(v[i]) AS x FROM e, range(1, 65) r(i) WHERE gold < {IN_SCOPE} GROUP BY ALL), mean AS (SELECT label, list(x ORDER BY i) AS mean FROM cell GROUP BY label),
+model AS (SELECT label, list_transform(mean, lambda x: x / sqrt(list_sum(list_transform(mean, lambda y: y * y)))) AS w FROM mean),
+z AS (SELECT vec_id, gold, label, v, list_dot_product(v, w) AS z FROM e, model)"""
+
+
+def prelude(temperature: float = TEMPERATURE) -> str:
+    return f"""{MODEL}, x AS (SELECT *, exp((z - max(z) OVER (PARTITION BY vec_id)) / {temperature}::DOUBLE) AS x FROM z), p AS (SELECT vec_id, gold, label, z, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, label) AS n FROM p),
+s AS (SELECT vec_id, gold, max(label) FILTER (n = 1) AS pred, max(p) FILTER (n = 1) AS conf, max(label) FILTER (n = 2) AS runner_up, max(p) FILTER (n = 2) AS second, max(p) FILTER (n = 1) - max(p) FILTER (n = 2) AS margin,
+ -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS entropy, gold >= {IN_SCOPE} AS ood, gold = max(label) FILTER (n = 1) AS correct, floor(max(p) FILTER (n = 1) * 200)::INT AS c, floor((max(p) FILTER (n = 1) - max(p) FILTER (n = 2)) * 20)::INT AS m FROM r GROUP BY vec_id, gold)"""
+
+
+SCORED = prelude()
+
+
+@query(f"WITH {SCORED} SELECT vec_id, label, round(p, 6) AS p FROM p")
+def softmax_T(spark, sf):
+    s = scored(spark, sf)
+    return s.select("vec_id", F.explode(F.zip_with("p", "z", lambda p, z: F.struct(z["label"].alias("label"), F.round(p, 6).alias("p")))).alias("x")).select("vec_id", "x.*")
+
+
+@query("WITH m(model, temperature) AS (VALUES ('a', 0.5::DOUBLE), ('b', NULL), ('c', NULL)), f(model, fitted) AS (VALUES ('a', 0.65::DOUBLE), ('b', 0.7::DOUBLE)) SELECT model, coalesce(fitted, temperature, 1.0::DOUBLE) AS temperature FROM m LEFT JOIN f USING (model)")
+def temperature_precedence(spark, sf):
+    weights = inline(spark, "model string, temperature double", [("a", 0.5), ("b", None), ("c", None)])
+    fitted = inline(spark, "model string, fitted double", [("a", 0.65), ("b", 0.7)])
+    return weights.join(fitted, "model", "left").select("model", F.coalesce("fitted", "temperature", F.lit(1.0)).alias("temperature"))
+
+
+@query(f"WITH {SCORED} SELECT vec_id, pred, runner_up, round(conf, 6) AS conf, round(second, 6) AS second, round(margin, 6) AS margin FROM s")
+def top1_top2_margin(spark, sf):
+    return scored(spark, sf).select("vec_id", "pred", "runner_up", *(F.round(c, 6).alias(c) for c in ("conf", "second", "margin")))
+
+
+@query(f"WITH {SCORED} SELECT vec_id, round(entropy, 6) AS entropy FROM s")
+def entropy(spark, sf):
+    return scored(spark, sf).select("vec_id", F.round("entropy", 6).alias("entropy"))
+
+
+@query(f"WITH {SCORED} SELECT vec_id, conf >= 0.70 AND margin >= 0.20 AS accepted FROM s")
+def gate_gap(spark, sf):
+    return scored(spark, sf).select("vec_id", ((F.col("conf") >= 0.70) & (F.col("margin") >= 0.20)).alias("accepted"))
+
+
+@query(f"WITH {SCORED} SELECT vec_id, conf >= 0.6 AND margin >= 0.2 AND entropy <= 1.0 AS accepted FROM s")
+def gate_conf_margin_entropy(spark, sf):
+    return scored(spark, sf).select("vec_id", ((F.col("conf") >= 0.6) & (F.col("margin") >= 0.2) & (F.col("entropy") <= 1.0)).alias("accepted"))
+
+
+_OOD = "o AS (SELECT e.vec_id, min(sqrt(list_sum(list_transform(list_zip(e.v, mean.mean), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))) AS distance FROM e, mean GROUP BY e.vec_id)"
+
+
+def distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance to the nearest class mean: the whitened distance where the within-class covariance is the identity."""
+    rows = vectors(spark, sf)
+    model = S.centroids(rows.filter(F.col("gold") < IN_SCOPE), "v", "gold").agg(F.collect_list("mean").alias("means"))
+    far = F.array_min(F.transform("means", lambda m: S.norm(F.zip_with("v", m, lambda a, b: a - b))))
+    return rows.crossJoin(F.broadcast(model)).select("vec_id", "gold", far.alias("distance"))
+
+
+@query(f"WITH {MODEL}, {_OOD} SELECT vec_id, round(distance, 6) AS distance FROM o")
+def ood_mahalanobis(spark, sf):
+    return distances(spark, sf).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {SCORED} SELECT vec_id, round(-(max(z) + ln(sum(exp(z - m)))), 6) AS energy FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM z) GROUP BY vec_id")
+def ood_energy(spark, sf):
+    return scored(spark, sf).select("vec_id", F.round(S.energy(F.transform("z", lambda s: s["z"])), 6).alias("energy"))
+
+
+@query(f"""WITH {SCORED}, {_OOD} SELECT vec_id, pred, CASE WHEN pred = 7 THEN 'unsupported' WHEN distance > 1.0 THEN 'ood' WHEN conf < CASE WHEN pred IN (0, 1) THEN 0.9 ELSE 0.6 END THEN 'confidence' WHEN margin < 0.3 THEN 'margin' ELSE 'accepted' END AS reason FROM s JOIN o USING (vec_id)""")
+def safety_gate(spark, sf):
+    rows = scored(spark, sf).join(distances(spark, sf).select("vec_id", "distance"), "vec_id")
+    floor = F.when(F.col("pred").isin(0, 1), 0.9).otherwise(0.6)
+    reason = F.when(F.col("pred") == 7, "unsupported").when(F.col("distance") > 1.0, "ood").when(F.col("conf") < floor, "confidence").when(F.col("margin") < 0.3, "margin").otherwise("accepted")
+    return rows.select("vec_id", "pred", reason.alias("reason"))
+
+
+@query(f"WITH {SCORED} SELECT vec_id, label, round(z, 6) AS z FROM z")
+def head_classify(spark, sf):
+    return scored(spark, sf).select("vec_id", F.explode("z").alias("x")).select("vec_id", "x.label", F.round("x.z", 6).alias("z"))
+
+
+@query(f"WITH {SCORED} SELECT vec_id, round(p, 6) AS p FROM p WHERE label = vec_id % 8")
+def calibrated_conf_of(spark, sf):
+    return scored(spark, sf).select("vec_id", F.round(F.element_at("p", (F.col("vec_id") % 8 + 1).cast("int")), 6).alias("p"))
+
+
+
+
+@query(f"""WITH {SCORED}, y AS (SELECT vec_id, label, exp((z - max(z) OVER (PARTITION BY vec_id)) / 0.5::DOUBLE) AS y FROM z), q AS (SELECT vec_id, label, y / sum(y) OVER (PARTITION BY vec_id) AS q FROM y)
+SELECT vec_id, label, round((p + q) / 2, 6) AS p FROM p JOIN q USING (vec_id, label)""")
+def avg_ensemble(spark, sf):
+    s = scored(spark, sf).withColumn("q", S.softmax(F.transform("z", lambda s: s["z"]), 0.5))
+    mean = F.zip_with(F.zip_with("p", "q", lambda a, b: (a + b) / 2), "z", lambda p, z: F.struct(z["label"].alias("label"), F.round(p, 6).alias("p")))
+    return s.select("vec_id", F.explode(mean).alias("x")).select("vec_id", "x.*")
+
+
+@query(f"WITH {MODEL} SELECT label, i - 1 AS i, round(mean[i], 6) AS x FROM mean, range(1, 65) r(i)")
+def class_centroids(spark, sf):
+    rows = vectors(spark, sf).filter(F.col("gold") < IN_SCOPE)
+    return S.centroids(rows, "v", "gold").select("label", F.posexplode("mean").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {MODEL} SELECT label, round(w[1], 6) AS w1, len(w)::BIGINT AS n FROM model")
+def prototypes_mean(spark, sf):
+    rows = vectors(spark, sf).filter(F.col("gold") < IN_SCOPE)
+    return S.prototypes(rows, "v", "gold").select("label", F.round(F.get("w", F.lit(0)), 6).alias("w1"), F.size("w").cast("long").alias("n"))
+
+
+@query()
+def prototypes_kmeans(spark, sf):
+    """k-means centroids for each in-scope label; labels are few and fixed, so a fit for each is bounded."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors(spark, sf).filter(F.col("gold") < IN_SCOPE).select("gold", array_to_vector("v").alias("features"))
+    out = None
+    for label in range(IN_SCOPE):
+        model = KMeans(k=4, seed=42, maxIter=20).fit(rows.filter(F.col("gold") == label))
+        part = spark.createDataFrame([(label, i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "label int, k int, centre array<double>")
+        out = part if out is None else out.union(part)
+    return out.withColumn("size", F.size("centre")) if vector_to_array else out
+
+
+@query()
+def logreg_fit(spark, sf):
+    """Multinomial logistic regression with balanced weights; the row says how often it is right on its own data."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors(spark, sf).filter(F.col("gold") < IN_SCOPE)
+    weighed = rows.join(F.broadcast(C.class_weights(rows, "gold").select("gold", "weight")), "gold")
+    data = weighed.select(F.col("gold").cast("double").alias("label"), "weight", array_to_vector("v").alias("features"))
+    model = LogisticRegression(weightCol="weight", regParam=0.01, maxIter=30, family="multinomial").fit(data)
+    return model.transform(data).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+
+
+@query(f"WITH {MODEL}, {_OOD}, q AS (SELECT distance FROM o JOIN e USING (vec_id) WHERE gold < {IN_SCOPE}) SELECT unnest([50.0, 90.0, 95.0, 97.5, 99.0, 100.0]::DOUBLE[]) AS q, round(unnest(quantile_cont(distance, [0.5::DOUBLE, 0.9::DOUBLE, 0.95::DOUBLE, 0.975::DOUBLE, 0.99::DOUBLE, 1.0::DOUBLE])), 6) AS distance FROM q")
+def quantiles_train(spark, sf):
+    qs = [50.0, 90.0, 95.0, 97.5, 99.0, 100.0]
+    d = distances(spark, sf).filter(F.col("gold") < IN_SCOPE).agg(F.percentile("distance", F.array(*(F.lit(q / 100) for q in qs))).alias("d"))
+    return d.select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("d").alias("d"))).alias("x")).select(F.col("x.q"), F.round("x.d", 6).alias("distance"))
+
+
+def _nearest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vectors(spark, sf)
+    asked = rows.filter(F.col("gold") >= IN_SCOPE).select("vec_id", "v")
+    index = rows.filter(F.col("gold") < IN_SCOPE).select(F.col("vec_id").alias("nn_id"), F.col("v").alias("u"), F.col("gold").alias("label"))
+    return asked.crossJoin(index).select("vec_id", "nn_id", "label", S.dot(F.col("v"), F.col("u")).alias("score"))
+
+
+_NN = f"""e AS (SELECT vec_id, label::BIGINT AS gold, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.vec_id, b.vec_id AS nn_id, b.gold AS label, list_dot_product(a.v, b.v) AS score FROM e a, e b WHERE a.gold >= {IN_SCOPE} AND b.gold < {IN_SCOPE})"""
+
+
+@query(f"WITH {_NN} SELECT vec_id, nn_id, round(score, 5) AS score FROM n QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, nn_id) = 1")
+def semantic_1nn_index(spark, sf):
+    """Stated queries (the out-of-scope rows) against the whole index; the maximum is a partial aggregate."""
+    best = F.max(F.struct("score", (-F.col("nn_id")).alias("nn")))
+    return _nearest(spark, sf).groupBy("vec_id").agg(best.alias("b")).select("vec_id", (-F.col("b.nn")).alias("nn_id"), F.round("b.score", 5).alias("score"))
+
+
+@query(f"WITH {SCORED} SELECT vec_id, round(max(z), 6) AS score FROM z GROUP BY vec_id")
+def proto_max_cosine(spark, sf):
+    return scored(spark, sf).select("vec_id", F.round(F.array_max(F.transform("z", lambda s: s["z"])), 6).alias("score"))
+
+
+@query(f"WITH {_NN}, b AS (SELECT nn_id, max(score) AS best FROM n GROUP BY nn_id) SELECT nn_id, round(best, 6) AS best FROM b ORDER BY best DESC, nn_id LIMIT 20")
+def vocab_by_proximity(spark, sf):
+    best = _nearest(spark, sf).groupBy("nn_id").agg(F.max("score").alias("best"))
+    return best.orderBy(F.desc("best"), "nn_id").limit(20).select("nn_id", F.round("best", 6).alias("best"))
+
+
+@query()
+def embed_pca(spark, sf):
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors(spark, sf).select("vec_id", array_to_vector("v").alias("features"))
+    return PCA(k=8, inputCol="features", outputCol="small").fit(rows).transform(rows).select("vec_id", vector_to_array("small").alias("small"))
+
+
+# sparse text scoring
+
+
+def terms(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select("doc_id", F.explode(X.ngrams(F.lower("text"))).alias("term"))
+
+
+_ONE = O.ngram_words("lower(text)")
+TERMS = f"w AS (SELECT doc_id, {_ONE} AS one FROM documents), terms AS (SELECT doc_id, unnest(one) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(one)), lambda i: one[i] || ' ' || one[i + 1])) FROM w)"
+TFIDF = f"{TERMS}, f AS (SELECT term, count(DISTINCT doc_id) AS df FROM terms GROUP BY term HAVING count(DISTINCT doc_id) >= 2), idf AS (SELECT term, df, ln((1 + (SELECT count(DISTINCT doc_id) FROM terms)) / (1 + df)) + 1 AS idf FROM f), raw AS (SELECT doc_id AS doc, term, (1 + ln(count(*))) * any_value(idf) AS w FROM terms JOIN idf USING (term) GROUP BY ALL), v AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM raw)"
+
+
+@query(f"WITH {TERMS} SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT term)::BIGINT AS n_distinct FROM terms GROUP BY doc_id")
+def tokens_1_2gram(spark, sf):
+    return terms(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("n_distinct"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))::BIGINT AS n FROM documents")
+def tokens_device(spark, sf):
+    return docs(spark, sf).select("doc_id", F.size(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")).cast("long").alias("n"))
+
+
+@query(f"WITH {TFIDF} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
+def tfidf_fit(spark, sf):
+    return S.tfidf_fit(terms(spark, sf), "doc_id", "term").withColumn("idf", F.round("idf", 6))
+
+
+def tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    t = terms(spark, sf)
+    return S.tfidf_vectors(t, "doc_id", "term", S.tfidf_fit(t, "doc_id", "term"))
+
+
+@query(f"WITH {TFIDF} SELECT doc, term, round(w, 6) AS w FROM v")
+def tfidf_vector(spark, sf):
+    return tfidf(spark, sf).withColumn("w", F.round("w", 6))
+
+
+_COEF = "coef AS (SELECT term, label, w AS coef FROM (SELECT term, lang AS label, avg(w) AS w FROM v JOIN documents ON doc = doc_id GROUP BY ALL)), bias(label, b) AS (VALUES ('en', 0.1::DOUBLE), ('fr', 0.0::DOUBLE), ('de', 0.0::DOUBLE), ('es', 0.0::DOUBLE))"
+
+
+def _weights(spark: SparkSession, sf: str, v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    lang = docs(spark, sf).select(F.col("doc_id").alias("doc"), F.col("lang").alias("label"))
+    coef = v.join(lang, "doc").groupBy("term", "label").agg(F.avg("w").alias("coef"))
+    return coef, inline(spark, "label string, b double", [("en", 0.1), ("fr", 0.0), ("de", 0.0), ("es", 0.0)])
+
+
+@query(f"WITH {TFIDF}, {_COEF}, g AS (SELECT doc, label, sum(w * coef) AS s FROM v JOIN coef USING (term) GROUP BY ALL) SELECT d.doc_id AS doc, b.label, round(coalesce(s, 0) + b, 6) AS z FROM documents d CROSS JOIN bias b LEFT JOIN g ON g.doc = d.doc_id AND g.label = b.label")
+def linear_logits(spark, sf):
+    v = tfidf(spark, sf)
+    coef, bias = _weights(spark, sf, v)
+    out = S.linear_logits(docs(spark, sf).select(F.col("doc_id").alias("doc")), v, coef, bias)
+    return out.withColumn("z", F.round("z", 6))
+
+
+@query(f"WITH {TFIDF}, {_COEF} SELECT DISTINCT term FROM (SELECT term, row_number() OVER (PARTITION BY label ORDER BY round(abs(coef), 9) DESC, term) AS n FROM coef) WHERE n <= 50")
+def feature_prune(spark, sf):
+    coef, _ = _weights(spark, sf, tfidf(spark, sf))
+    return C.top_per_label(coef, "label", -F.round(F.abs("coef"), 9), 50, "term").select("term").distinct()
+
+
+_VOCAB = f"t AS (SELECT doc_id, source, unnest({_ONE}) AS term FROM documents), vocab AS (SELECT term FROM t WHERE source NOT IN ('src1', 'src2', 'src3') GROUP BY term HAVING count(DISTINCT doc_id) >= 2)"
+
+
+def _vocabulary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    one = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    t = docs(spark, sf).select("doc_id", "source", F.explode(one).alias("term"))
+    known = t.filter(~F.col("source").isin("src1", "src2", "src3")).groupBy("term").agg(F.countDistinct("doc_id").alias("df")).filter("df >= 2")
+    return t, known.select("term", F.lit(True).alias("known"))
+
+
+@query(f"WITH {_VOCAB}, r AS (SELECT doc_id, avg((term NOT IN (FROM vocab))::INT) AS ratio FROM t GROUP BY doc_id) SELECT doc_id, round(coalesce(ratio, 0), 6) AS ratio FROM documents LEFT JOIN r USING (doc_id)")
+def oov_ratio(spark, sf):
+    t, known = _vocabulary(spark, sf)
+    r = t.join(known, "term", "left").groupBy("doc_id").agg(F.avg(F.col("known").isNull().cast("int")).alias("ratio"))
+    return docs(spark, sf).select("doc_id").join(r, "doc_id", "left").select("doc_id", F.round(F.coalesce("ratio", F.lit(0.0)), 6).alias("ratio"))
+
+
+@query(f"WITH {_VOCAB}, used AS (SELECT DISTINCT term FROM t WHERE source IN ('src1', 'src2', 'src3')) SELECT count(*)::BIGINT AS n, count(*) FILTER (term IN (FROM used))::BIGINT AS used, round(1 - count(*) FILTER (term IN (FROM used)) / count(*), 6) AS dead_share FROM vocab")
+def vocab_health(spark, sf):
+    t, known = _vocabulary(spark, sf)
+    used = t.filter(F.col("source").isin("src1", "src2", "src3")).select("term").distinct().withColumn("used", F.lit(True))
+    return known.join(used, "term", "left").agg(F.count("*").alias("n"), F.count("used").alias("used"), F.round(1 - F.count("used") / F.count("*"), 6).alias("dead_share"))
+
+
+@query(f"WITH {_VOCAB} SELECT term FROM vocab")
+def scan_onnx_vocab(spark, sf):
+    return _vocabulary(spark, sf)[1].select("term")
+
+
+@query(f"WITH {_VOCAB} SELECT source, round(avg((term NOT IN (FROM vocab))::INT), 6) AS rate FROM t GROUP BY source")
+def unk_rate(spark, sf):
+    t, known = _vocabulary(spark, sf)
+    return t.join(known, "term", "left").groupBy("source").agg(F.round(F.avg(F.col("known").isNull().cast("int")), 6).alias("rate"))
+
+
+@query(f"""WITH {_VOCAB}, ids AS (SELECT term, row_number() OVER (ORDER BY term) + 1 AS id FROM vocab), m AS (SELECT doc_id, unnest({_ONE}) AS term, unnest(range(1, len({_ONE}) + 1)) AS pos FROM documents)
+SELECT doc_id, pos, coalesce(id, 1)::BIGINT AS id FROM m LEFT JOIN ids USING (term)""")
+def encode_pad(spark, sf):
+    """Ids of the words by rank in the sorted vocabulary, 1 for unknown ones; ranks run over range partitions."""
+    _, known = _vocabulary(spark, sf)
+    parts = known.select("term").repartitionByRange("term").sortWithinPartitions("term").withColumn("part", F.spark_partition_id())
+    parts = C.checkpointed(parts.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("term"))))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    ids = parts.join(F.broadcast(starts), "part").select("term", (F.col("start") + F.col("n") + 1).alias("id"))
+    one = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    words = docs(spark, sf).select("doc_id", F.posexplode(one).alias("pos", "term"))
+    return words.join(ids, "term", "left").select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.coalesce("id", F.lit(1)).cast("long").alias("id"))
+
+
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT vec_id // 4 AS g, i, avg(v[i]) AS x FROM e, range(1, 65) r(i) GROUP BY ALL), n AS (SELECT g, sqrt(sum(x * x)) AS n FROM g GROUP BY g) SELECT g::BIGINT AS g, i - 1 AS i, round(x / n, 6) AS x FROM g JOIN n USING (g)")
+def mean_pool_l2(spark, sf):
+    groups = vectors(spark, sf).select(F.floor(F.col("vec_id") / 4).alias("g"), "v")
+    pooled = S.prototypes(groups, "v", "g")
+    return pooled.select(F.col("label").alias("g"), F.posexplode("w").alias("i", "x")).select("g", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+_SETS = "rows AS (SELECT doc_id AS id, source, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tokens FROM documents)"
+
+
+def _token_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select(F.col("doc_id").alias("id"), "source", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("tokens"))
+
+
+_JACCARD = "len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens)))"
+
+
+@query(f"WITH {_SETS} SELECT a.id AS a, b.id AS b, round({_JACCARD}, 6) AS sim FROM rows a JOIN rows b ON a.source = b.source AND a.id < b.id AND len(a.tokens) > 0 AND len(b.tokens) > 0 WHERE {_JACCARD} >= 0.8")
+def near_dup_within_label(spark, sf):
+    return S.prefix_pairs(_token_sets(spark, sf), 0.8, "source").withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {_SETS}, p AS (SELECT a.id AS doc_id, b.id AS nn_id, round({_JACCARD}, 6) AS sim FROM rows a JOIN rows b ON a.id <> b.id AND len(a.tokens) > 0 AND len(b.tokens) > 0 AND least(len(a.tokens), len(b.tokens)) >= 0.6 * greatest(len(a.tokens), len(b.tokens)) WHERE {_JACCARD} >= 0.6) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, nn_id) <= 4")
+def nearest_jaccard(spark, sf):
+    """The four nearest rows with a similarity of 0.6 and more."""
+    pairs = S.prefix_pairs(_token_sets(spark, sf), 0.6).withColumn("sim", F.round("sim", 6))
+    both = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("nn_id"), "sim").union(pairs.select("b", "a", "sim"))
+    return C.top_per_label(both, "doc_id", -F.col("sim"), 4, "nn_id")
+
+
+_PRUNED = f"{TFIDF}, u AS (SELECT v.*, d.lang FROM v JOIN documents d ON d.doc_id = v.doc), c AS (SELECT a.doc, max(s) AS best FROM (SELECT a.doc, b.doc AS other, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.term = b.term AND a.lang = 'es' AND b.lang <> 'es' GROUP BY ALL) a GROUP BY a.doc)"
+
+
+@query(f"WITH {_PRUNED} SELECT CASE WHEN best < 0.1 THEN 'low' WHEN best < 0.3 THEN 'mid' ELSE 'high' END AS band, count(*)::BIGINT AS n FROM c GROUP BY band")
+def nn_tfidf_cosine_bands(spark, sf):
+    """Best cosine of each out-of-scope text (Spanish) to an in-scope one, by band, over shared terms."""
+    v = tfidf(spark, sf).join(docs(spark, sf).select(F.col("doc_id").alias("doc"), "lang"), "doc")
+    a = v.filter("lang = 'es'").select("doc", "term", "w")
+    b = v.filter("lang <> 'es'").select(F.col("doc").alias("other"), "term", F.col("w").alias("x"))
+    best = a.join(b, "term").groupBy("doc", "other").agg(F.sum(F.col("w") * F.col("x")).alias("s")).groupBy("doc").agg(F.max("s").alias("best"))
+    band = F.when(F.col("best") < 0.1, "low").when(F.col("best") < 0.3, "mid").otherwise("high")
+    return best.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
