@@ -18,6 +18,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often they are used further on.
+
+    The optimiser merges projections, which would copy a costly expression into each place that names it; it
+    doesn't merge them across a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """(label, mean): the mean vector of each label; partial sums run before the shuffle."""
     cells = df.select(F.col(label).alias("label"), F.posexplode(vector).alias("i", "x"))
@@ -35,15 +44,16 @@ def with_logits(df: DataFrame, vector: str, model: DataFrame, name: str = "z") -
     """``df`` with an array of (label, z), by label. The model has a row for each label and travels by broadcast."""
     packed = model.agg(F.array_sort(F.collect_list(F.struct("label", "w"))).alias("__model"))
     z = F.transform("__model", lambda m: F.struct(m["label"].alias("label"), dot(F.col(vector), m["w"]).alias("z")))
-    return df.crossJoin(F.broadcast(packed)).withColumn(name, z).drop("__model")
+    return once(df.crossJoin(F.broadcast(packed)), **{name: z}).drop("__model")
 
 
 def softmax(z: Column, temperature: float) -> Column:
     """Probabilities of an array of logits, shifted by the largest."""
-    top = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp((x - top) / temperature))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    shifted = F.get(F.transform(F.array(F.array_max(z)), lambda top: F.transform(z, lambda x: F.exp((x - top) / temperature))), F.lit(0))
+    e = shifted
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    # the array of one holds the sum, which is then taken once and not for each element
+    return F.get(F.transform(F.array(F.struct(e.alias("e"), total(e).alias("t"))), lambda s: F.transform(s["e"], lambda x: x / s["t"])), F.lit(0))
 
 
 def energy(z: Column) -> Column:
@@ -53,12 +63,12 @@ def energy(z: Column) -> Column:
 
 def scored(df: DataFrame, temperature: float) -> DataFrame:
     """From ``z``: p, pred, conf, second, margin, entropy; ties go to the smaller label."""
-    df = df.withColumn("p", softmax(F.transform("z", lambda s: s["z"]), temperature))
+    df = once(df, p=softmax(F.transform("z", lambda s: s["z"]), temperature))
     best = F.reverse(F.array_sort(F.zip_with("p", "z", lambda p, s: F.struct(p.alias("p"), (-s["label"]).alias("l")))))
-    df = df.withColumn("__best", best)
+    df = once(df, __best=best)
     first, second = F.get("__best", F.lit(0)), F.get("__best", F.lit(1))
     mess = F.aggregate("p", F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.ln(p)).otherwise(F.lit(0.0)))
-    return df.withColumns({"pred": -first["l"], "conf": first["p"], "runner_up": -second["l"], "second": second["p"], "margin": first["p"] - second["p"], "entropy": mess}).drop("__best")
+    return once(df, pred=-first["l"], conf=first["p"], runner_up=-second["l"], second=second["p"], margin=first["p"] - second["p"], entropy=mess).drop("__best")
 
 
 def tfidf_fit(terms: DataFrame, doc: str, term: str, min_df: int = 2) -> DataFrame:
