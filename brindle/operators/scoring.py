@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.rows import once
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -18,15 +20,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with columns that are computed once a row, however often they are used further on.
-
-    The optimiser merges projections, which would copy a costly expression into each place that names it; it
-    doesn't merge them across a generator.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """(label, mean): the mean vector of each label; partial sums run before the shuffle."""
     cells = df.select(F.col(label).alias("label"), F.posexplode(vector).alias("i", "x"))

@@ -1 +1,170 @@
-"""Not filled yet."""
+"""Content compiler and validation queries: catalogue tables in, diagnostics out."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brindle.plans.catalog import query
+from brindle.sources.tables import inline, table, values
+
+INTENTS = [("reminders.add", "reminders", "add", True), ("reminders.list", "reminders", "list", False), ("radio.play", "radio", "play", True), ("orphan.go", "missing", "go", False)]
+SLOTS = [("reminders.add", "topic", "remind"), ("reminders.add", "time", "datetime"), ("radio.play", "station", "station")]
+ENTITIES = [("remind",), ("datetime",), ("unused",)]
+ACTIONS = [("add",), ("list",), ("play",)]
+CAPABILITIES = [("reminders",), ("radio",)]
+TRIGGERS = [("mute", "exact", ["mute", "be quiet"]), ("reminders.add", "regex", ["remind me"]), ("nowhere", "contains", ["x"])]
+_I, _S = values("intent, capability, action, followup", INTENTS), values("intent, slot, entity", SLOTS)
+_EN, _A, _C = values("entity", ENTITIES), values("action", ACTIONS), values("capability", CAPABILITIES)
+_TR = values("intent, kind, terms", TRIGGERS)
+
+
+def intents(spark):
+    return inline(spark, "intent string, capability string, action string, followup boolean", INTENTS)
+
+
+def slots(spark):
+    return inline(spark, "intent string, slot string, entity string", SLOTS)
+
+
+def missing(df: DataFrame, refs: DataFrame, key: str, code: str, where: str) -> DataFrame:
+    """Diagnostics for the rows of ``df`` whose reference isn't there."""
+    return df.join(refs, key, "left_anti").select(F.lit(code).alias("code"), F.col(where).alias("location"), F.col(key).alias("what"))
+
+
+@query(f"SELECT 'V3_ENTITY' AS code, intent AS location, entity AS what FROM {_S} WHERE entity NOT IN (FROM {_EN}) UNION ALL SELECT 'V3_ACTION', intent, action FROM {_I} WHERE action NOT IN (FROM {_A}) UNION ALL SELECT 'V4_CAPABILITY', intent, capability FROM {_I} WHERE capability NOT IN (FROM {_C}) UNION ALL SELECT 'V3_INTENT', kind, intent FROM {_TR} WHERE intent NOT IN (SELECT intent FROM {_I})")
+def ref_resolution(spark, sf):
+    triggers = inline(spark, "intent string, kind string, terms array<string>", TRIGGERS)
+    found = [
+        missing(slots(spark), inline(spark, "entity string", ENTITIES), "entity", "V3_ENTITY", "intent"), missing(intents(spark), inline(spark, "action string", ACTIONS), "action", "V3_ACTION", "intent"),
+        missing(intents(spark), inline(spark, "capability string", CAPABILITIES), "capability", "V4_CAPABILITY", "intent"), missing(triggers, intents(spark).select("intent"), "intent", "V3_INTENT", "kind"),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"SELECT entity AS orphan FROM {_EN} WHERE entity NOT IN (SELECT entity FROM {_S})")
+def v4_orphans(spark, sf):
+    return inline(spark, "entity string", ENTITIES).join(slots(spark), "entity", "left_anti").select(F.col("entity").alias("orphan"))
+
+
+FILES = [("intents/a.json",), ("intents/b.json",), ("policy.json",), ("odd.txt",), ("manifest.json",)]
+SCHEMAS = [("intent", "^intents/.*[.]json$"), ("policy", "^policy[.]json$"), ("any", "^p.*json$"), ("manifest", "^manifest[.]json$")]
+
+
+@query(f"SELECT file, count(rx)::BIGINT AS schemas, count(rx) = 1 AS ok FROM {values('file', FILES)} LEFT JOIN {values('name, rx', SCHEMAS)} ON regexp_matches(file, rx) GROUP BY file")
+def v1_schema_map(spark, sf):
+    n = sum((F.col("file").rlike(rx).cast("long") for _, rx in SCHEMAS), F.lit(0).cast("long"))
+    return inline(spark, "file string", FILES).select("file", n.alias("schemas"), (n == 1).alias("ok"))
+
+
+@query(f"SELECT i.intent, CASE WHEN p.confirm IS NULL THEN 'missing' WHEN i.followup AND p.confirm <> 'always' THEN 'must_confirm' ELSE 'ok' END AS verdict FROM {_I} i LEFT JOIN {values('intent, confirm', [('reminders.add', 'always'), ('radio.play', 'never'), ('reminders.list', 'never')])} p USING (intent)")
+def v5_policy(spark, sf):
+    p = inline(spark, "intent string, confirm string", [("reminders.add", "always"), ("radio.play", "never"), ("reminders.list", "never")])
+    verdict = F.when(F.col("confirm").isNull(), "missing").when(F.col("followup") & (F.col("confirm") != "always"), "must_confirm").otherwise("ok")
+    return intents(spark).join(p, "intent", "left").select("intent", verdict.alias("verdict"))
+
+
+@query(f"SELECT coalesce(i.intent, l.label) AS label, CASE WHEN l.label IS NULL THEN 'no_label' WHEN i.intent IS NULL THEN 'no_intent' ELSE 'ok' END AS verdict FROM {_I} i FULL JOIN {values('label', [('reminders.add',), ('radio.play',), ('ghost',)])} l ON i.intent = l.label")
+def v8_parity(spark, sf):
+    labels = inline(spark, "label string", [("reminders.add",), ("radio.play",), ("ghost",)])
+    both = intents(spark).join(labels, F.col("intent") == F.col("label"), "full")
+    verdict = F.when(F.col("label").isNull(), "no_label").when(F.col("intent").isNull(), "no_intent").otherwise("ok")
+    return both.select(F.coalesce("intent", "label").alias("label"), verdict.alias("verdict"))
+
+
+_LANGS, _KEYS = [("en",), ("fr",)], [("en", "reminders.add"), ("en", "radio.play"), ("fr", "radio.play"), ("en", "reminders.list"), ("en", "orphan.go")]
+
+
+@query(f"SELECT lang, intent AS missing FROM {values('lang', _LANGS)}, {_I} WHERE (lang, intent) NOT IN (SELECT (lang, key) FROM {values('lang, key', _KEYS)})")
+def v9_localization(spark, sf):
+    keys = inline(spark, "lang string, intent string", _KEYS)
+    return intents(spark).select("intent").crossJoin(inline(spark, "lang string", _LANGS)).join(keys, ["lang", "intent"], "left_anti").select("lang", F.col("intent").alias("missing"))
+
+
+@query(f"SELECT intent, CASE WHEN kind = 'exact' THEN 1 ELSE 2 END AS tier, CASE WHEN kind = 'exact' THEN '^' || unnest(terms) || '$' ELSE unnest(terms) END AS pattern FROM {_TR}")
+def keywords_compile(spark, sf):
+    rows = inline(spark, "intent string, kind string, terms array<string>", TRIGGERS).select("intent", "kind", F.explode("terms").alias("term"))
+    exact = F.col("kind") == "exact"
+    return rows.select("intent", F.when(exact, 1).otherwise(2).alias("tier"), F.when(exact, F.concat(F.lit("^"), "term", F.lit("$"))).otherwise(F.col("term")).alias("pattern"))
+
+
+@query(f"SELECT intent, CASE WHEN followup THEN 'always' ELSE 'never' END AS confirm, CASE WHEN followup THEN 0.7 ELSE 0.5 END::DOUBLE AS bar FROM {_I}")
+def policies_compile(spark, sf):
+    f = F.col("followup")
+    return intents(spark).select("intent", F.when(f, "always").otherwise("never").alias("confirm"), F.when(f, 0.7).otherwise(0.5).alias("bar"))
+
+
+_G = [("loud", "radio.play", "reminders.add"), ("(?=x)", "radio.play", "reminders.add"), ("up", "nowhere", "radio.play")]
+
+
+@query(f"SELECT rx, CASE WHEN blocked NOT IN (SELECT intent FROM {_I}) THEN 'unknown_intent' WHEN contains(rx, '(?=') THEN 'not_portable' ELSE 'ok' END AS verdict FROM {values('rx, blocked, redirect', _G)}")
+def guards_compile(spark, sf):
+    known = intents(spark).select(F.col("intent").alias("blocked"), F.lit(True).alias("known"))
+    from brindle.functions.rules import portability
+
+    rows = inline(spark, "rx string, blocked string, redirect string", _G).join(known, "blocked", "left")
+    return rows.select("rx", F.when(F.col("known").isNull(), "unknown_intent").when(F.size(portability(F.col("rx"))) > 0, "not_portable").otherwise("ok").alias("verdict"))
+
+
+@query(f"SELECT rx FROM {values('rx, blocked, redirect', _G)} WHERE NOT contains(rx, '(?=')")
+def lexicon_compile(spark, sf):
+    from brindle.functions.rules import portability
+
+    return inline(spark, "rx string, blocked string, redirect string", _G).filter(F.size(portability(F.col("rx"))) == 0).select("rx")
+
+
+_BASE, _OVER = [("greet", "hello", "a"), ("bye", "bye", "b"), ("thanks", "thanks", "c")], [("greet", "bonjour"), ("extra", "x")]
+
+
+@query(f"SELECT key, coalesce(o.text, b.text) AS text, shape FROM {values('key, text, shape', _BASE)} b LEFT JOIN {values('key, text', _OVER)} o USING (key)")
+def overlay_merge(spark, sf):
+    base, over = inline(spark, "key string, text string, shape string", _BASE), inline(spark, "key string, over string", _OVER)
+    return base.join(over, "key", "left").select("key", F.coalesce("over", "text").alias("text"), "shape")
+
+
+@query("SELECT p_brand AS brand, sha256(string_agg(sha256(p_name) || '  ' || p_partkey::VARCHAR, chr(10) ORDER BY sha256(p_name) || '  ' || p_partkey::VARCHAR)) AS root FROM part GROUP BY p_brand")
+def hash_table(spark, sf):
+    line = F.concat(F.sha2("p_name", 256), F.lit("  "), F.col("p_partkey").cast("string"))
+    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("root"))
+
+
+@query("WITH e AS (SELECT p_partkey AS k, md5(p_name) AS h FROM part WHERE p_partkey % 50 <> 0), a AS (SELECT p_partkey AS k, md5(CASE WHEN p_partkey % 40 = 0 THEN 'x' ELSE p_name END) AS h FROM part WHERE p_partkey % 60 <> 0) SELECT coalesce(e.k, a.k) AS k, CASE WHEN a.k IS NULL THEN 'MISSING' WHEN e.k IS NULL THEN 'EXTRA' ELSE 'CHANGED' END AS issue FROM e FULL JOIN a USING (k) WHERE e.h IS DISTINCT FROM a.h")
+def manifest_verify(spark, sf):
+    p = table(spark, sf, "part")
+    e = p.filter("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("k"), F.md5("p_name").alias("want"))
+    a = p.filter("p_partkey % 60 <> 0").select(F.col("p_partkey").alias("k"), F.md5(F.when(F.col("p_partkey") % 40 == 0, "x").otherwise(F.col("p_name"))).alias("got"))
+    issue = F.when(F.col("got").isNull(), "MISSING").when(F.col("want").isNull(), "EXTRA").otherwise("CHANGED")
+    return e.join(a, "k", "full").filter(~F.col("want").eqNullSafe(F.col("got"))).select("k", issue.alias("issue"))
+
+
+_MODELS = [("en", "pack", None), ("en", "build", "b.bin"), ("en", "legacy", "l.bin"), ("fr", "pack", "p.bin"), ("fr", "build", "c.bin")]
+
+
+@query(f"SELECT lang, coalesce(max(path) FILTER (place = 'pack'), max(path) FILTER (place = 'build'), max(path) FILTER (place = 'legacy')) AS path FROM {values('lang, place, path', _MODELS)} GROUP BY lang")
+def model_resolution(spark, sf):
+    at = lambda place: F.max(F.when(F.col("place") == place, F.col("path")))
+    return inline(spark, "lang string, place string, path string", _MODELS).groupBy("lang").agg(F.coalesce(at("pack"), at("build"), at("legacy")).alias("path"))
+
+
+@query(f"SELECT channel, lang, path IS NULL AS absent, CASE WHEN path IS NULL AND channel = 'production' THEN 'error' WHEN path IS NULL THEN 'warning' ELSE 'ok' END AS severity FROM {values('lang, place, path', _MODELS)}, {values('channel', [('production',), ('dev',)])} WHERE place = 'pack'")
+def pack_load(spark, sf):
+    rows = inline(spark, "lang string, place string, path string", _MODELS).filter("place = 'pack'").crossJoin(inline(spark, "channel string", [("production",), ("dev",)]))
+    absent = F.col("path").isNull()
+    return rows.select("channel", "lang", absent.alias("absent"), F.when(absent & (F.col("channel") == "production"), "error").when(absent, "warning").otherwise("ok").alias("severity"))
+
+
+_STAGES = [(1, "V1", "error"), (2, "V3", "error"), (3, "V9", "warning")]
+
+
+@query(f"SELECT stage, code FROM {values('stage, code, severity', _STAGES)} WHERE stage <= coalesce((SELECT min(stage) FROM {values('stage, code, severity', _STAGES)} WHERE severity = 'error'), 99)")
+def stage1_shortcircuit(spark, sf):
+    rows = inline(spark, "stage int, code string, severity string", _STAGES)
+    first = rows.filter("severity = 'error'").agg(F.coalesce(F.min("stage"), F.lit(99)).alias("first"))
+    return rows.crossJoin(F.broadcast(first)).filter("stage <= first").select("stage", "code")
+
+
+@query(f"SELECT key, count(*)::BIGINT AS sources FROM (SELECT intent AS key FROM {_I} UNION ALL SELECT intent FROM {_S}) GROUP BY key")
+def assemble_schema(spark, sf):
+    return intents(spark).select("intent").union(slots(spark).select("intent")).groupBy(F.col("intent").alias("key")).agg(F.count("*").alias("sources"))

@@ -1 +1,118 @@
-"""Not filled yet."""
+"""Dialogue, session and counter queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from brindle.operators import dialogue as D
+from brindle.plans.catalog import query
+from brindle.sources.tables import inline, table, values
+
+EIGHT_HOURS = 8 * 3600
+
+
+def conversations(spark, sf):
+    return table(spark, sf, "conversations")
+
+
+@query("WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 8 HOURS THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM g) SELECT user_id, session_no::BIGINT AS session_no, count(*)::BIGINT AS n FROM s GROUP BY ALL")
+def session_idle_reset(spark, sf):
+    s = D.sessions(table(spark, sf, "events"), "user_id", "ts", EIGHT_HOURS, "event_id")
+    return s.groupBy("user_id", "session_no").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, coalesce(date_diff('second', date_trunc('second', lag(ts) OVER w), date_trunc('second', ts)) > 90, TRUE) AS expired FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def context_ttl(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf, "events").select("event_id", F.coalesce(D.expired(F.lag("ts").over(w), F.col("ts")), F.lit(True)).alias("expired"))
+
+
+@query("SELECT conv_id, turn, greatest(0, 3 - row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS lifespan FROM conversations")
+def context_lifespan(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return conversations(spark, sf).select("conv_id", "turn", F.greatest(F.lit(0), 3 - F.row_number().over(w)).cast("int").alias("lifespan"))
+
+
+@query("SELECT conv_id, turn, last(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refers_to FROM conversations")
+def back_reference(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return conversations(spark, sf).select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("refers_to"))
+
+
+def scripted(spark, sf):
+    """Conversations as turns of the state machine: intent, confidence and answer follow from ids and turns."""
+    n = F.col("conv_id") * 7 + F.col("turn") * 3
+    intent = F.element_at(F.array(*map(F.lit, ("ask_mute", "slot_remind", "volume_up", "repeat", "volume_up"))), (n % 5 + 1).cast("int"))
+    answer = F.element_at(F.array(*(F.lit(x) for x in ("yes", "value", None, "no", None, "cancel", None))), (n % 7 + 1).cast("int"))
+    return conversations(spark, sf).select("conv_id", "turn", F.when(n % 4 != 0, intent).alias("intent"), (n % 10 / 10 + 0.05).alias("conf"), answer.alias("answer"))
+
+
+@query()
+def turn_router(spark, sf):
+    return D.replay(scripted(spark, sf))
+
+
+@query()
+def confirm_fsm(spark, sf):
+    return D.replay(scripted(spark, sf).withColumn("intent", F.lit("ask_mute"))).select("conv_id", "turn", "type")
+
+
+@query()
+def slot_fsm(spark, sf):
+    return D.replay(scripted(spark, sf).withColumn("intent", F.lit("slot_remind"))).select("conv_id", "turn", "type")
+
+
+@query()
+def conformance_replay(spark, sf):
+    return D.replay(scripted(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, json_object('conv_id', conv_id, 'role', role, 'turn', turn)::VARCHAR AS blob, role FROM conversations")
+def blob_roundtrip(spark, sf):
+    rows = conversations(spark, sf).select("conv_id", "turn", F.to_json(F.struct("conv_id", "role", "turn")).alias("blob"))
+    return rows.select("conv_id", "turn", "blob", F.from_json("blob", "conv_id long, role string, turn long")["role"].alias("role"))
+
+
+_SNAPS = [(1, 10, "radio", True), (2, 20, "radio", False), (3, 15, "phone", True), (4, 5, "phone", False)]
+
+
+@query(f"SELECT capability, available, snapshot_id FROM {values('seq, snapshot_id, capability, available', _SNAPS)} QUALIFY row_number() OVER (PARTITION BY capability ORDER BY snapshot_id DESC) = 1")
+def availability_snapshot(spark, sf):
+    rows = inline(spark, "seq int, snapshot_id int, capability string, available boolean", _SNAPS)
+    return rows.groupBy("capability").agg(F.max(F.struct("snapshot_id", "available")).alias("x")).select("capability", "x.available", "x.snapshot_id")
+
+
+_ASKS = [(1, 12, "radio"), (2, 25, "radio"), (3, 15, "phone"), (4, 4, "phone")]
+
+
+@query(f"WITH s AS {values('seq, snapshot_id, capability, available', _SNAPS)}, a AS {values('utt_id, at_id, capability', _ASKS)} SELECT utt_id, coalesce(NOT available, FALSE) AS blocked FROM a LEFT JOIN s ON s.capability = a.capability AND snapshot_id <= at_id QUALIFY row_number() OVER (PARTITION BY utt_id ORDER BY snapshot_id DESC NULLS LAST) = 1")
+def availability_block(spark, sf):
+    """The newest snapshot up to the turn: an as-of join by a running last value over both, ordered by id."""
+    s = inline(spark, "seq int, snapshot_id int, capability string, available boolean", _SNAPS)
+    a = inline(spark, "utt_id int, at_id int, capability string", _ASKS)
+    both = s.select("capability", F.col("snapshot_id").alias("at_id"), "available", F.lit(None).cast("int").alias("utt_id"), F.lit(0).alias("kind")).unionByName(a.withColumns({"available": F.lit(None).cast("boolean"), "kind": F.lit(1)}))
+    w = Window.partitionBy("capability").orderBy("at_id", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("now", F.last("available", ignorenulls=True).over(w)).filter("kind = 1").select("utt_id", F.coalesce(~F.col("now"), F.lit(False)).alias("blocked"))
+
+
+_CAPS = [("radio.fm", "radio"), ("radio", "media"), ("phone", "phone")]
+_INTENTS = [(1, "radio.fm.tune"), (2, "radio.stop"), (3, "phone.call"), (4, "clock.set")]
+
+
+@query(f"SELECT id, capability FROM {values('id, intent', _INTENTS)} LEFT JOIN {values('prefix, capability', _CAPS)} ON starts_with(intent, prefix || '.') QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(prefix) DESC NULLS LAST) = 1")
+def capability_of(spark, sf):
+    i = inline(spark, "id int, intent string", _INTENTS)
+    c = inline(spark, "prefix string, capability string", _CAPS)
+    hits = i.join(F.broadcast(c), F.startswith("intent", F.concat("prefix", F.lit("."))), "left")
+    return hits.groupBy("id").agg(F.max(F.struct(F.length("prefix").alias("n"), "capability")).alias("x")).select("id", "x.capability")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def daily_counter_stream(spark, sf):
+    return D.counters(table(spark, sf, "events"), "event_type")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 10 AS bucket, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def sink_counters_upsert(spark, sf):
+    return D.counters(table(spark, sf, "events").withColumn("bucket", F.col("user_id") % 10), "bucket")

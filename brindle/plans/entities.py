@@ -1 +1,216 @@
-"""Not filled yet."""
+"""Entity and date-time queries over small tables with an explicit now, checked by golden rows in tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from brindle.functions import entities as E
+from brindle.functions import rules as R
+from brindle.functions import text as X
+from brindle.plans import oracle as O
+from brindle.plans.catalog import query
+from brindle.plans.corpus import docs
+from brindle.plans.rules import _T, turns
+from brindle.sources.tables import inline, values
+
+NOW = "2026-06-30 10:00:00"  # a Tuesday
+SAYS = [
+    (1, "call mom in 5 minutes"), (2, "remind me tomorrow at 8am"), (3, "lunch at 1"), (4, "meeting on friday at 15:30"), (5, "wake me at half past seven"), (6, "in a couple of hours"), (7, "in half an hour"),
+    (8, "yesterday at 5"), (9, "july fourth at noon"), (10, "on the 25th"), (11, "next week"), (12, "tuesday morning"), (13, "quarter to nine tonight"), (14, "set twenty alarms"), (15, "wait a second"),
+    (16, "the fifth of july"), (17, "february 30"), (18, "in an hour"), (19, "this weekend"), (20, "twenty past 6 in the evening"), (21, "at 9"), (22, "day after tomorrow at 10 pm"), (23, ""), (24, "in 2 weeks"),
+]
+_S = values("utt_id, text", SAYS)
+
+
+def says(spark):
+    return inline(spark, "utt_id int, text string", SAYS).withColumn("now", F.lit(NOW).cast("timestamp"))
+
+
+def low():
+    return F.lower("text")
+
+
+_NUM = "coalesce(nullif(regexp_extract(lower(text), '(^|[^a-z0-9_])([0-9]+)([^a-z0-9_]|$)', 2), '')::INT, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '(^|[^a-z0-9])({w})([^a-z0-9]|$)') THEN {n}" for w, n in E.NUMBERS.items()) + " END)"
+
+
+@query(f"SELECT utt_id, {_NUM} AS n FROM {_S}")
+def extract_number(spark, sf):
+    return says(spark).select("utt_id", E.number(low()).alias("n"))
+
+
+def _sql_digits(t: str) -> str:
+    for w in sorted(E.CLOCK_NUMBERS, key=len, reverse=True):
+        t = rf"regexp_replace({t}, '\b{w}\b', '{E.CLOCK_NUMBERS[w]}', 'g')"
+    return t
+
+
+def _sql_ordinals(t: str) -> str:
+    context = "the|of|" + "|".join(E.MONTHS)
+    for n in range(len(E.ORDINALS), 0, -1):
+        t = rf"regexp_replace({t}, '\b({context}) {E.ORDINALS[n - 1]}\b', '\1 {n}{E.suffix(n)}', 'g')"
+    return t
+
+
+@query(f"SELECT utt_id, {_sql_digits('lower(text)')} AS text FROM {_S}")
+def word_numbers_to_digits(spark, sf):
+    return says(spark).select("utt_id", E.digits_for_words(low()).alias("text"))
+
+
+@query(f"SELECT utt_id, {_sql_ordinals('lower(text)')} AS text FROM {_S}")
+def word_ordinals_to_digits(spark, sf):
+    return says(spark).select("utt_id", E.digits_for_ordinals(low()).alias("text"))
+
+
+_N = f"TIMESTAMP '{NOW}'"
+_SCALE = "CASE {0} WHEN 'minute' THEN 1 WHEN 'hour' THEN 60 WHEN 'day' THEN 1440 WHEN 'week' THEN 10080 END"
+_REL = rf"""CASE WHEN regexp_matches(t, '\b(?:in|for) ([0-9]+) ?(minute|hour|day|week)s?\b') THEN regexp_extract(t, '\b(?:in|for) ([0-9]+) ?(minute|hour|day|week)s?\b', 1)::INT * {_SCALE.format(r"regexp_extract(t, '\b(?:in|for) ([0-9]+) ?(minute|hour|day|week)s?\b', 2)")}
+WHEN regexp_matches(t, '\bin an? (minute|hour|day|week)\b') THEN {_SCALE.format(r"regexp_extract(t, '\bin an? (minute|hour|day|week)\b', 1)")}
+WHEN regexp_matches(t, '\bin a (few|couple)(?: of)? (minute|hour)s?\b') THEN CASE WHEN contains(t, 'few') THEN 3 ELSE 2 END * {_SCALE.format(r"regexp_extract(t, '\bin a (few|couple)(?: of)? (minute|hour)s?\b', 2)")}
+WHEN contains(t, 'in half an hour') THEN 30 END"""
+
+
+@query(f"SELECT utt_id, strftime({_N} + to_minutes({_REL}), '%Y-%m-%dT%H:%M+00:00') AS at_time FROM (SELECT utt_id, lower(text) AS t FROM {_S})")
+def dt_relative(spark, sf):
+    return says(spark).select("utt_id", E.utc_iso(E.relative(low(), F.col("now"))).alias("at_time"))
+
+
+@query(f"SELECT utt_id, contains(lower(text), 'yesterday') AS rejected FROM {_S}")
+def dt_past_reject(spark, sf):
+    return says(spark).select("utt_id", E.word_in(low(), "yesterday").alias("rejected"))
+
+
+_ANCHOR = "CASE WHEN contains(t, 'yesterday') THEN NULL " + " ".join(f"WHEN regexp_matches(t, '(^|[^a-z0-9])({w})([^a-z0-9]|$)') THEN {n}" for w, n in E.ANCHORS.items()) + " END"
+
+
+@query(f"SELECT utt_id, (DATE '2026-06-30' + ({_ANCHOR})::INT)::DATE AS day FROM (SELECT utt_id, lower(text) AS t FROM {_S})")
+def dt_day_anchor(spark, sf):
+    return says(spark).select("utt_id", E.anchor(low(), F.col("now")).alias("day"))
+
+
+_WD = "CASE " + " ".join(f"WHEN regexp_matches(t, '(^|[^a-z0-9])({w})([^a-z0-9]|$)') THEN {(i - 1) % 7 or 7}" for i, w in enumerate(E.WEEKDAYS)) + " END"
+
+
+@query(f"SELECT utt_id, (DATE '2026-06-30' + ({_WD})::INT)::DATE AS day FROM (SELECT utt_id, lower(text) AS t FROM {_S})")
+def dt_weekday(spark, sf):
+    return says(spark).select("utt_id", E.weekday(low(), F.col("now")).alias("day"))
+
+
+@query(f"SELECT utt_id, CASE WHEN contains(lower(text), 'weekend') THEN DATE '2026-07-04' END AS day FROM {_S}")
+def dt_weekend(spark, sf):
+    return says(spark).select("utt_id", E.weekend(low(), F.col("now")).alias("day"))
+
+
+@query(f"SELECT utt_id, CASE utt_id WHEN 9 THEN DATE '2026-07-04' WHEN 10 THEN DATE '2026-07-25' WHEN 16 THEN DATE '2026-07-05' END AS day FROM {_S}")
+def dt_absolute(spark, sf):
+    return says(spark).select("utt_id", E.absolute(E.digits_for_ordinals(low()), F.col("now")).alias("day"))
+
+
+@query(f"SELECT utt_id, CASE utt_id WHEN 5 THEN '7:30' WHEN 13 THEN '8:45' WHEN 20 THEN '6:20' END AS clock FROM {_S}")
+def dt_clock_idiom(spark, sf):
+    t = E.digits_for_words(low())
+    at = F.when(t.rlike(r"\b(past|to) [0-9]"), E.clock(t))
+    return says(spark).select("utt_id", F.when(at.isNotNull(), F.format_string("%d:%02d", at["hour"], at["minute"])).alias("clock"))
+
+
+@query(f"SELECT utt_id, CASE utt_id WHEN 2 THEN 8 WHEN 3 THEN 1 WHEN 4 THEN 15 WHEN 5 THEN 7 WHEN 8 THEN 5 WHEN 13 THEN 8 WHEN 20 THEN 6 WHEN 21 THEN 9 WHEN 22 THEN 10 END::INT AS hour, CASE utt_id WHEN 2 THEN 'am' WHEN 22 THEN 'pm' END AS half FROM {_S}")
+def dt_clock_forms(spark, sf):
+    at = E.clock(E.digits_for_words(low()))
+    return says(spark).select("utt_id", at["hour"].alias("hour"), at["half"].alias("half"))
+
+
+_HOURS = [(1, 9, None, 21), (2, 11, None, 11), (3, 5, None, 17), (4, 8, "am", 32), (5, 8, "pm", 20), (6, 10, None, 22), (7, 15, None, 15), (8, 12, "am", 24)]
+
+
+@query(f"SELECT id, strftime(TIMESTAMP '2026-06-30' + to_hours(want), '%Y-%m-%dT%H:%M+00:00') AS at_time FROM {values('id, hour, half, want', _HOURS)}")
+def dt_pick_future(spark, sf):
+    rows = inline(spark, "id int, hour int, half string, want int", _HOURS).withColumn("now", F.lit(NOW).cast("timestamp"))
+    return rows.select("id", E.utc_iso(E.future(F.col("hour"), F.lit(0), F.col("now").cast("date"), F.col("now"), F.col("half"))).alias("at_time"))
+
+
+_WHEN = {1: "2026-06-30T10:05", 2: "2026-07-01T08:00", 3: "2026-06-30T13:00", 4: "2026-07-03T15:30", 5: "2026-06-30T19:30", 6: "2026-06-30T12:00", 7: "2026-06-30T10:30", 9: "2026-07-04T00:00", 10: "2026-07-25T00:00", 11: "2026-07-07T00:00", 12: "2026-07-07T08:00", 13: "2026-06-30T20:45", 16: "2026-07-05T00:00", 18: "2026-06-30T11:00", 19: "2026-07-04T00:00", 20: "2026-06-30T18:20", 21: "2026-06-30T21:00", 22: "2026-07-02T22:00", 24: "2026-07-14T10:00"}
+
+
+@query(f"SELECT utt_id, want || '+00:00' AS at_time FROM {_S} LEFT JOIN {values('utt_id, want', list(_WHEN.items()))} USING (utt_id)")
+def dt_period_combine(spark, sf):
+    return E.resolved(says(spark), "text", "now").select("utt_id", E.utc_iso(F.col("at_time")).alias("at_time"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M+00:00') AS iso FROM events")
+def dt_to_utc_iso(spark, sf):
+    from brindle.sources.tables import table
+
+    return table(spark, sf, "events").select("event_id", E.utc_iso(F.col("ts")).alias("iso"))
+
+
+def _sql_times(t: str) -> str:
+    t = f"replace({t}, ' ', '  ')"
+    for p in E.STRIPPED:
+        t = f"regexp_replace({t}, '(^|[^{E.LETTERS}])(?:{p})([^{E.LETTERS}]|$)', '\\1\\2', 'g')"
+    return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_sql_times('lower(text)')} AS text FROM documents")
+def strip_datetime(spark, sf):
+    return docs(spark, sf).select("doc_id", E.without_times(low()).alias("text"))
+
+
+_CARRIED = "lower(text)"
+for _p in R.CARRIERS:
+    _CARRIED = f"regexp_replace({_CARRIED}, {O.quoted(_p)}, '')"
+
+
+@query(f"SELECT utt_id, regexp_replace({_sql_times(f'trim({_CARRIED})')}, '^(to|about|that|for) ', '') AS topic FROM {_T}")
+def derive_topic(spark, sf):
+    topic = E.without_times(R.without_carriers(F.col("text")))
+    return turns(spark).select("utt_id", F.regexp_replace(topic, "^(to|about|that|for) ", "").alias("topic"))
+
+
+SYNONYMS = [("Restaurant", "restaurant"), ("Restaurant", "place to eat"), ("Outdoor", "outdoor"), ("Outdoor", "outside in the park"), ("Car", "car"), ("Television", "television"), ("Television", "tv")]
+ASKED = [(1, "switch to restraunt"), (2, "i am outside in the park now"), (3, "the cab is here"), (4, "watching tv"), (5, "telvision mode"), (6, "restaurant"), (7, "nothing of the kind"), (8, "outdor please")]
+_E = f"a AS (SELECT utt_id, lower(text) AS t FROM {values('utt_id, text', ASKED)}), y AS {values('canonical, synonym', SYNONYMS)}, exact AS (SELECT utt_id, canonical, synonym, CASE WHEN lower(canonical) = synonym THEN 1.0 ELSE 0.95 END::DOUBLE AS conf FROM a JOIN y ON regexp_matches(t, concat('(^|[^a-z0-9])', synonym, '([^a-z0-9]|$)')) QUALIFY row_number() OVER (PARTITION BY utt_id ORDER BY length(synonym) DESC, synonym) = 1)"
+
+
+def _exact(spark):
+    a = inline(spark, "utt_id int, text string", ASKED).select("utt_id", F.lower("text").alias("t"))
+    y = inline(spark, "canonical string, synonym string", SYNONYMS)
+    hits = a.crossJoin(F.broadcast(y)).filter(F.contains(F.concat(F.lit(" "), F.regexp_replace("t", "[^a-z0-9]", " "), F.lit(" ")), F.concat(F.lit(" "), "synonym", F.lit(" "))))
+    w = Window.partitionBy("utt_id").orderBy(F.desc(F.length("synonym")), "synonym")
+    conf = F.when(F.lower("canonical") == F.col("synonym"), 1.0).otherwise(0.95)
+    return a, y, hits.withColumn("n", F.row_number().over(w)).filter("n = 1").select("utt_id", "canonical", "synonym", conf.alias("conf"))
+
+
+@query(f"WITH {_E} SELECT * FROM exact")
+def enum_lookup(spark, sf):
+    """The longest synonym that occurs as whole words; the synonym table is a small broadcast side."""
+    return _exact(spark)[2]
+
+
+@query(f"""WITH {_E}, k AS (SELECT utt_id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS token FROM a WHERE utt_id NOT IN (SELECT utt_id FROM exact)), d AS (SELECT utt_id, canonical, synonym, token, levenshtein(token, synonym) AS d FROM k JOIN y ON NOT contains(synonym, ' ') AND length(synonym) >= 5 AND token NOT IN ('the', 'three')),
+b AS (SELECT * FROM d WHERE d <= greatest(1, round(length(synonym) * 0.3::DOUBLE)) QUALIFY row_number() OVER (PARTITION BY utt_id ORDER BY d, synonym, token) = 1)
+SELECT utt_id, canonical, token AS span, round(least(0.9::DOUBLE, greatest(0.6::DOUBLE, round(1 - d / length(synonym)::DOUBLE, 2))), 6) AS conf FROM b""")
+def enum_fuzzy(spark, sf):
+    a, y, exact = _exact(spark)
+    tokens = a.join(exact, "utt_id", "left_anti").select("utt_id", F.explode(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0))).alias("token")).filter(~F.col("token").isin("the", "three"))
+    limit = F.greatest(F.lit(1), F.bround(F.length("synonym") * 0.3))
+    single = y.filter(~F.contains("synonym", F.lit(" ")) & (F.length("synonym") >= 5)).withColumn("limit", limit)
+    near = tokens.crossJoin(F.broadcast(single)).filter(F.abs(F.length("token") - F.length("synonym")) <= F.col("limit"))
+    near = near.withColumn("d", F.levenshtein("token", "synonym")).filter("d <= limit")
+    w = Window.partitionBy("utt_id").orderBy("d", "synonym", "token")
+    conf = F.least(F.lit(0.9), F.greatest(F.lit(0.6), F.round(1 - F.col("d") / F.length("synonym"), 2)))
+    return near.withColumn("n", F.row_number().over(w)).filter("n = 1").select("utt_id", "canonical", F.col("token").alias("span"), F.round(conf, 6).alias("conf"))
+
+
+@query(f"WITH {_E} SELECT utt_id, conf >= 0.9 AS answers FROM a JOIN exact USING (utt_id)")
+def answers_awaited_slot(spark, sf):
+    return _exact(spark)[2].select("utt_id", (F.col("conf") >= 0.9).alias("answers"))
+
+
+_DISPATCH = [(1, "number", "7 times"), (2, "day", "tomorrow"), (3, "yesno", "yes please"), (4, "number", "none")]
+
+
+@query(f"SELECT id, CASE id WHEN 1 THEN '7' WHEN 2 THEN '2026-07-01' WHEN 3 THEN 'true' END AS value FROM {values('id, entity, text', _DISPATCH)}")
+def extract_dispatch(spark, sf):
+    rows = inline(spark, "id int, entity string, text string", _DISPATCH).withColumn("now", F.lit(NOW).cast("timestamp"))
+    value = F.when(F.col("entity") == "number", E.number(low()).cast("string")).when(F.col("entity") == "day", E.anchor(low(), F.col("now")).cast("string")).when(F.col("entity") == "yesno", R.yes_no(F.col("text"), ("yes",), ("no",)).cast("string"))
+    return rows.select("id", value.alias("value"))
