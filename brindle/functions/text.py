@@ -7,6 +7,7 @@ for another.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -140,11 +141,19 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(c: Column) -> Column:
     """Words of two and more letters, digits or underscores, and their bigrams."""
-    one = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(one) - 1, F.lit(0))), lambda i: F.concat_ws(" ", F.get(one, i - 1), F.get(one, i)))
-    return F.when(F.size(one) > 1, F.concat(one, two)).otherwise(one)
+
+    def both(one: Column) -> Column:
+        two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(one) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(one, i - 1), F.get(one, i)))
+        return F.when(F.size(one) > 1, F.concat(one, two)).otherwise(one)
+
+    return let(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), both)
 
 
 def truncated(c: Column, most: int = 500) -> Column:
