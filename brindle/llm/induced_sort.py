@@ -4,8 +4,10 @@ Suffixes are larger (L) or smaller (S) than the one after them; an S suffix afte
 named by the substring up to the next star, and ordered by these names, doubled until the names span the depth
 that is asked for. All other suffixes are induced: a scan in order hands each suffix's predecessor on to the
 queue of its first byte. Each queue gets its entries in order, so the 258 first-in-first-out queues are a
-priority queue on (byte, rank). Queues spill to an unlinked temp file beyond a memory budget and are read block
-by block; only the text and two bits of type for each byte stay in memory.
+priority queue on (byte, rank). An entry is a tuple of a suffix and the symbols that it has in common with the
+entry before it: one more than the least common prefix that the scan passed between the two that induced them.
+Queues spill to an unlinked temp file beyond a memory budget and are read block by block; only the text and two
+bits of type for each byte stay in memory.
 """
 
 from __future__ import annotations
@@ -49,17 +51,22 @@ class Spill:
             self.file.close()
 
 
+#: An entry as one integer: the suffix's position above PREFIX bits of common prefix.
+PREFIX, TUPLE = 16, np.dtype(np.int64)
+Block = tuple[np.ndarray, np.ndarray]  # positions, common prefixes with the entries before
+
+
 class Queue:
-    """Positions in the order in which they were put."""
+    """Suffix tuples in the order in which they were put."""
 
-    def __init__(self, spill: Spill, kind: np.dtype):
-        self.spill, self.kind, self.parts, self.sizes, self.read = spill, kind, [], [], 0
+    def __init__(self, spill: Spill):
+        self.spill, self.parts, self.sizes, self.read = spill, [], [], 0
 
-    def put(self, part: np.ndarray) -> None:
-        self.parts.append(self.spill.put(part))
-        self.sizes.append(len(part))
+    def put(self, at: np.ndarray, prefix: np.ndarray) -> None:
+        self.parts.append(self.spill.put(at.astype(TUPLE) << PREFIX | prefix))
+        self.sizes.append(len(at))
 
-    def take(self) -> np.ndarray | None:
+    def take(self) -> Block | None:
         """The next block; entries stay, for later scans."""
         if self.read == len(self.parts):
             return None
@@ -69,20 +76,22 @@ class Queue:
             self.read += 1
         return self._joined(lo, self.read)
 
-    def _joined(self, lo: int, hi: int) -> np.ndarray:
-        found = [self.spill.get(p, self.kind) for p in self.parts[lo:hi]]
-        return found[0] if len(found) == 1 else np.concatenate(found)
+    def _joined(self, lo: int, hi: int) -> Block:
+        found = [self.spill.get(p, TUPLE) for p in self.parts[lo:hi]]
+        found = found[0] if len(found) == 1 else np.concatenate(found)
+        return found >> PREFIX, found & ((1 << PREFIX) - 1)
 
-    def backwards(self) -> Iterator[np.ndarray]:
-        """Blocks from the end, each reversed."""
+    def backwards(self, prefix: int = 0) -> Iterator[Block]:
+        """Blocks from the end, each reversed; ``prefix`` is what the last entry shares with the one scanned before it."""
         hi = len(self.parts)
         while hi:
             lo, size = hi - 1, self.sizes[hi - 1]
             while lo and size + self.sizes[lo - 1] <= BLOCK:
                 lo -= 1
                 size += self.sizes[lo]
-            yield self._joined(lo, hi)[::-1]
-            hi = lo
+            at, shared = self._joined(lo, hi)
+            yield at[::-1], np.r_[prefix, shared[:0:-1]]
+            prefix, hi = shared[0], lo
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -98,37 +107,111 @@ def _types(text: np.ndarray) -> np.ndarray:
     return small
 
 
-def _put(to: list[Queue], text: np.ndarray, found: np.ndarray) -> None:
-    if not len(found):
-        return
-    symbols = text[found]
-    order = np.argsort(symbols, kind="stable")
-    found, symbols = found[order], symbols[order]
-    cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-    lows, highs = [0, *cuts.tolist()], [*cuts.tolist(), len(found)]
-    for lo, hi, symbol in zip(lows, highs, symbols[lows].tolist(), strict=True):
-        to[symbol].put(found[lo:hi])
-
-
-def _induce(text: np.ndarray, small: np.ndarray, stars: np.ndarray, spill: Spill) -> tuple[list[Queue], list[Queue]]:
+class Prefixes:
+    """Common prefixes of suffixes of ``text``, up to ``depth`` symbols; none are looked at for depth 0."""
+
+    def __init__(self, text: np.ndarray, depth: int):
+        self.depth, self.size = min(depth, (1 << PREFIX) - 1), len(text)
+        self.words = np.ndarray((len(text),), "<u8", np.r_[text, np.zeros(4, text.dtype)], 0, (2,)) if depth else None  # 4 symbols each
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """By comparing the symbols of a[i] and b[i], which differ."""
+        out = np.full(len(a), self.depth, TUPLE)
+        pair = np.arange(len(a))
+        for step in range(0, self.depth, 4):
+            differ = self.words[a[pair] + step] ^ self.words[b[pair] + step]
+            ends = np.flatnonzero(differ)
+            lowest = differ[ends] & (~differ[ends] + np.uint64(1))
+            out[pair[ends]] = np.minimum(self.depth, step + (np.frexp(lowest.astype(float))[1] - 1) // 16)
+            pair = pair[differ == 0]
+            if not len(pair):
+                break
+        return out
+
+    def seam(self, a: np.ndarray | None, b: np.ndarray | None) -> int:
+        """Of the end of one scanned array and the start of the next in the same bucket; 0 if there is none."""
+        return 0 if a is None or b is None or not self.depth else int(self.between(a[-1:], b[:1])[0])
+
+
+def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of values[lo[i]] to values[hi[i]], inclusive, over spans of doubling length."""
+    level = np.frexp((hi - lo + 1).astype(float))[1] - 1
+    out, table = np.empty(len(lo), values.dtype), values
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[lo[at]], table[hi[at] - (1 << k) + 1])
+        table = np.minimum(table[: -(1 << k)], table[1 << k :])
+    return out
+
+
+class Scan:
+    """A pass over suffixes in order that hands on the predecessors of one type to ``to``, with their prefixes."""
+
+    def __init__(self, text: np.ndarray, small: np.ndarray, wanted: bool, to: list[Queue], prefixes: Prefixes):
+        self.text, self.small, self.wanted, self.to, self.prefixes = text, small, wanted, to, prefixes
+        self.since = np.full(SYMBOLS, -1, TUPLE)  # least prefix passed since each queue's last entry; -1: it has none
+
+    def block(self, at: np.ndarray, shared: np.ndarray) -> None:
+        source = np.flatnonzero(at > 0)
+        found = at[source] - 1
+        fits = self.small[found] == self.wanted
+        source, found = source[fits], found[fits]
+        symbols = self.text[found]
+        order = np.argsort(symbols, kind="stable")
+        source, found, symbols = source[order], found[order], symbols[order]
+        heads = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])[: len(symbols)]
+        prefix = self._handed(shared, source, heads, symbols[heads]) if self.prefixes.depth else np.zeros(len(found), TUPLE)
+        for lo, hi, symbol in zip(heads.tolist(), [*heads[1:].tolist(), len(found)], symbols[heads].tolist(), strict=False):
+            self.to[symbol].put(found[lo:hi], prefix[lo:hi])
+
+    def _handed(self, shared: np.ndarray, source: np.ndarray, heads: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        if not len(source):
+            np.minimum(self.since, shared.min(), out=self.since)
+            return source
+        lo = np.r_[0, source[:-1] + 1]
+        lo[heads] = 0
+        out = _least(shared, lo, source)
+        out[heads] = np.minimum(out[heads], self.since[symbols])
+        np.minimum(self.since, shared.min(), out=self.since)
+        after = np.r_[np.minimum.accumulate(shared[::-1])[::-1], self.prefixes.depth]
+        self.since[symbols] = after[source[np.r_[heads[1:], len(source)] - 1] + 1]
+        return np.minimum(out + 1, self.prefixes.depth)
+
+
+def _induce(text: np.ndarray, small: np.ndarray, stars: np.ndarray, prefixes: Prefixes, spill: Spill) -> tuple[list[Queue], list[Queue]]:
     """(L suffixes ascending, S suffixes descending) by first symbol, from the stars in the order given."""
-    make = lambda: [Queue(spill, stars.dtype) for _ in range(SYMBOLS)]
-    star, large, less = make(), make(), make()
-    _put(star, text, stars)
-
-    def before(block: np.ndarray, wanted: bool) -> np.ndarray:
-        found = block[block > 0] - 1
-        return found[small[found] == wanted]
+    star, large, less = ([Queue(spill) for _ in range(SYMBOLS)] for _ in range(3))
+    shared = np.zeros(len(stars), TUPLE)
+    if prefixes.depth:
+        shared[1:] = prefixes.between(stars[:-1], stars[1:])
+    symbols = text[stars]
+    order = np.argsort(symbols, kind="stable")
+    heads = np.flatnonzero(np.r_[True, np.diff(symbols[order].astype(np.int32)) != 0])
+    for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(stars)], strict=True):
+        star[symbols[order[lo]]].put(stars[order[lo:hi]], shared[order[lo:hi]])
 
+    scan = Scan(text, small, False, large, prefixes)
     for symbol in range(SYMBOLS):
-        for queue in (large[symbol], star[symbol]):
-            while (block := queue.take()) is not None:
-                _put(large, text, before(block, False))
+        last = None
+        while (block := large[symbol].take()) is not None:
+            scan.block(*block)
+            last = block[0]
+        while (block := star[symbol].take()) is not None:
+            if last is not None:
+                block[1][0] = prefixes.seam(last, block[0])
+                last = None
+            scan.block(*block)
+    scan = Scan(text, small, True, less, prefixes)
     for symbol in reversed(range(SYMBOLS)):
+        last = None
         while (block := less[symbol].take()) is not None:
-            _put(less, text, before(block, True))
+            scan.block(*block)
+            last = block[0]
         for block in large[symbol].backwards():
-            _put(less, text, before(block, True))
+            if last is not None:
+                block[1][0] = prefixes.seam(last, block[0])
+                last = None
+            scan.block(*block)
     return large, less
 
 
@@ -151,12 +234,12 @@ def _star_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, depth: i
     m = len(stars)
     if m < 2:
         return stars
-    _, less = _induce(text, small, stars, spill)
+    _, less = _induce(text, small, stars, Prefixes(text, 0), spill)
     is_star = np.zeros(len(text), bool)
     is_star[stars] = True
     found = [stars[-1:]]  # the end is the smallest
     for queue in less:
-        for block in queue.backwards():
+        for block, _ in queue.backwards():
             found.append(block[is_star[block]])
     order = np.concatenate(found)
     nth = np.zeros(len(text), stars.dtype)
@@ -183,14 +266,13 @@ def _star_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, depth: i
     return stars[np.argsort(rank[:m], kind="stable")]
 
 
-def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator[np.ndarray]:
-    """Blocks of all positions but the last, ordered by the first ``depth`` symbols of their suffixes.
+def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator[Block]:
+    """Blocks of (positions, symbols in common with the suffix before, up to ``depth``) of all suffixes but the last.
 
-    ``text`` has symbols below SYMBOLS and ends with the only 0.
+    They are ordered by their first ``depth`` symbols. ``text`` has symbols below SYMBOLS and ends with the only 0.
     """
-    kind = np.dtype(np.int32 if len(text) < 2**31 else np.int64)
-    small = _types(text)
-    stars = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
+    small, prefixes = _types(text), Prefixes(text, depth)
+    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     spill = Spill(memory)
     try:
         stars = _star_order(text, small, stars, depth, spill)
@@ -198,12 +280,17 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator
         spill.close()
     spill = Spill(memory)
     try:
-        large, less = _induce(text, small, stars, spill)
+        large, less = _induce(text, small, stars, prefixes, spill)
         for symbol in range(SYMBOLS):
-            large[symbol].read = 0
+            large[symbol].read, last = 0, None
             while (block := large[symbol].take()) is not None:
                 yield block
-            yield from less[symbol].backwards()
+                last = block[0]
+            for block in less[symbol].backwards():
+                if last is not None:
+                    block[1][0] = prefixes.seam(last, block[0])
+                    last = None
+                yield block
     finally:
         spill.close()
 
@@ -225,22 +312,14 @@ def repeated(segments: list[bytes], copies: np.ndarray, width: int, memory: int
     delta[start[usable]] += 1
     delta[(start + sizes - width + 1)[usable]] -= 1
     whole[:] = np.cumsum(delta[:-1]) > 0
-    padded = np.r_[joined, np.zeros(8, np.uint8)]
-    word = np.ndarray((len(joined),), "<u8", padded, 0, (1,))
     again = np.zeros(len(text), bool)
-    steps = [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]
-    last = np.zeros(0, np.int64)
-    for block in suffix_order(text, width, memory):
-        here = np.r_[last, block[whole[block]]]
-        if len(here) < 2:
-            last = here
-            continue
-        pair = np.arange(1, len(here))
-        for step in steps:  # common prefixes of neighbours, up to the width
-            pair = pair[word[here[pair] + step] == word[here[pair - 1] + step]]
-        again[here[pair]] = True
-        again[here[pair - 1]] = True
-        last = here[-1:]
+    last = np.zeros(1, TUPLE)
+    for at, shared in suffix_order(text, width, memory):
+        hit = shared >= width  # if one of the two is whole, both are
+        again[at[hit]] = True
+        again[np.r_[last, at[:-1]][hit]] = True
+        last = at[-1:]
+    again &= whole
     for i in np.flatnonzero((copies > 1) & usable):
         again[start[i] : start[i] + sizes[i] - width + 1] = True
     return [np.flatnonzero(again[a : a + n]) for a, n in zip(start.tolist(), sizes.tolist(), strict=True)]

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -19,8 +20,12 @@ def test_order(memory):
     for trial in range(150):
         alphabet = rng.choice([b"a", b"ab", b"abc", bytes(range(256))])
         text = encode([bytes(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(rng.randrange(1, 6))])
-        got = np.concatenate([*suffix_order(text, 400, memory), np.zeros(0, np.int32)]).tolist()
-        assert got == sorted(range(len(text) - 1), key=lambda i: text[i:].tolist()), trial
+        depth = rng.choice([400, 400, 5, 1])
+        blocks = list(suffix_order(text, depth, memory))
+        got, shared = (np.concatenate([*(b[i] for b in blocks), np.zeros(0, np.int64)]).tolist() for i in (0, 1))
+        heads = [text[i : i + depth].tolist() for i in got]
+        assert sorted(got) == list(range(len(text) - 1)) and heads == sorted(heads), trial
+        assert shared == [0, *(len(os.path.commonprefix([a, b])) for a, b in zip(heads, heads[1:], strict=False))][: len(got)], trial
 
 
 def test_repeated_strings():
