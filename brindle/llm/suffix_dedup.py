@@ -8,12 +8,19 @@ repeated, and the bytes of all repeated strings go.
 
 Segments that a task sees more than once travel once, with their number: a passage that a third of all documents
 share is no larger a shard than any other. A table of occurrences leads back from segments to documents.
+
+A hash may still have more different segments than a shard should hold: those around a passage that many documents
+share, each with other text beside it. They are split by where the hash lies in a string. Strings that have it at
+offsets lo to hi - 1 all contain lo bytes before it and a fixed number after it, and equal strings agree in these;
+so these bytes are the new key, and keys still too large have their range halved again. At one offset the bytes
+are the whole string, and all pieces of a key are equal: no shard outgrows a worker, and nothing is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +36,8 @@ WIDTH, K = 200, 24
 #: Strings in a segment at most, bytes of text in a shard (a single larger group of segments is a shard of its
 #: own), and bytes of one text that are hashed at once.
 SEGMENT, SHARD, PIECE = 2048, 1 << 21, 1 << 22
+#: Bytes of segments with one hash from which on they are split.
+HOT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD1342543DE82EF95)
 _TABLE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
@@ -47,14 +56,9 @@ class _Powers:
         return cls.up, cls.down
 
 
-def runs(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(text, first string, strings, hash, weight) of all runs; weight 2 if equal strings may be in one run.
-
-    ``off`` are the offsets of the texts in ``buf``; first string counts from the start of the text.
-    """
+def anchors(buf: np.ndarray, width: int = WIDTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the smallest hash in each string of ``width`` bytes; of equal hashes, the last place."""
     n, window = len(buf), width - k + 1
-    if n < width:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
     up, down = _Powers.of(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[buf] * up[:n], out=sums[1:])
@@ -62,7 +66,7 @@ def runs(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, k: int = K) -> tu
     h = (sums[k:] - sums[:m]) * down[:m]
     h = (h ^ (h >> np.uint64(32))) * _STEP
     h ^= h >> np.uint64(29)
-    key = (h & ~_LOW) | (_LOW - np.arange(m, dtype=np.uint64))  # of equal hashes, the last place
+    key = (h & ~_LOW) | (_LOW - np.arange(m, dtype=np.uint64))
     padded = np.full(-(-m // window) * window, ~np.uint64(0))
     padded[:m] = key
     rows = padded.reshape(-1, window)
@@ -70,7 +74,18 @@ def runs(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, k: int = K) -> tu
     after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     strings = m - window + 1
     place = (_LOW - (np.minimum(after[:strings], upto[window - 1 : window - 1 + strings]) & _LOW)).astype(np.int64)
-    least = h[place]
+    return h[place], place
+
+
+def runs(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """(text, first string, strings, hash, weight) of all runs; weight 2 if equal strings may be in one run.
+
+    ``off`` are the offsets of the texts in ``buf``; first string counts from the start of the text.
+    """
+    if len(buf) < width:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    least, place = anchors(buf, width, k)
+    strings = len(place)
     text = np.searchsorted(off, np.arange(strings), side="right") - 1
     whole = np.arange(strings) + width <= off[text + 1]
     new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (whole[1:] != whole[:-1])])
@@ -80,6 +95,29 @@ def runs(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, k: int = K) -> tu
     return text[new], new - off[text[new]], end - new, least[new].view(np.int64), 1 + (place[new] != place[end - 1]).astype(np.int64)
 
 
+def split(segment: bytes, anchor: int, lo: int, hi: int, width: int = WIDTH, k: int = K) -> Iterator[tuple[int, bytes, int, int, int, int]]:
+    """(start in the segment, piece, anchor, lo, hi, key) of the pieces that hold the segment's strings, each once.
+
+    ``anchor`` is the place of the hash in all strings, and ``lo`` to ``hi - 1`` are its offsets in them. Below 0
+    it is unknown: then the strings may have the hash at several places.
+    """
+    if anchor < 0:
+        _, place = anchors(np.frombuffer(segment, np.uint8), width, k)
+        cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+        groups = list(zip(place[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        lo, hi = 0, width - k + 1
+    else:
+        groups = [(anchor, 0, len(segment) - width + 1)]
+    middle = (lo + hi) // 2
+    for place, first, end in groups:
+        for a, b in ((lo, middle), (middle, hi)):
+            start, stop = max(first, place - b + 1), min(end, place - a + 1)
+            if start < stop:
+                common = segment[place - a : place - b + 1 + width]
+                key = int.from_bytes(hashlib.md5(common + b"%d %d" % (a, b)).digest()[:8], "little", signed=True)
+                yield start, segment[start : stop - 1 + width], place - start, a, b, key
+
+
 def _anchors(docs: DataFrame, width: int) -> DataFrame:
     """(row, h, first, strings, weight) of all runs of ``docs`` (row, text)."""
 
@@ -128,6 +166,50 @@ def _segments(found: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, kind)
 
 
+def _pieces(hot: DataFrame, width: int) -> DataFrame:
+    """Of (id, segment, copies, anchor, lo, hi): rows of kind 0 (h, id, segment, copies, anchor, lo, hi), once for each batch, and of kind 1 (parent, id, at)."""
+    names = ["kind", "h", "id", "segment", "copies", "anchor", "lo", "hi", "parent", "at"]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                held: dict[bytes, list] = {}
+                links = []
+                for parent, segment, copies, *where in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns), strict=True):
+                    for at, piece, anchor, a, b, key in split(segment, *where, width):
+                        digest = hashlib.md5(piece).digest()
+                        held.setdefault(digest, [0, key, digest, piece, 0, anchor, a, b, None, None])[4] += copies
+                        links.append([1, None, digest, None, None, None, None, None, parent, at])
+                rows = [*held.values(), *links]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], schema=schema)
+
+    return hot.select("id", "segment", "copies", "anchor", "lo", "hi").mapInArrow(run, "kind int, h long, id binary, segment binary, copies long, anchor int, lo int, hi int, parent binary, at int")
+
+
+def _spread(segments: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(segments and pieces (h, id, segment, copies) with at most about HOT bytes to an ``h``, links (parent, id, at) of each level)."""
+    level = segments.select("h", "id", "segment", "copies", F.lit(-1).alias("anchor"), F.lit(0).alias("lo"), F.lit(width).alias("hi"))
+    ready, links = [], []
+    for depth in range(width.bit_length() + 2):
+        large = level.groupBy("h").agg(F.sum(F.length("segment")).alias("n"), F.max(F.col("hi") - F.col("lo")).alias("span"))
+        large = stored(large.filter((F.col("n") > HOT) & (F.col("span") > 1)).select("h"), "hot-hashes")
+        if large.isEmpty():
+            break
+        ready.append(level.join(large, "h", "left_anti"))
+        hot = level.join(large, "h", "left_semi")
+        if depth:
+            made = stored(_pieces(hot, width), "pieces", partition_by=["kind"])
+            links.append(made.filter("kind = 1").select("parent", "id", "at"))
+            hot = made.filter("kind = 0")
+        # the first time, copies from different batches are put together only: often that is enough
+        rest = [F.first(c).alias(c) for c in ("h", "segment", "anchor", "lo", "hi")]
+        level = stored(hot.groupBy("id").agg(F.sum("copies").alias("copies"), *rest), "hot-segments")
+    columns = ["h", "id", "segment", "copies"]
+    return reduce(DataFrame.union, [r.select(columns) for r in [*ready, level]]), links
+
+
 def _judged(segments: DataFrame, width: int) -> DataFrame:
     """(id, spans): of each segment (h, id, segment, copies) with repeated strings, the bytes that they cover."""
     kind = "id binary, spans array<struct<start: int, end: int>>"
@@ -172,7 +254,12 @@ def _spans(df: DataFrame, text: str, width: int) -> tuple[DataFrame, DataFrame]:
     again = stored(anchors.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h"), "repeated-hashes")
     found = anchors.join(again, "h").groupBy("row").agg(F.collect_list(F.struct("h", "first", "strings")).alias("runs"))
     segments = stored(_segments(own.join(stored(found, "runs"), "row").select("row", "text", "runs"), width), "segments", partition_by=["kind"])
-    judged = stored(_judged(segments.filter("kind = 0"), width), "judged")
+    ready, links = _spread(segments.filter("kind = 0"), width)
+    judged = stored(_judged(ready, width), "judged")
+    for link in reversed(links):  # what a piece says of its bytes holds for its parent's
+        moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end")))
+        link = link.filter("parent <> id")  # a piece may be all of its parent
+        judged = stored(judged.union(link.join(judged, "id").select(F.col("parent").alias("id"), moved.alias("spans"))), "judged")
     places = segments.filter("kind = 1").select("id", "row", "first").join(judged, "id").select("row", F.explode(F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end")))).alias("span"))
     return docs, stored(places.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
 

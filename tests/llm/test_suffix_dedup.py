@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import suffix_dedup
 from brindle.llm.suffix_dedup import runs, strip_repeats
@@ -62,6 +63,40 @@ def test_matches_brute_force(spark, monkeypatch, tmp_path):
     assert strip_repeats(df.limit(0)).count() == 0
 
 
+def test_hot_hashes_are_split(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(suffix_dedup, "HOT", 3000)  # of the driver, which decides on levels
+    given = texts()
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(given)], SCHEMA).repartition(3).write.parquet(str(tmp_path / "t"))
+    levels = []
+    spread = suffix_dedup._spread
+    monkeypatch.setattr(suffix_dedup, "_spread", lambda *a: levels.append(spread(*a)) or levels[-1])
+    got = {r.doc_id: r["_stripped"] for r in strip_repeats(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    for i, want in enumerate(brute(given)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
+    ready, links = levels[0]
+    assert len(links) >= 2
+    per_key = ready.groupBy("h").agg(F.sum(F.length("segment")).alias("n"), F.countDistinct("id").alias("ids"))
+    assert per_key.filter("n > 3000 and ids > 1").count() == 0
+
+
+@pytest.mark.parametrize("width", [40, 200])
+def test_split_holds_each_string_once(width):
+    rng = random.Random(8)
+    segments = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(width, 3 * width))) for _ in range(5)] + [b"a" * 2 * width, b"ab" * width]
+    for segment in segments:
+        level = [(0, segment, -1, 0, width)]
+        while level:
+            below = [(at + more, *rest) for at, *given in level for more, *rest in suffix_dedup.split(*given, width)]
+            places = sorted(at + i for at, piece, *_ in below for i in range(len(piece) - width + 1))
+            assert places == list(range(len(segment) - width + 1)) if level[0][2] < 0 else len(places) == sum(len(p) - width + 1 for _, p, *_ in level)
+            assert all(segment[at : at + len(piece)] == piece for at, piece, *_ in below)
+            keys = {}
+            for _, piece, _, _, _, key in below:
+                for i in range(len(piece) - width + 1):
+                    assert keys.setdefault(piece[i : i + width], key) == key
+            level = [x[:5] for x in below if x[4] - x[3] > 1]
+
+
 @pytest.mark.parametrize("width", [40, 200])
 def test_equal_strings_share_a_hash(width):
     rng = random.Random(3)
