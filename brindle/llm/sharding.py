@@ -6,6 +6,7 @@ versioned table; rebalancing edits that table and moves whole slots, never singl
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -104,7 +105,7 @@ def shard(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int
     spark = df.sparkSession
     rows = slotted(df, doc_id, text, slots)
     per_slot = {r.virtual_slot: (r.bytes, r.n) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # one row a slot
-    path = path or f"{folder(spark)}/slot-map-{id(rows)}"
+    path = path or f"{folder(spark)}/slot-map-{uuid.uuid4().hex[:12]}"
     first = SlotMap.start(shards, slots)
     first.save(spark, path)
     first.rebalanced([per_slot.get(s, (0, 0))[0] for s in range(slots)]).save(spark, path)
