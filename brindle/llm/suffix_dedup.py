@@ -167,9 +167,9 @@ def _segments(found: DataFrame, width: int) -> DataFrame:
 
 
 def _pieces(hot: DataFrame, width: int) -> DataFrame:
-    """Of (id, segment, copies, anchor, lo, hi): rows of kind 0 (h, id, segment, copies, anchor, lo, hi), once for each batch, and of kind 1 (parent, id, at)."""
+    """Of (id, segment, copies, anchor, lo, hi): rows of kind 0 (h, id, segment, copies, anchor, lo, hi), once for each batch, and of kind 1 (parent, id, at: all its places in the parent)."""
     names = ["kind", "h", "id", "segment", "copies", "anchor", "lo", "hi", "parent", "at"]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +178,17 @@ def _pieces(hot: DataFrame, width: int) -> DataFrame:
                 held: dict[bytes, list] = {}
                 links = []
                 for parent, segment, copies, *where in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns), strict=True):
+                    places: dict[bytes, list[int]] = {}
                     for at, piece, anchor, a, b, key in split(segment, *where, width):
                         digest = hashlib.md5(piece).digest()
                         held.setdefault(digest, [0, key, digest, piece, 0, anchor, a, b, None, None])[4] += copies
-                        links.append([1, None, digest, None, None, None, None, None, parent, at])
+                        places.setdefault(digest, []).append(at)
+                    # a piece that is all of its parent needs no link: it has the same id
+                    links += ([1, None, digest, None, None, None, None, None, parent, at] for digest, at in places.items() if digest != parent)
                 rows = [*held.values(), *links]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], schema=schema)
 
-    return hot.select("id", "segment", "copies", "anchor", "lo", "hi").mapInArrow(run, "kind int, h long, id binary, segment binary, copies long, anchor int, lo int, hi int, parent binary, at int")
+    return hot.select("id", "segment", "copies", "anchor", "lo", "hi").mapInArrow(run, "kind int, h long, id binary, segment binary, copies long, anchor int, lo int, hi int, parent binary, at array<int>")
 
 
 def _spread(segments: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -257,8 +260,7 @@ def _spans(df: DataFrame, text: str, width: int) -> tuple[DataFrame, DataFrame]:
     ready, links = _spread(segments.filter("kind = 0"), width)
     judged = stored(_judged(ready, width), "judged")
     for link in reversed(links):  # what a piece says of its bytes holds for its parent's
-        moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end")))
-        link = link.filter("parent <> id")  # a piece may be all of its parent
+        moved = F.flatten(F.transform("at", lambda a: F.transform("spans", lambda s: F.struct((s["start"] + a).alias("start"), (s["end"] + a).alias("end")))))
         judged = stored(judged.union(link.join(judged, "id").select(F.col("parent").alias("id"), moved.alias("spans"))), "judged")
     places = segments.filter("kind = 1").select("id", "row", "first").join(judged, "id").select("row", F.explode(F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end")))).alias("span"))
     return docs, stored(places.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
