@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, exact_dedup, mixing, quality, simhash
+from brindle.llm import bpe, exact_dedup, mixing, near_copies, quality
 from brindle.llm.scratch import free_name, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,8 +30,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the smallest doc_id stays."""
-    return simhash.drop_near(docs)
+    """Of each component of texts with four fifths of their five-word shingles in common the smallest doc_id stays."""
+    return near_copies.drop_similar(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("source_mixing", source_mixing),
     ("bpe_encoding", encoding),
 ]
-#: SimHash components and BPE ids are beyond SQL: tests/llm/test_pipeline.py holds the rows against a brute-force version.
+#: Components of near copies and BPE ids are beyond SQL: tests/llm/test_pipeline.py holds the rows against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
