@@ -2,8 +2,8 @@
 
 The page is parsed into a tree, boilerplate elements are cut, and every node gets a density: characters for each
 tag, adjusted for the share of link characters. A node's density sum is the sum over its children. The node with
-the largest sum is taken; the smallest density on its path from the body is the threshold, and of the subtrees
-that pass the threshold the one with the largest sum is the article. All of its text is kept.
+the largest sum is taken; the smallest density on its path from the body is the threshold. An article or main around
+it is kept whole; otherwise all subtrees below the body that pass the threshold are, with plain blocks beside them.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ _CLOSED_BY_BLOCK = frozenset(["p"])
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div body html main td th blockquote nav aside footer header form".split())
 _NEVER_CUT = frozenset("html body article main".split())
+#: Blocks of text that stay beside subtrees that pass the threshold, unless most of them is links.
+_PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl blockquote pre table figure".split())
 #: Words in a class, id or role that mark boilerplate.
 _MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|aside|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|popup|modal|overlay|widgets?|toolbar|login|search|skip|contentinfo|complementary|dialog|site-header|page-header)(?:$|[\s_-])",
@@ -166,7 +168,7 @@ def _measure(nodes: list[_Node], body: _Node) -> None:
 
 
 def select(nodes: list[_Node]) -> _Node | None:
-    """The subtree of the article, None if there is no text."""
+    """The subtree of the article, cut to what passes the threshold, None if there is no text."""
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     _measure(nodes, body)
     inside, below = {id(body)}, [body]
@@ -183,10 +185,25 @@ def select(nodes: list[_Node]) -> _Node | None:
         n = n.parent
         path.append(n)
     threshold = min(n.density for n in path)
-    chosen = max((n for n in below if n.density >= threshold), key=lambda n: n.total, default=best)
-    while chosen.parent is not None and chosen.tag in ("p", "li", "h1", "h2", "h3", "td", "tr", "tbody") and chosen is not body:
-        chosen = chosen.parent  # one block is no article by itself
-    return next((n for n in _ancestors(chosen) if n.tag in ("article", "main")), chosen)
+    whole = next((n for n in _ancestors(best) if n.tag in ("article", "main")), None)
+    if whole is not None:
+        return whole
+    # the subtrees below the body that pass, and plain blocks beside them or beside what holds them
+    kept = {id(n) for n in below if n is not body and n.density >= threshold}
+    holds: set[int] = set()
+    for n in below:
+        up = n if id(n) in kept else None
+        while up is not None and id(up) not in holds:
+            holds.add(id(up))
+            up = up.parent
+    if not kept:
+        return body
+    stack = [body]
+    while stack:
+        n = stack.pop()
+        n.children = [c for c in n.children if isinstance(c, str) or id(c) in holds or ((c.tag in _PLAIN or c.tag in _INLINE) and 2 * c.links <= c.chars)]
+        stack.extend(c for c in n.children if not isinstance(c, str) and id(c) in holds and id(c) not in kept)
+    return body
 
 
 def _ancestors(n: _Node | None) -> Iterator[_Node]:

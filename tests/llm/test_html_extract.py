@@ -31,6 +31,18 @@ def test_article_among_boilerplate(before, after, tag):
     assert text == "\n".join(ARTICLE)
 
 
+LINKS = "<div>" + "".join(f"<a href=/{i}>some link {i}</a> " for i in range(30)) + "</div>"
+
+
+@pytest.mark.parametrize("around", ["", LINKS])
+@pytest.mark.parametrize("wrapper", ["<div id=content>{}</div>", "{}", "<div><div>{}</div></div>"])
+def test_all_sections_and_the_heading_without_an_article_element(around, wrapper):
+    paragraph = "words of a paragraph " * 19
+    sections = "<h1>A heading, 20 chars.</h1>" + "".join("<div>" + f"<p>{paragraph}</p>" * n + "</div>" for n in (5, 3))
+    want = ["A heading, 20 chars.", *[paragraph.strip()] * 8]
+    assert main_text(page(around + wrapper.format(sections) + around)) == "\n".join(want)
+
+
 def test_comments_inside_the_article_and_cut_off_pages():
     inner = BODY + '<section class="comment-list"><div class="comment"><p>Reader: nice.</p></div></section>'
     assert main_text(page(f"<article>{inner}</article>")) == "\n".join(ARTICLE)
