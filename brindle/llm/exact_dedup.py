@@ -1,26 +1,30 @@
 """Exact dedup by deterministic block naming, in DataFrame operations only.
 
-A normalised text is cut into blocks of a fixed size. Equal blocks get one integer name by sorting them, then
-adjacent names are paired and each pair is named the same way, until every text is down to one name. Two texts
-have the same name at the same level exactly if they are equal: no hash decides, so none can collide.
-
-A name is found by ranking keys within a hash bucket. The few hundred keys with most rows are named in a small
-table first and joined by broadcast, so copies by the million neither meet in one task nor move their text.
+A normalised text is cut into blocks of a fixed size, in one pass that also takes its digest. The different blocks
+are sorted, and their places in that order are their integer names; then adjacent names are paired and the pairs are
+named the same way, until every text is down to one name. Two texts have the same name at the same level exactly if
+they are equal: blocks are told apart by their bytes, and no hash decides, so none can collide.
+
+Copies are put together in each task before blocks travel, so a block that a third of all texts hold arrives once
+from each task. Names go back to the rows by the block's hash where only one block has that hash, and by the block's
+bytes elsewhere. A name that holds more than one in HOT_SHARE rows is joined by broadcast: there are HOT_SHARE such
+names at most, whatever the table, and every other name is small enough for one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.scratch import stored
+from brindle.llm.scratch import numbered, stored
 
-#: Keys named beforehand, and the rows that a key needs for it: bounds the broadcast to HOT_KEYS blocks.
-HOT_KEYS, HOT_ROWS = 500, 64
-BLOCK = 2048
-BUCKETS = 1 << 14
+#: Bytes of a block, and the share of all rows, as one in HOT_SHARE, from which on a name is joined by broadcast.
+BLOCK, HOT_SHARE = 2048, 10_000
+#: Stands for the missing right half of a pair; no name is so small.
+_NONE = -(1 << 62)
 
 
 def normalised(text: Column) -> Column:
@@ -28,30 +32,55 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def named(df: DataFrame, key: str, name: str, spread: list[str]) -> DataFrame:
-    """``df`` with the integer ``name`` in place of ``key``: the same for equal keys, and only for them."""
-    busy = df.groupBy(F.xxhash64(key).alias("h")).count().filter(F.col("count") >= HOT_ROWS)
-    busy = busy.orderBy(F.desc("count"), "h").limit(HOT_KEYS).select("h")
-    hot = df.select(key).join(F.broadcast(busy), F.xxhash64(key) == F.col("h"), "left_semi").distinct()
-    hot = hot.select(F.col(key).alias("hot_key"), (-F.row_number().over(Window.orderBy(key))).cast("long").alias("hot_name"))
-    hot = stored(hot, "hot-keys")
-    df = df.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").drop("hot_key")
-    cold = F.col("hot_name").isNull()
-    df = df.withColumn("bucket", F.pmod(F.when(cold, F.xxhash64(key)).otherwise(F.xxhash64(*spread)), F.lit(BUCKETS)))
-    df = df.withColumn(key, F.when(cold, F.col(key)))
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy(key)).cast("long")
-    return df.withColumn(name, F.coalesce("hot_name", rank * BUCKETS + F.col("bucket"))).drop(key, "hot_name", "bucket")
-
-
-def identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(row, doc_id, text_sha256, level, name) for each row; ``row`` is where the row stands in ``df``."""
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("norm"))
-    cut = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
-    rows = rows.select("row", "doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut).alias("blocks"))
-    rows = rows.select("row", "doc_id", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("i", "block"))
+def attached(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each value of ``keys`` and says how many ``rows`` have it.
+
+    Values with a large share of the rows are joined by broadcast. Both sides must be stored tables; keys not null.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    large = F.col(count) * HOT_SHARE >= total  # counts sum to total, so this holds for HOT_SHARE values at most
+    hot = F.broadcast(table.filter(large).drop(count))
+    cold = rows.join(F.broadcast(table.filter(large).select(keys)), keys, "left_anti").join(table.filter(~large).drop(count), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
+def _sorted_names(keys: DataFrame, by: list[str]) -> DataFrame:
+    """``keys`` with an integer ``name`` each: its place in the sorted partitions."""
+    return keys.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
+
+
+def _named_blocks(blocks: DataFrame) -> DataFrame:
+    """(row, i, n, doc_id, sha, name) of stored (row, i, n, doc_id, sha, h, block); h is any hash of block."""
+    distinct = blocks.groupBy("h", "block").agg(F.count("*").alias("rows"))
+    names = stored(_sorted_names(distinct, ["h", "block"]).select("h", "name", "rows"), "block-names")
+    hashes = stored(names.groupBy("h").agg(F.count("*").alias("blocks"), F.min("name").alias("name"), F.sum("rows").alias("rows")), "hashes")
+    narrow = blocks.drop("block")
+    sole = attached(narrow, hashes, ["h"], "rows")
+    if hashes.filter("blocks > 1").isEmpty():
+        return sole.drop("h", "blocks")
+    shared = stored(blocks.join(hashes.filter("blocks > 1").select("h"), "h", "left_semi"), "shared-hashes")
+    names = stored(_sorted_names(shared.groupBy("h", "block").agg(F.count("*").alias("rows")), ["h", "block"]).withColumn("name", -1 - F.col("name")), "shared-names")
+    return sole.filter("blocks = 1").drop("h", "blocks").unionByName(attached(shared, names, ["h", "block"], "rows").drop("h", "block"))
+
+
+def _named_pairs(pairs: DataFrame) -> DataFrame:
+    """(row, i, n, doc_id, sha, name) of stored (row, i, n, doc_id, sha, left, right)."""
+    distinct = pairs.groupBy("left", "right").agg(F.count("*").alias("rows"))
+    names = stored(_sorted_names(distinct, ["left", "right"]), "pair-names")
+    return attached(pairs, names, ["left", "right"], "rows").drop("left", "right")
+
+
+def identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, number: str | None = None, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """(row, doc_id, sha, level, name) for each row of ``df``; ``row`` is the column ``number``, or made up."""
+    row = F.col(number) if number else F.monotonically_increasing_id()
+    rows = df.select(row.alias("row"), F.col(doc_id).alias("doc_id"), normalised(F.col(text)).cast("binary").alias("norm"))
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("norm") / block)).cast("int")
+    rows = rows.select("row", "doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), n.alias("n"), "norm")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     first = F.col("i") == 0
-    rows = rows.withColumns({"doc_id": F.when(first, F.col("doc_id")), "sha": F.when(first, F.col("sha"))})
-    level = stored(named(rows, "block", "name", ["row", "i"]), "level-0")
+    part = F.substring("norm", F.col("i") * block + 1, F.lit(block))
+    rows = rows.select("row", "i", "n", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("sha")).alias("sha"), part.alias("block"))
+    level = stored(_named_blocks(stored(rows.withColumn("h", hashed("block")), "blocks")), "level-0")
     most = level.agg(F.max("n")).first()[0] or 1
     done, depth = [], 0
     while True:
@@ -62,23 +91,19 @@ def identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
         even = F.col("i") % 2 == 0
         pairs = level.filter("n > 1").groupBy("row", F.floor(F.col("i") / 2).cast("int").alias("i")).agg(
             F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.ceil(F.max("n") / 2).cast("int").alias("n"),
-            F.struct(F.max(F.when(even, F.col("name"))).alias("left"), F.max(F.when(~even, F.col("name"))).alias("right")).alias("pair"),
+            F.max(F.when(even, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(_NONE)).alias("right"),
         )
-        # pairs are hashed as struct of two integers; null on the right is an odd end
-        level = stored(named(stored(pairs, "pairs"), "pair", "name", ["row", "i"]), f"level-{depth}")
+        level = stored(_named_pairs(stored(pairs, "pairs")), f"level-{depth}")
     return stored(reduce(DataFrame.unionByName, done), "identities")
 
 
-def _judged(df: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
-    ids = identities(df, doc_id, text, block)
+def _judged(df: DataFrame, doc_id: str, text: str, block: int, number: str | None = None) -> DataFrame:
+    ids = identities(df, doc_id, text, block, number)
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
-    groups = stored(ids.groupBy("level", "name").agg(F.count("*").alias("group_size"), head).filter("group_size > 1"), "groups")
-    ids = ids.join(groups, ["level", "name"], "left")
-    alone = F.col("head").isNull()
-    return ids.select(
-        "row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("head.row") == F.col("row"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    groups = ids.groupBy("level", "name").agg(F.count("*").alias("group_size"), head)
+    groups = groups.select("level", "name", "group_size", F.col("head.doc_id").alias("keep_id"), F.col("head.row").alias("first"))
+    ids = attached(ids, stored(groups.withColumn("rows", F.col("group_size")), "groups"), ["level", "name"], "rows")
+    return ids.select("row", "doc_id", "keep_id", "group_size", (F.col("first") == F.col("row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -86,13 +111,19 @@ def exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Texts are equal when identical after each run of ASCII white space is one space; null counts as empty. Of
     equal texts the row with the smallest doc_id stays (a null doc_id counts as the largest); if that doc_id is
-    repeated, one of its rows stays. Other columns are not looked at. An empty table gives an empty table.
+    repeated, one of its rows stays. A text of any length is cut whole. Other columns are not looked at, so their
+    names can't clash. An empty table gives an empty table.
     """
     return _judged(df, doc_id, text, block).drop("row")
 
 
 def drop_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of ``df`` that stay, with its columns. ``df`` is read twice and must list its rows alike, as files do."""
-    gone = stored(_judged(df, doc_id, text, block).filter(~F.col("kept")).select(F.col("row").alias("__gone")), "gone")
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
-    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    """The rows of ``df`` that stay, with its columns; which do is as in ``exact_duplicates``.
+
+    Rows are numbered in a stored copy of ``df``, so nothing depends on how it lists them. Null, empty, very long
+    and repeated texts are treated as there; columns of any name are carried along; an empty table stays empty.
+    """
+    rows, at = numbered(df)
+    found = _judged(rows, doc_id, text, block, at)
+    gone = stored(found.filter(~F.col("kept")).select(F.col("row").alias(at)), "gone")
+    return rows.join(gone, at, "left_anti").drop(at)

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -47,3 +48,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """A stored copy of ``df`` with a different integer for each row, and that column's name.
+
+    Written once: rows of a table that is read twice may be listed otherwise the second time, since splits depend
+    on the executors that are there.
+    """
+    name = free_name(df, "row_number")
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name

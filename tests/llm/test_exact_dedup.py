@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from brindle.llm.exact_dedup import drop_exact, exact_duplicates
+from pyspark.sql import functions as F
+
+from brindle.llm.exact_dedup import drop_exact, exact_duplicates, identities
 
 SCHEMA = "doc_id long, text string, kept string, row long, name string"
 
@@ -48,3 +50,23 @@ def test_stage_and_empty(spark, tmp_path):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in left.collect()]
     assert len(norm) == len(set(norm)) == len({b[3] for b in brute(given)})
     assert exact_duplicates(df.limit(0)).count() == 0 and drop_exact(df.limit(0)).count() == 0
+
+
+def test_names_are_told_apart_where_hashes_are_not(spark):
+    given = [r for r in rows() if len(r[1] or "") < 4000]
+    df = spark.createDataFrame(given, SCHEMA).repartition(3)
+    for weak in (lambda b: F.lit(1).cast("long"), lambda b: F.pmod(F.xxhash64(b), F.lit(5))):
+        got = identities(df, block=16, hashed=weak).collect()
+        by_name, by_text = {}, {}
+        for r in got:
+            by_name.setdefault((r.level, r.name), set()).add(bytes(r.sha))
+            by_text.setdefault(bytes(r.sha), set()).add((r.level, r.name))
+        assert len(got) == len(given)
+        assert all(len(x) == 1 for x in [*by_name.values(), *by_text.values()])
+
+
+def test_stage_numbers_rows_once(spark):
+    df = spark.createDataFrame([(i, f"text {i % 100}", "k", i, None) for i in range(1000)], SCHEMA)
+    df = df.withColumn("row_number", F.lit("kept")).repartition(7, F.rand())
+    left = drop_exact(df)
+    assert left.columns == df.columns and left.count() == 100 and {r.doc_id for r in left.collect()} == set(range(100))
