@@ -1,9 +1,12 @@
 """Main text of web pages by composite text density.
 
-The page is parsed into a tree, boilerplate elements are cut, and every node gets a density: characters for each
-tag, adjusted for the share of link characters. A node's density sum is the sum over its children. The node with
-the largest sum is taken; the smallest density on its path from the body is the threshold. An article or main around
-it is kept whole; otherwise all subtrees below the body that pass the threshold are, with plain blocks beside them.
+The page is parsed into a tree, and every node gets a density: characters for each tag, adjusted for the share of
+link characters. Text that the page itself declares not to be content (navigation, footers, controls, hidden
+elements, adverts and comments by their class) counts as link text, so such elements have density 0. A node's density
+sum is the sum over its child blocks, text beside them being one more; the subtree with the largest sum is taken
+whole. On its path to the body, a block beside the path stays where its density reaches SHARE of the threshold, which
+is the least density on the path up to that place: so sections and headings of an article that is in several
+subtrees stay, and sidebars, notices and lists of links go.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,86 +28,114 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|style|type)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|\b(hidden)\b""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+#: Of the threshold, what a block beside the path to the body must reach.
+SHARE = 0.5
 # Fixed sets of HTML element names.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_CUT = frozenset("nav footer aside form button select option input script style head svg canvas object embed audio video map dialog menu".split())
-_CLOSED_BY_BLOCK = frozenset(["p"])
+#: Elements that are no text at all.
+_NO_TEXT = frozenset("script style head svg canvas object embed audio video map input".split())
+#: Elements that HTML declares not to be main content, or to be controls.
+_ASIDE = frozenset("nav footer aside form button select option label legend datalist dialog menu".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div body html main td th blockquote nav aside footer header form".split())
-_NEVER_CUT = frozenset("html body article main".split())
-#: Blocks of text that stay beside subtrees that pass the threshold, unless most of them is links.
+_CONTENT = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of text that stay beside the path if less than half of them is links.
 _PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl blockquote pre table figure".split())
-#: Words in a class, id or role that mark boilerplate.
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|aside|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|popup|modal|overlay|widgets?|toolbar|login|search|skip|contentinfo|complementary|dialog|site-header|page-header)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: A class or id token is a mark if one of its words is of the first set and all others are of either.
+_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts sidebar aside menu menus nav navbar navigation "
+    "breadcrumb breadcrumbs pagination pager footer masthead topbar comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations "
+    "newsletter subscribe subscription signup popup modal overlay widget widgets toolbar login search skip banner".split()
 )
-_HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|banner)(?:$|[\s_-])", re.IGNORECASE)
+_FILLERS = frozenset("list box wrapper wrap container block section area item inner outer top bottom left right main site page slot unit bar link links post posts form header text content google global primary secondary mobile".split())
+_WORD = re.compile(r"[a-z]+|[0-9]+")
+_ROLES = frozenset("navigation contentinfo complementary dialog alertdialog alert search menu menubar toolbar banner".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "links", "tags", "link_tags", "density", "total", "block", "off")
 
-    def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Node | None, off: str = ""):
+        self.tag, self.parent, self.off = tag, parent, off
         self.children: list[_Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
+        self.block = tag not in _INLINE
 
 
-def _cut(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in _CUT or (tag == "header" and not inside_article):
-        return True
-    if not attributes or tag in _NEVER_CUT:
-        return False
-    for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if hidden or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
-            return True
-        if name in ("class", "id", "role") and (_MARKED.search(value) or (not inside_article and _HEADER.search(value))):
+@lru_cache(maxsize=1 << 14)
+def _marked(value: str) -> bool:
+    """Whether a token of a class or id attribute marks boilerplate."""
+    for token in value.split():
+        words = [w for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if not w.isdigit()]
+        if any(w in _MARKS for w in words) and all(w in _MARKS or w in _FILLERS for w in words):
             return True
     return False
 
 
+def _off(tag: str, attributes: str, inside_article: bool) -> str:
+    """Why the element isn't content: it is "hidden", a "form", "declared" or "named" so; empty if it may be."""
+    if tag in _NO_TEXT:
+        return "hidden"
+    found: dict[str, str] = {}
+    if attributes:
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            found.setdefault(name.lower(), html.unescape(a or b or c))
+        if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE):
+            return "hidden"
+    if tag == "form":
+        return "form"
+    if tag in _ASIDE or (tag == "header" and not inside_article):
+        return "declared"
+    if tag in _CONTENT or tag in _HEADINGS or tag in ("html", "body"):
+        return ""
+    if found.get("role", "").strip().lower() in _ROLES:
+        return "declared"
+    # ids inside an article are mostly anchors of its sections
+    named = _marked(found.get("class", "")) or (not inside_article and _marked(found.get("id", "")))
+    return "named" if named else ""
+
+
 def parse(page: str) -> list[_Node]:
-    """All nodes that are not boilerplate, parents first; the first is the root."""
+    """All nodes that can be seen, parents first; the first is the root."""
     root = _Node("#root", None)
     nodes, node, at = [root], root, 0
-    skipped: list[str] = []  # open elements below one that was cut
+    hidden: list[str] = []  # open elements below one that can't be seen
     articles = 0
 
     def close(target: _Node) -> _Node:
         nonlocal articles, node
         while node is not target:
-            articles -= node.tag in ("article", "main")
+            articles -= node.tag in _CONTENT
             node = node.parent
-        articles -= node.tag in ("article", "main")
+        articles -= node.tag in _CONTENT
         return node.parent or root
 
     for m in _TOKEN.finditer(page):
-        if not skipped and m.start() > at:
+        if not hidden and m.start() > at:
             node.children.append(page[at : m.start()])
         at = m.end()
         raw, slash, tag, attributes = m.groups()
         if tag is None:
             continue
         tag = tag.lower()
-        if skipped:
+        if hidden:
             if slash:
-                if tag in skipped:
-                    while skipped.pop() != tag:
+                if tag in hidden:
+                    while hidden.pop() != tag:
                         pass
-                elif tag in ("body", "html", "article", "main"):
-                    skipped.clear()  # the cut element was never closed
+                elif tag in ("body", "html", *_CONTENT):
+                    hidden.clear()  # the hidden element was never closed
                 else:
                     continue
-                if skipped or tag not in ("body", "html", "article", "main"):
+                if hidden or tag not in ("body", "html", *_CONTENT):
                     continue
             else:
                 if tag not in _VOID and not attributes.endswith("/") and tag not in ("p", "li", "option", "dt", "dd"):
-                    skipped.append(tag)
+                    hidden.append(tag)
                 continue
         if slash:
             up = node
@@ -116,7 +148,8 @@ def parse(page: str) -> list[_Node]:
                 node = close(up)
             continue
         if tag in _VOID:
-            node.tags += 1
+            if tag not in ("input", "meta", "link", "base"):
+                node.tags += 1
             if tag in ("br", "hr", "wbr", "img"):
                 node.children.append("\n" if tag != "wbr" else "")
             continue
@@ -129,22 +162,24 @@ def parse(page: str) -> list[_Node]:
             if up.tag in _SCOPE and up.tag not in ends:
                 break
             up = up.parent
-        if _cut(tag, attributes, articles > 0):
+        off = _off(tag, attributes, articles > 0)
+        if off == "hidden":
             if not attributes.endswith("/"):
-                skipped.append(tag)
+                hidden.append(tag)
             continue
-        made = _Node(tag, node)
+        made = _Node(tag, node, off)
         node.children.append(made)
         nodes.append(made)
         if not attributes.endswith("/"):
             node = made
-            articles += tag in ("article", "main")
-    if not skipped and at < len(page):
+            articles += tag in _CONTENT
+    if not hidden and at < len(page):
         node.children.append(page[at:])
     return nodes
 
 
-def _measure(nodes: list[_Node], body: _Node) -> None:
+def _count(nodes: list[_Node]) -> None:
+    """Characters and tags of each subtree, and those of links and of what isn't content."""
     for n in reversed(nodes):
         n.tags += 1
         for c in n.children:
@@ -152,66 +187,76 @@ def _measure(nodes: list[_Node], body: _Node) -> None:
                 n.chars += len("".join(c.split()))
             else:
                 n.chars += c.chars
-                n.links += c.links
                 n.tags += c.tags
+                n.block = n.block or c.block
+    whole = nodes[0].chars
+    holds: set[int] = set()  # subtrees around an article
+    headed: set[int] = set()  # subtrees around a main heading
+    for n in reversed(nodes):
+        for found in [holds] * (n.tag in _CONTENT) + [headed] * (n.tag == "h1"):
+            up = n.parent
+            while up is not None and id(up) not in found:
+                found.add(id(up))
+                up = up.parent
+        if id(n) in holds or (n.off == "form" and (id(n) in headed or 2 * n.chars >= whole)):
+            n.off = ""  # it was never closed, or wraps the page
+    for n in reversed(nodes):
+        for c in n.children:
+            if not isinstance(c, str):
+                n.links += c.links
                 n.link_tags += c.link_tags
-        if n.tag == "a":
+        if n.off or n.tag == "a":
             n.links, n.link_tags = n.chars, n.tags
+
+
+def _density(chars: int, links: int, tags: int, link_tags: int, whole: float) -> float:
+    """Composite density; ``whole`` is the share of link characters in the body."""
+    if not chars or links >= chars:
+        return 0.0
+    base = math.log(chars / (chars - links) * links + whole * chars + math.e)
+    return chars / tags * max(0.0, math.log(chars / max(1, links) * tags / max(1, link_tags) + 1e-9)) / base
+
+
+def _measure(nodes: list[_Node], body: _Node) -> None:
+    _count(nodes)
     whole = body.links / max(1, body.chars)
     for n in reversed(nodes):
-        tags = max(1, n.tags - 1)  # of its descendants, or itself
-        if n.chars:
-            plain = max(1, n.chars - n.links)
-            base = math.log(n.chars / plain * n.links + whole * n.chars + math.e)
-            n.density = n.chars / tags * max(0.0, math.log(n.chars / max(1, n.links) * tags / max(1, n.link_tags) + 1e-9)) / base
-        n.total = sum(c.density for c in n.children if not isinstance(c, str)) or n.density
+        n.density = _density(n.chars, n.links, max(1, n.tags - 1), n.link_tags, whole)  # of its descendants, or itself
+        below = [c for c in n.children if not isinstance(c, str) and c.block]
+        if not below or n.off:
+            n.total = n.density
+            continue
+        own = [sum(getattr(c, f) for c in below) for f in ("chars", "links", "tags", "link_tags")]
+        n.total = sum(c.density for c in below) + _density(n.chars - own[0], n.links - own[1], max(1, n.tags - 1 - own[2]), n.link_tags - own[3], whole)
 
 
 def select(nodes: list[_Node]) -> _Node | None:
-    """The subtree of the article, cut to what passes the threshold, None if there is no text."""
+    """The body with only the main text's subtrees left in it, None if there is no text."""
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     _measure(nodes, body)
     inside, below = {id(body)}, [body]
     for n in nodes:
-        if n.parent is not None and id(n.parent) in inside:
+        if n.parent is not None and id(n.parent) in inside and not n.off:
             inside.add(id(n))
             below.append(n)
-    below = [n for n in below if n.chars and n.tag not in _INLINE]
+    below = [n for n in below if n.chars > n.links and n.block]
     if not below:
-        return None
+        return body if body.chars and not body.off else None
     best = max(below, key=lambda n: n.total)
-    path, n = [best], best
-    while n is not body and n.parent is not None:
-        n = n.parent
-        path.append(n)
-    threshold = min(n.density for n in path)
-    whole = next((n for n in _ancestors(best) if n.tag in ("article", "main")), None)
-    if whole is not None:
-        return whole
-    # the subtrees below the body that pass, and plain blocks beside them or beside what holds them
-    kept = {id(n) for n in below if n is not body and n.density >= threshold}
-    holds: set[int] = set()
-    for n in below:
-        up = n if id(n) in kept else None
-        while up is not None and id(up) not in holds:
-            holds.add(id(up))
-            up = up.parent
-    if not kept:
-        return body
-    stack = [body]
-    while stack:
-        n = stack.pop()
-        n.children = [c for c in n.children if isinstance(c, str) or id(c) in holds or ((c.tag in _PLAIN or c.tag in _INLINE) and 2 * c.links <= c.chars)]
-        stack.extend(c for c in n.children if not isinstance(c, str) and id(c) in holds and id(c) not in kept)
+    threshold, n = best.density, best
+    while n is not body:
+        up = n.parent
+        kept = []
+        for c in up.children:
+            if c is n or isinstance(c, str):
+                kept.append(c)
+            elif not c.off and (c.density >= SHARE * threshold or ((c.tag in _PLAIN or not c.block) and 2 * c.links <= c.chars)):
+                kept.append(c)
+        up.children = kept
+        threshold, n = min(threshold, up.density), up
     return body
 
 
-def _ancestors(n: _Node | None) -> Iterator[_Node]:
-    while n is not None:
-        yield n
-        n = n.parent
-
-
 def blocks(top: _Node) -> list[str]:
     """The texts of all blocks below ``top`` in page order, white space collapsed."""
     out: list[list[str]] = [[]]
@@ -222,6 +267,8 @@ def blocks(top: _Node) -> list[str]:
             out.append([])
         elif isinstance(n, str):
             out[-1].append(n)
+        elif n.off:
+            out.append([]) if n.block else None
         elif n.tag in _INLINE:
             stack.extend(reversed(n.children))
         else:
@@ -243,7 +290,7 @@ def extracted(df: DataFrame, text: str = "html", name: str = "extracted") -> Dat
 
     Null, empty and textless pages give an empty text. Unclosed elements, stray end tags and pages cut off
     anywhere are read as far as they go; pages of any length are read whole. Repeated rows get the same result.
-    If ``df`` has a column called ``name``, underscores are put in front.
+    If ``df`` has a column called ``name``, underscores are put in front. An empty table gives an empty table.
     """
     name = free_name(df, name)
     at = df.columns.index(text)

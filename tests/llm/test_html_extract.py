@@ -61,6 +61,36 @@ def test_very_deep_and_long():
     assert len(main_text(page("<article>" + "<p>word word</p>" * 50000 + "</article>"))) == 50000 * 10 - 1
 
 
+@pytest.mark.parametrize("opening", ['<p title="The hidden valley">', '<p data-state="hidden">', '<p data-id="menu">', '<p class="search-and-rescue">', "<p title='a > b' id=related-work>", "<p aria-hidden=false style='color: red'>"])
+def test_attributes_are_compared_not_searched(opening):
+    inner = BODY.replace("<p>Second", f"{opening}Second")
+    for tag in ("article", "div"):
+        assert main_text(page(f"<nav><a href=/>x</a></nav><{tag}>{inner}</{tag}>")) == "\n".join(ARTICLE)
+
+
+@pytest.mark.parametrize("opening", ["<p hidden>", "<p class=x HIDDEN=''>", "<p aria-hidden='true'>", "<p style='DISPLAY :none'>", "<p class='x ad-slot-2'>", "<p class=cookieNotice>"])
+def test_marked_blocks_go(opening):
+    inner = BODY.replace("<p>Second", f"{opening}Other words that can't be seen.</p><p>Second")
+    assert main_text(page(f"<article>{inner}</article>")) == "\n".join(ARTICLE)
+
+
+def test_sections_named_like_boilerplate_stay_in_an_article():
+    inner = BODY.replace("<p>Second", "<section id=related-work><h2 id='search'>Search</h2><p id=login>On logging in.</p></section><p>Second")
+    assert main_text(page(f"<article>{inner}</article>")) == "\n".join([*ARTICLE[:2], "Search", "On logging in.", *ARTICLE[2:]])
+
+
+def test_form_around_the_page_and_nav_never_closed():
+    form = f"<form id=aspnet><nav><a href=/>Home</a></nav><div>{BODY}</div><label>Name</label><select><option>x</select><button>Send it</button></form>"
+    assert main_text(page(form)) == "\n".join(ARTICLE)
+    assert main_text(page(f"<nav><ul><li><a href=/>Home</a><article>{BODY}</article>")).split("\n")[-len(ARTICLE) :] == ARTICLE
+
+
+def test_threshold_leaves_out_what_is_not_marked():
+    paragraph = "words of a paragraph " * 19
+    around = "<div><ul>" + "".join(f"<li><a href=/{i}>some link {i}</a></li>" for i in range(30)) + "</ul></div><div><b>Teaser</b> <i>with</i> <u>few</u> <b>words</b></div>"
+    assert main_text(page(f"<div>{around}<div><h1>Title of it</h1>{f'<p>{paragraph}</p>' * 4}</div>{around}</div>")) == "\n".join(["Title of it", *[paragraph.strip()] * 4])
+
+
 def expected(raw):
     """The article of the test tables' pages, by their known frame."""
     inner = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", raw, re.S).group(1)
@@ -73,6 +103,7 @@ def test_tables(spark):
     rows = duckdb.sql("SELECT page_id, html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
     for _, raw in rows:
         assert main_text(raw) == expected(raw)
+        assert main_text(raw.replace("<article>", "<div>").replace("</article>", "</div>")) == expected(raw)
     df = spark.createDataFrame([(i, h, "x") for i, h in [*rows[:20], (-1, None), *rows[:2]]], "page_id long, html string, extracted string")
     out = extracted(df)
     assert out.columns == ["page_id", "html", "extracted", "_extracted"]
