@@ -1,13 +1,15 @@
 """Quality rules by repetition coverage.
 
-Words, lines and word n-grams are hashed with a polynomial rolling hash over prefix sums, so the hash of any
-span costs two lookups and a multiplication. Repeats are found by sorting the hashes of about a megabyte of
-text at a time. A rule then measures which share of a text's word characters lies inside lines, or inside
-n-grams of a given length, that stood in the same text before.
+Words, lines and word n-grams are hashed with polynomial rolling hashes over prefix sums, modulo a prime, so the
+hash of any span costs two lookups and a multiplication. Repeats are found by sorting the hashes of about a megabyte
+of text at a time; spans whose hashes agree are then compared, so no collision counts as a repeat. A rule measures
+which share of a text's word characters lies inside lines, or inside n-grams of a given length, that stood in the
+same text before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,9 +21,11 @@ from pyspark.sql import types as T
 from brindle.llm.arrow_text import pieces, with_struct
 from brindle.llm.scratch import free_name
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_STEP = np.uint64(0xD1342543DE82EF95)
-_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
+#: The prime is 2^31 - 1; two bases make a key of 62 bits.
+_P, _BASES = np.uint64((1 << 31) - 1), (1_103_515_245, 1_664_525_013)
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+#: Bytes, or word ids, of spans that are compared at once.
+_COMPARED = 1 << 20
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
@@ -42,50 +46,97 @@ class Rules:
         return T.StructType([*(T.StructField(c, T.LongType()) for c in longs), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, for x below 2^63."""
+    for _ in range(2):
+        x = (x & _P) + (x >> np.uint64(31))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        some = min(done, n - done)
+        out[done : done + some] = _mod(out[:some] * np.uint64(pow(base, done, int(_P))))
+        done += some
+    return out
 
 
 class _Roll:
-    """Hash of any span of a sequence of 64-bit symbols, modulo 2^64."""
+    """Hashes of any span of a sequence of symbols below 2^31 - 1."""
 
-    _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _cache: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
         size = 1 << max(10, n.bit_length())
         if size not in self._cache:
             self._cache.clear()
-            self._cache[size] = _powers(_BASE, size), _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), size)
-        power, self.inverse = self._cache[size]
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols * power[:n], out=self.sums[1:])
+            self._cache[size] = [(_powers(b, size), _powers(pow(b, -1, int(_P)), size)) for b in _BASES]
+        self.powers = self._cache[size]
+        self.sums = [np.r_[np.uint64(0), np.cumsum(_mod(symbols * power[:n]), dtype=np.uint64)] for power, _ in self.powers]
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
+        low, high = (_mod(_mod(sums[end] - sums[start]) * inverse[start]) for sums, (_, inverse) in zip(self.sums, self.powers, strict=True))
+        return low | high << np.uint64(31)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _STEP
-    h = (h ^ (h >> np.uint64(29))) * _BASE
+    h = (h ^ (h >> np.uint64(29))) * _MIX
     return h ^ (h >> np.uint64(32))
 
 
-def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(found twice or more, found before) for each key in order."""
-    twice, before = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    if len(keys) > 1:
-        order = np.argsort(keys)
-        same = keys[order[1:]] == keys[order[:-1]]
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        heads = np.flatnonzero(np.r_[True, ~same])
-        first = np.minimum.reduceat(order, heads)
-        before[:] = twice
-        before[first] = False
-    return twice, before
+def _equal(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether symbols[a[i]:a[i] + size[i]] and symbols[b[i]:b[i] + size[i]] are equal."""
+    out = np.ones(len(a), bool)
+    upto = np.cumsum(size)
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - size[lo] + _COMPARED, side="right")))
+        if hi == lo + 1:
+            out[lo] = np.array_equal(symbols[a[lo] : a[lo] + size[lo]], symbols[b[lo] : b[lo] + size[lo]])
+        else:
+            n = size[lo:hi]
+            head = np.cumsum(n) - n
+            at = np.arange(n.sum()) - np.repeat(head, n)
+            differ = np.r_[0, np.cumsum(symbols[np.repeat(a[lo:hi], n) + at] != symbols[np.repeat(b[lo:hi], n) + at])]
+            out[lo:hi] = differ[head + n] == differ[head]
+        lo = hi
+    return out
+
+
+def _named(keys: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], content: Callable[[int], object]) -> np.ndarray:
+    """A name for each item, below twice their number: the same for equal items, and only for them.
+
+    Equal items have equal ``keys``; ``same`` compares items pairwise, and ``content`` tells them apart where keys don't.
+    """
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    tie = np.flatnonzero(sorted_keys[1:] == sorted_keys[:-1])
+    run = np.ones(len(keys), np.int64)
+    run[tie + 1] = 0
+    run = np.cumsum(run) - 1
+    names = np.empty(len(keys), np.int64)
+    names[order] = run
+    good = same(order[tie], order[tie + 1])
+    for r in np.unique(run[tie[~good]]).tolist():
+        seen: dict = {}
+        lo, hi = np.searchsorted(run, [r, r + 1])
+        for i in order[lo:hi].tolist():
+            names[i] = seen.setdefault(content(i), len(keys) + i)
+    return names
+
+
+def _repeats(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(found twice or more, found before) for each name in order."""
+    if not len(names):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    at, most = np.arange(len(names)), int(names.max()) + 1
+    first = np.zeros(most, np.int64)
+    first[names[::-1]] = at[::-1]
+    return np.bincount(names, minlength=most)[names] > 1, first[names] != at
 
 
 def _covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -114,7 +165,7 @@ def measure(buf: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndar
     symbols = total(_SYMBOL[buf])
     out = {"n_words": np.bincount(doc, minlength=n), "word_chars": by_doc(chars, doc), "n_symbols": symbols[off[1:]] - symbols[off[:-1]]}
 
-    bytes_roll = _Roll(_TABLE[buf])
+    bytes_roll = _Roll(buf.astype(np.uint64) + np.uint64(1))
     salt = (np.arange(n, dtype=np.uint64) + np.uint64(1)) * _STEP
 
     newline = np.flatnonzero(buf == 10)
@@ -123,18 +174,41 @@ def measure(buf: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndar
     line_chars = letters[line_end] - letters[line_start]
     worded = np.flatnonzero(line_chars > 0)
     line_start, line_end, line_doc, line_chars = line_start[worded], line_end[worded], line_doc[worded], line_chars[worded]
-    span = _mix(bytes_roll.spans(line_start, line_end)) + (line_end - line_start).astype(np.uint64)
-    _, before = _repeats(_mix(span ^ salt[line_doc]))
+    line_size = line_end - line_start
+    span = _mix(bytes_roll.spans(line_start, line_end)) + line_size.astype(np.uint64)
+
+    def same_line(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        alike = (line_doc[a] == line_doc[b]) & (line_size[a] == line_size[b])
+        alike[alike] = _equal(buf, line_start[a[alike]], line_start[b[alike]], line_size[a[alike]])
+        return alike
+
+    _, before = _repeats(_named(_mix(span ^ salt[line_doc]), same_line, lambda i: (line_doc[i], buf[line_start[i] : line_end[i]].tobytes())))
     out["n_dup_lines"] = np.bincount(line_doc[before], minlength=n)
     out["dup_line_chars"] = by_doc(line_chars[before], line_doc[before])
 
-    words = len(start)
-    roll = _Roll(_mix(_mix(bytes_roll.spans(start, end)) + (end - start).astype(np.uint64)))
+    words, size = len(start), end - start
+
+    def same_word(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        alike = size[a] == size[b]
+        alike[alike] = _equal(buf, start[a[alike]], start[b[alike]], size[a[alike]])
+        return alike
+
+    word = _named(_mix(bytes_roll.spans(start, end)) + size.astype(np.uint64), same_word, lambda i: buf[start[i] : end[i]].tobytes())
+    roll = _Roll(word.astype(np.uint64) + np.uint64(1))
 
     def windows(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.arange(max(0, words - width + 1))
         first = first[doc[first] == doc[first + width - 1]]
-        return first, *_repeats(_mix(roll.spans(first, first + width) ^ salt[doc[first]]))
+        held = doc[first]
+
+        def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            alike = held[a] == held[b]
+            for k in range(width):
+                alike &= word[first[a] + k] == word[first[b] + k]
+            return alike
+
+        keys = _mix(roll.spans(first, first + width) ^ salt[held])
+        return first, *_repeats(_named(keys, same, lambda i: (held[i], word[first[i] : first[i] + width].tobytes())))
 
     first, twice, _ = windows(rules.repeat_words_n)
     inside = _covered(first[twice], rules.repeat_words_n, words)
@@ -173,6 +247,10 @@ def quality(df: DataFrame, text: str = "text", rules: Rules | None = None, name:
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: Rules | None = None) -> DataFrame:
-    """The rows of ``df`` that pass all rules, with its columns."""
+    """The rows of ``df`` that pass all rules, with its columns.
+
+    Null and empty texts go; texts of any length are read whole; repeated rows stay or go together. Columns of any
+    name are carried along. An empty table stays empty.
+    """
     name = free_name(df, "quality")
     return quality(df, text, rules, name).filter(F.col(name)["kept"]).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -56,6 +56,29 @@ def test_matches_brute_force(spark):
     assert any(x["kept"] for x in got.values())
 
 
+def thue_morse(n, flip):
+    return "".join("ab"[(i.bit_count() & 1) ^ flip] for i in range(n))
+
+
+def test_different_spans_with_like_hashes(spark, monkeypatch):
+    """Thue-Morse words collide under any polynomial modulo 2^64; and all spans do if the hash is constant."""
+    rows = [(n, f"{thue_morse(n, 0)}\n{thue_morse(n, 1)}") for n in (1024, 2048, 4096, 8192)]
+    got = quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.quality.n_dup_lines for r in got] == [0] * 4
+    import numpy as np
+    import pyarrow as pa
+
+    from brindle.llm import quality as module
+    from brindle.llm.arrow_text import pieces
+
+    monkeypatch.setattr(module._Roll, "spans", lambda self, start, end: np.zeros(len(start), np.uint64))
+    given = [t for t in texts() if len(t or "") < 2000]
+    for lo, hi, buf, off in pieces(pa.array(given, pa.string()), 20_000):
+        figures = module.measure(buf, off, Rules())
+        for i in range(lo, hi):
+            assert {k: v[i - lo] for k, v in figures.items()} == brute(given[i])
+
+
 def test_clashing_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "x " * 10, "q", True), (2, " ".join(map(str, range(80))), "r", None)], "doc_id long, text string, quality string, kept boolean")
     assert quality(df).columns == ["doc_id", "text", "quality", "kept", "_quality"]
