@@ -7,8 +7,7 @@ they are equal: blocks are told apart by their bytes, and no hash decides, so no
 
 Copies are put together in each task before blocks travel, so a block that a third of all texts hold arrives once
 from each task. Names go back to the rows by the block's hash where only one block has that hash, and by the block's
-bytes elsewhere. A name that holds more than one in HOT_SHARE rows is joined by broadcast: there are HOT_SHARE such
-names at most, whatever the table, and every other name is small enough for one task.
+bytes elsewhere; names with a large share of all rows go by broadcast (``scratch.attached``).
 """
 
 from __future__ import annotations
@@ -19,10 +18,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.scratch import numbered, stored
+from brindle.llm.scratch import attached, numbered, stored
 
-#: Bytes of a block, and the share of all rows, as one in HOT_SHARE, from which on a name is joined by broadcast.
-BLOCK, HOT_SHARE = 2048, 10_000
+BLOCK = 2048
 #: Stands for the missing right half of a pair; no name is so small.
 _NONE = -(1 << 62)
 
@@ -32,18 +30,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def attached(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row for each value of ``keys`` and says how many ``rows`` have it.
-
-    Values with a large share of the rows are joined by broadcast. Both sides must be stored tables; keys not null.
-    """
-    total = table.agg(F.sum(count)).first()[0] or 0
-    large = F.col(count) * HOT_SHARE >= total  # counts sum to total, so this holds for HOT_SHARE values at most
-    hot = F.broadcast(table.filter(large).drop(count))
-    cold = rows.join(F.broadcast(table.filter(large).select(keys)), keys, "left_anti").join(table.filter(~large).drop(count), keys)
-    return rows.join(hot, keys).unionByName(cold)
-
-
 def _sorted_names(keys: DataFrame, by: list[str]) -> DataFrame:
     """``keys`` with an integer ``name`` each: its place in the sorted partitions."""
     return keys.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+#: A value that one in HOT_SHARE rows has, or more, is joined by broadcast: HOT_SHARE values at most, whatever the table.
+HOT_SHARE = 10_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -58,3 +60,15 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """
     name = free_name(df, "row_number")
     return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def attached(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each value of ``keys`` and says how many ``rows`` have it.
+
+    Values with a large share of the rows are joined by broadcast. Both sides must be stored tables; keys not null.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    large = F.col(count) * HOT_SHARE >= total  # counts sum to total, so this holds for HOT_SHARE values at most
+    hot = F.broadcast(table.filter(large).drop(count))
+    cold = rows.join(F.broadcast(table.filter(large).select(keys)), keys, "left_anti").join(table.filter(~large).drop(count), keys)
+    return rows.join(hot, keys).unionByName(cold)

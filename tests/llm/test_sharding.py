@@ -1,6 +1,10 @@
+import struct
 import zlib
+from collections import Counter
 
-from brindle.llm.sharding import SlotMap, shard
+import xxhash
+
+from brindle.llm.sharding import SLOTS, SlotMap, shard
 
 SCHEMA = "doc_id long, text string, shard string, slot long"
 
@@ -32,3 +36,57 @@ def test_growth_moves_slots_only_to_the_new_shard():
 
 def test_empty(spark):
     assert shard(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def chained(*values):
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_assignment_matches_brute_force(spark):
+    given = [(i, "text " * (i * 7 % 90), "x", 1) for i in range(500)] + [(7, "copies", None, i) for i in range(300)] + [(None, None, None, 1)] * 9 + [(9, "long " * 400_000, "", 1)]
+    got = shard(spark.createDataFrame(given, SCHEMA).repartition(5)).collect()
+    seen, want, load = Counter(), [], [0] * SLOTS
+    for d, t, *_ in given:
+        raw = (t or "").encode()
+        row = d, len(raw) + 1, zlib.crc32(raw)
+        key = chained(d, row[2], row[1])
+        slot = chained(key, seen[row]) % SLOTS
+        seen[row] += 1
+        load[slot] += row[1]
+        want.append((*row, slot))
+    home = SlotMap.start(16).rebalanced(load).shard_of
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.virtual_slot, r.shard) for r in got) == Counter((*w, home[w[3]]) for w in want)
+
+
+def test_repeated_rows_are_spread(spark):
+    df = spark.range(10_000).selectExpr("cast(1 as long) doc_id", "repeat('same ', 20) text").unionByName(spark.range(2000).selectExpr("id doc_id", "'other' text"))
+    load = Counter()
+    for r in shard(df).collect():
+        load[r.shard] += r.size
+    assert len(load) == 16 and max(load.values()) - min(load.values()) <= 0.01 * max(load.values())
+
+
+def test_second_call_edits_the_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    given = [(i, "é" * (i * 31 % 97), "x", 1) for i in range(5000)]
+    df = spark.createDataFrame(given, SCHEMA).repartition(3)
+    first = {r.doc_id: r for r in shard(df, path=path).collect()}
+    again = {r.doc_id: r for r in shard(df, path=path).collect()}
+    assert {i: tuple(r) for i, r in first.items()} == {i: tuple(r) for i, r in again.items()}
+    more = df.union(spark.createDataFrame([(i, "new " * (i % 50), "x", 1) for i in range(5000, 7000)], SCHEMA))
+    third = {r.doc_id: r for r in shard(more, path=path).collect()}
+    versions = [r.version for r in spark.read.parquet(path).groupBy("version").count().filter(f"count = {SLOTS}").sort("version").collect()]
+    assert versions == [1, 2, 3]
+    old, new = SlotMap.load(spark, path, 2).shard_of, SlotMap.load(spark, path).shard_of
+    assert 0 < sum(a != b for a, b in zip(old, new, strict=True)) < SLOTS / 8
+    assert all((r.shard == third[i].shard) == (old[r.virtual_slot] == new[r.virtual_slot]) for i, r in first.items())
+    load = Counter()
+    for r in third.values():
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) <= 0.01 * max(load.values())
+    grown = {r.doc_id: r for r in shard(more, shards=17, path=path).collect()}
+    assert {r.shard for r in grown.values()} == set(range(17)) and {r.map_version for r in grown.values()} <= {4, 5}
