@@ -1,5 +1,12 @@
-from brindle.llm.queries import URL_RULES
-from brindle.llm.url_filter import FANOUT, filter_urls
+import math
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+
+from brindle.llm.queries import URL_RULES, op8_url_templates
+from brindle.llm.url_filter import APART, FANOUT, PRIOR, PRIOR_LABELS, REJECT, STRONG, filter_urls
 
 SCHEMA = "page_id long, url string, host string, verdict long"
 
@@ -38,22 +45,118 @@ def test_hosts_paths_and_rules(spark):
         assert r.verdict == best[0] if best else r.verdict in ("allow", "block")
 
 
+ID = re.compile(r"([0-9]+(\.[A-Za-z]{1,5})?|[0-9A-Fa-f]{8,}|[0-9A-Fa-f]{8}-[0-9A-Fa-f-]{9,}|[0-9]{4}-[0-9]{2}(-[0-9]{2})?|.*[0-9]{4,}.*)")
+
+
+def brute_tree(urls, rules_of, labelled=()):
+    """(template, purity, basis) of each url, on nested dictionaries."""
+    lexical = lambda path: tuple("*" if ID.fullmatch(x) else x for x in path.split("/") if x)
+    pages, labels = Counter(), defaultdict(Counter)
+    for u in urls:
+        host, path, best = rules_of(u)
+        pages[host, lexical(path)] += 1
+        if best:
+            labels[host, lexical(path)][best[0] == "block"] += 1
+    for u, rejected in labelled:
+        host, path, _ = rules_of(u)
+        pages[host, lexical(path)] += 0
+        labels[host, lexical(path)][rejected] += 1
+    at = {k: list(k[1]) for k in pages}
+    for depth in range(max((len(x) for x in at.values()), default=0)):
+        children = defaultdict(Counter)
+        for (host, lex), x in at.items():
+            if len(x) > depth and x[depth] != "*":
+                children[host, tuple(x[:depth])][x[depth]] += pages[host, lex]
+        for (host, _), x in at.items():
+            of = children.get((host, tuple(x[:depth])), {})
+            if len(x) > depth and len(of) > FANOUT and of.get(x[depth], 0) < STRONG * sum(of.values()):
+                x[depth] = "*"
+    count = defaultdict(Counter)
+    for k, x in at.items():
+        count[k[0], tuple(x)] += labels[k]
+    merged = {k: k[1] for k, c in count.items() if sum(c.values()) and k[1]}
+    for depth in reversed(range(max((len(x) for x in merged.values()), default=0))):
+        nodes = defaultdict(Counter)
+        for k, x in merged.items():
+            if len(x) > depth and x[depth] != "*":
+                nodes[k[0], x] += count[k]
+        siblings = defaultdict(list)
+        for (host, x), c in nodes.items():
+            siblings[host, x[:depth], x[depth + 1 :]].append((c[True] / sum(c.values()), x[depth], c))
+        new = {}
+        for (host, before, after), found in siblings.items():
+            found.sort(key=lambda f: f[:2])
+            sets = [[found[0]]]
+            for a, b in zip(found, found[1:], strict=False):
+                n, m = sum(a[2].values()), sum(b[2].values())
+                pooled = (a[2][True] + b[2][True]) / (n + m)
+                near = b[0] - a[0] <= APART * math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+                sets[-1].append(b) if near else sets.append([b])
+            for group in sets:
+                names = sorted(g[1] for g in group)
+                for name in names:
+                    new[host, (*before, name, *after)] = (*before, "{" + "|".join(names) + "}" if len(names) > 1 else name, *after)
+        merged = {k: new.get((k[0], x), x) for k, x in merged.items()}
+    pool, node = defaultdict(Counter), defaultdict(Counter)
+    for k, c in count.items():
+        pool[k[0], merged.get(k, k[1])] += c
+        for i in range(max(1, len(k[1]))):
+            node[k[0], k[1][:i]] += c
+    smooth = lambda c, p: (c[True] + PRIOR_LABELS * p) / (sum(c.values()) + PRIOR_LABELS)
+    out = []
+    for u in urls:
+        host, path, best = rules_of(u)
+        x = tuple(at[host, lexical(path)])
+        last, p = merged.get((host, x), x), PRIOR
+        for i in range(len(x)):
+            p = smooth(node[host, x[:i]], p) if sum(node[host, x[:i]].values()) else p
+        own = pool[host, last]
+        basis = "rule" if best else "template" if sum(own.values()) else "parent" if any(sum(node[host, x[:i]].values()) for i in range(max(1, len(x)))) else "prior"
+        out.append(("/" + "/".join(last), smooth(own, p), basis, best[0] if best else "block" if smooth(own, p) >= REJECT else "allow"))
+    return out
+
+
+def compare(got, want):
+    for r, (template, purity, basis, verdict) in zip(got, want, strict=True):
+        assert (r.template, r.basis) == (template, basis), (r, template, basis)
+        assert r.purity == pytest.approx(purity, abs=1e-9) and r.verdict == verdict
+
+
 def test_templates(spark):
-    given = [(i, u, "x", 0) for i, u in enumerate(urls())]
-    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(given, SCHEMA), URL_RULES).collect()}
-    by_url = {u: got[i] for i, u, *_ in given}
+    many = urls() + [f"http://d.com/{a}/{'x/' * 9}{b}/{c}{i}" for i, (a, b, c) in enumerate((a, b, c) for a in ("en", "en/7", "fr") for b in "pq" for c in "st")] + ["http://l.com/en/" + "deep/" * 3000 + "end"]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame([(i, u, "x", 0) for i, u in enumerate(many)], SCHEMA), URL_RULES).collect()}
+    compare([got[i] for i in range(len(many))], brute_tree(many, brute))
+    by_url = {u: got[i] for i, u in enumerate(many)}
     assert by_url["https://wide.example.org/blog/slug-aa/page"].template == "/blog/*/page"
     assert by_url["https://wide.example.org/blog/big/page"].template == "/blog/big/page"
-    assert by_url["https://h0.example.com/fr/3.html"].template == "/{de|fr}/*" and FANOUT < 200
-    assert by_url["http://a.net/de/1/2/3/4/5/6/7/8"].template == "/de/*/*/*/*/*/**"
+    assert by_url["http://a.net/de/1/2/3/4/5/6/7/8"].template == "/de/*/*/*/*/*/*/*/*"
 
 
 def test_purity_decides_where_no_rule_fits(spark):
-    # siblings that are rejected alike are merged with one that the rules leave out only if it has labels
     rules = [("block", "a.com/x/1"), ("allow", "a.com/y/1"), ("block", "a.com/z/1")]
-    given = [(i, f"http://a.com/{k}/{d}{i}", "", 0) for k in "xyz" for d in (1, 2) for i in range(100, 140)]
-    got = filter_urls(spark.createDataFrame(given, SCHEMA), rules).collect()
-    assert {(r.template, r.verdict) for r in got if r.rule is None} == {("/{x|z}/*", "block"), ("/y/*", "allow")}
+
+    def rules_of(u):
+        host, path, _ = brute(u)
+        best = [(v, r) for v, r in rules if (host + path).startswith(r)]
+        return host, path, best[0] if best else None
+
+    given = [f"http://a.com/{k}/{d}{i}" for k in "xyz" for d in (1, 2) for i in range(100, 140)] + ["http://b.com/x/1", "http://a.com/w/9", "http://a.com"]
+    labelled = [("http://b.com/other/7", True)] * 5 + [("http://c.com/", False), (None, True)]
+    df = spark.createDataFrame([(i, u, "", 0) for i, u in enumerate(given)], SCHEMA)
+    got = filter_urls(df, rules).orderBy("page_id").collect()
+    compare(got, brute_tree(given, rules_of))
+    assert {(r.template, r.verdict) for r in got if r.basis == "template"} == {("/{x|z}/*", "block"), ("/y/*", "allow")}
+    got = filter_urls(df, rules, labelled=spark.createDataFrame(labelled, "url string, rejected boolean")).orderBy("page_id").collect()
+    compare(got, brute_tree(given, rules_of, [x for x in labelled if x[0]]))
+    assert [(r.basis, r.verdict) for r in got if r.host == "b.com"] == [("parent", "block")]
+
+
+def test_query_on_table(spark):
+    rows = duckdb.sql("SELECT page_id, url FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY 1").fetchall()
+    got = op8_url_templates(spark, "/root/testdata/sf0.01").orderBy("page_id").collect()
+    assert [r.page_id for r in got] == [i for i, _ in rows]
+    compare(got, brute_tree([u for _, u in rows], brute))
+    assert {"rule", "parent"} <= {r.basis for r in got}
 
 
 def test_empty(spark):
