@@ -1,8 +1,9 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
-A line is boilerplate if more than a given share of its host's pages contain it. Lines are counted by digest,
-once for each page; only the boilerplate lines of a host, of which a page's mean number of lines divided by the
-ratio bounds the count, are joined back to its pages, whose text is never exploded again.
+A line is boilerplate if more than a given share of its host's pages contain it besides the page it is on: so a line
+that one page alone has is none, be the host as small as it may. Lines are taken from a page once, and counted by
+digest, once for each page; only the boilerplate lines of a host, of which a page's mean number of lines divided by
+the ratio bounds the count, are joined back to its pages.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from brindle.llm.scratch import free_name, stored
 from brindle.llm.url_filter import host_of
 
-#: A line is dropped if it is on over RATIO per cent of the host's pages and on MIN_PAGES of them at least.
-RATIO_PCT, MIN_PAGES = 30, 3
+#: A line is dropped if the host's other pages that hold it are over RATIO per cent of all its pages.
+RATIO_PCT = 30
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>"
 _BLOCK = r"(?i)</?(p|div|li|ul|ol|h[1-6]|nav|header|footer|article|aside|section|main|table|tr|td|th|br|form|body|html|head)\b[^>]*>"
 
@@ -31,33 +32,36 @@ def split_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s != "")
 
 
-def boilerplate(df: DataFrame, host: str, lines: str, ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(df: DataFrame, host: str, lines: str, ratio_pct: int = RATIO_PCT) -> DataFrame:
     """(host, digests): the boilerplate lines of each host that has some. Hosts must not be null."""
     pages = df.groupBy(host).agg(F.count("*").alias("pages"))
     digests = F.array_distinct(F.transform(lines, lambda s: F.unhex(F.md5(s))))
     on = df.select(host, F.explode(digests).alias("digest")).groupBy(host, "digest").agg(F.count("*").alias("on_pages"))
-    common = on.filter(F.col("on_pages") >= min_pages).join(pages, host).filter(F.col("on_pages") * 100 > F.col("pages") * ratio_pct)
+    common = on.filter(F.col("on_pages") > 1).join(pages, host).filter((F.col("on_pages") - 1) * 100 > F.col("pages") * ratio_pct)
     return common.groupBy(host).agg(F.collect_list("digest").alias("digests"))
 
 
-def drop_lines(df: DataFrame, host: Column, text: Column, ratio_pct: int = RATIO_PCT, min_pages: int = MIN_PAGES, name: str = "lines") -> DataFrame:
-    """``df`` with a struct column: host, n_lines, n_dropped, text (the lines that stay, joined by newlines).
+def drop_lines(df: DataFrame, host: Column, text: Column, ratio_pct: int = RATIO_PCT, name: str = "lines", keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with a struct column: host, n_lines, n_dropped, text (the lines that stay, joined by newlines).
 
-    A null host is the empty host. A null or empty text has no lines and stays empty. A line that a page holds
-    twice counts once, and all its places are dropped. Hosts with fewer pages than ``min_pages`` lose nothing.
-    Repeated rows count as pages. If ``df`` has a column called ``name``, underscores are put in front.
+    A null host is the empty host. A null or empty text has no lines and stays empty; a text of any length is read
+    whole. A line that a page holds twice counts once, and all its places are dropped. Repeated rows count as pages.
+    Columns of any name are carried along; if one is called ``name``, underscores are put in front. An empty table
+    gives an empty table.
     """
-    name = free_name(df, name)
-    host = F.coalesce(host, F.lit(""))
-    common = stored(boilerplate(df.select(host.alias("host"), split_lines(text).alias("lines")), "host", "lines", ratio_pct, min_pages), "boilerplate")
-    common = common.select(F.col("host").alias("__host"), F.col("digests").alias("__digests"))
-    rows = df.withColumns({"__at": host, "__lines": split_lines(text)}).join(common, F.col("__at") == F.col("__host"), "left")
-    stay = F.when(F.col("__digests").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda s: ~F.array_contains("__digests", F.unhex(F.md5(s)))))
-    rows = rows.withColumn("__stay", stay)
+    keep = df.columns if keep is None else keep
+    held = df.select(*(F.col(f"`{c}`") for c in keep))
+    name = free_name(held, name)
+    at, spot, gone = (free_name(held, c) for c in ("host_of_row", "lines_of_row", "digests_of_host"))
+    rows = stored(df.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(host, F.lit("")).alias(at), split_lines(text).alias(spot)), "lines")
+    common = stored(boilerplate(rows.select(F.col(at).alias("host"), F.col(spot).alias("lines")), "host", "lines", ratio_pct), "boilerplate")
+    rows = rows.join(common.select(F.col("host").alias(at), F.col("digests").alias(gone)), at, "left")
+    stay = F.when(F.col(gone).isNull(), F.col(spot)).otherwise(F.filter(spot, lambda s: ~F.array_contains(gone, F.unhex(F.md5(s)))))
     size = lambda c: F.size(c).cast("long")
-    made = F.struct(F.col("__at").alias("host"), size("__lines").alias("n_lines"), (size("__lines") - size("__stay")).alias("n_dropped"), F.array_join("__stay", "\n").alias("text"))
-    return rows.select(*(F.col(f"`{c}`") for c in df.columns), made.alias(name))
+    made = F.transform(F.array(stay), lambda x: F.struct(F.col(at).alias("host"), size(F.col(spot)).alias("n_lines"), (size(F.col(spot)) - size(x)).alias("n_dropped"), F.array_join(x, "\n").alias("text")))
+    return rows.select(*(F.col(f"`{c}`") for c in keep), F.get(made, F.lit(0)).alias(name))
 
 
-def drop_page_lines(pages: DataFrame, url: str = "url", html: str = "html", **options) -> DataFrame:
-    return drop_lines(pages, host_of(F.col(url)), html_lines(F.col(html)), **options)
+def drop_page_lines(pages: DataFrame, url: str = "url", html: str = "html", with_html: bool = True, **options) -> DataFrame:
+    """``drop_lines`` for the visible lines of pages, by the host of their URL; ``with_html`` says whether ``html`` is kept."""
+    return drop_lines(pages, host_of(F.col(url)), html_lines(F.col(html)), keep=None if with_html else [c for c in pages.columns if c != html], **options)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.scratch import stored
+from brindle.llm.scratch import free_name, numbered, stored
 
 WEIGHTS = (5, 2, 1)
 #: For each weight, the knots (time, level): heavy sources fade out, light ones come in.
@@ -62,16 +62,18 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
     return df.select("source_key", "source_size", "class", target.alias("target"))
 
 
-def mixture(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, share: float = 1.5, cap: int = 2) -> DataFrame:
+def mixture(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, share: float = 1.5, cap: int = 2, number: str | None = None) -> DataFrame:
     """row, doc_id, size, source_size, target, taken, positions for each row of ``df``, sorted by first position.
 
-    ``size`` counts words (null: 0). ``taken`` is how many of them the mix takes, repeats counted: at most ``cap``
-    times the size, and in each source the target in all, to the word. ``positions`` has a training time for each
-    pass that takes some; texts without words and rows beyond the target have none and come last. The order is a
-    hash of doc_id, so reruns agree; repeated rows take consecutive places. A null source is a source of its own.
+    ``size`` counts words (null: 0), of the whole text. ``taken`` is how many of them the mix takes, repeats counted:
+    at most ``cap`` times the size, and in each source the target in all, to the word. ``positions`` has a training
+    time for each pass that takes some, in order; texts without words and rows beyond the target have none and come
+    last. The order is a hash of doc_id, so reruns agree; repeated rows take consecutive places. A null source is a
+    source of its own. ``row`` is the column ``number``, or made up. Other columns are not looked at, so their names
+    can't clash. An empty table gives an empty table. Targets go through one task, with one row for each source.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), key.alias("source_key"), words(F.col(text)).alias("size"))
+    rows = df.select((F.col(number) if number else F.monotonically_increasing_id()).alias("row"), F.col(doc_id).alias("doc_id"), key.alias("source_key"), words(F.col(text)).alias("size"))
     rows = rows.withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = stored(rows.withColumn("bucket", F.substring("place", 1, DIGITS)), "sizes")
     buckets = stored(rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
@@ -91,7 +93,7 @@ def mixture(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
         y, out = s / F.col("target"), F.lit(None).cast("double")
         for k, schedule in enumerate(schedules):
             out = F.when(F.col("class") == k, inverse(schedule, y)).otherwise(out)
-        return F.floor(out * 1e9) / F.lit(1e9)
+        return out
 
     rows = rows.withColumn("taken", sum(takes[1:], takes[0]))
     rows = rows.withColumn("positions", F.filter(F.array(*(F.when(t > 0, time(s)) for s, t in zip(starts, takes, strict=True))), F.isnotnull))
@@ -101,7 +103,13 @@ def mixture(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` in training order, one for each pass. ``df`` is read twice and must list its rows alike, as files do."""
-    plan = mixture(df, **options).select(F.col("row").alias("__row"), F.explode("positions").alias("__position"))
-    rows = df.withColumn("__row", F.monotonically_increasing_id()).join(stored(plan, "training-plan"), "__row")
-    return rows.repartitionByRange("__position", "__row").sortWithinPartitions("__position", "__row").drop("__row", "__position")
+    """The rows of ``df`` in training order, one for each pass; which and where is as in ``mixture``.
+
+    Rows are numbered in a stored copy of ``df``, so nothing depends on how it lists them. Rows without words (null,
+    empty or blank texts) and rows beyond the target are not taken; columns of any name are carried along.
+    """
+    rows, at = numbered(df)
+    spot = free_name(rows, "position")
+    plan = mixture(rows, number=at, **options).select(F.col("row").alias(at), F.explode("positions").alias(spot))
+    rows = rows.join(stored(plan, "training-plan"), at)
+    return rows.repartitionByRange(spot, at).sortWithinPartitions(spot, at).drop(at, spot)

@@ -1,9 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles, found in full and checked exactly.
+"""Near copies by SimHash, completed and checked exactly by the Jaccard similarity of word shingles.
 
-The similarity that counts, 4/5 of five-word shingles, is some 10 of a fingerprint's 64 bits and up to 20: a covering
-code for so many has millions of tables, so pairs are found by their shingles instead. All sets are put into one
-order, common shingles last. Two sets of similarity 4/5 share a shingle among the first fifth (and one) of each, so
-every such pair meets in the bucket of some shingle, with no chance involved.
+Fingerprints of five-word shingles that differ in a few bits are found by covering locality-sensitive hashing, as in
+``simhash``; a pair found is checked on its sets of shingles. A similarity of 4/5 is some 10 of a fingerprint's 64
+bits and up to 20, and a covering code for so many has millions of tables; so what the fingerprints leave is found by
+the shingles. All sets are put into one order, common shingles last. Two sets of similarity 4/5 share a shingle among
+the first fifth (and one) of each, so every such pair meets in the bucket of some shingle, with no chance involved.
 
 In a bucket pairs are ruled out by a bound: sets that differ in d shingles differ by d at most in how many fall into
 each of 256 classes. What is left is checked on the sets. First each bucket's sets are held against a few of its own,
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import components
-from brindle.llm.scratch import stored
+from brindle.llm.scratch import attached, numbered, stored
+from brindle.llm.simhash import RADIUS, links
 
 #: Words of a shingle, and the least similarity as NUM / DEN.
 WIDTH, NUM, DEN, SEED = 5, 4, 5, 42
@@ -61,6 +63,12 @@ def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarra
     return np.r_[rare, held[np.argsort(rank[at[known]], kind="stable")][: n - len(rare)]]
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is 1 if set in over half of them."""
+    counts = np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<u8")[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(a) + len(b) - len(np.union1d(a, b))
     return DEN * both >= NUM * (len(a) + len(b) - both)
@@ -87,20 +95,21 @@ def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    """(row, doc_id, same, size, hist, keys); same is a digest of the set, hist its shingles by class."""
+    """(row, doc_id, same, fp, size, hist, keys); same is a digest of the set, fp its fingerprint, hist its shingles by class."""
     common, rank = _common(rows, width)
-    kind = rows.select("row", "doc_id", F.lit(b"").alias("same"), F.lit(0).alias("size"), F.lit(b"").alias("hist"), F.array(F.lit(0).cast("long")).alias("keys")).schema
+    kind = rows.select("row", "doc_id", F.lit(b"").alias("same"), F.lit(0).cast("long").alias("fp"), F.lit(0).alias("size"), F.lit(b"").alias("hist"), F.array(F.lit(0).cast("long")).alias("keys")).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, size, hist, keys = [], [], [], []
+        same, fp, size, hist, keys = [], [], [], [], []
         for t in batch.column(2).to_pylist():
             s = shingles(t, width)
             same.append(hashlib.sha256(s.tobytes()).digest())
+            fp.append(fingerprint(s))
             size.append(len(s))
             hist.append(np.minimum(np.bincount((s % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
             keys.append(prefix(s, common, rank).view(np.int64))
         lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys)))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(hist, pa.binary()), lists], names=kind.names)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(hist, pa.binary()), lists], names=kind.names)
 
     return stored(rows.mapInArrow(_batched(run), kind), "sketches")
 
@@ -167,15 +176,26 @@ def _checked(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     return stored(both.select("a", "b", "x", "y").mapInArrow(_batched(run), "a long, b long"), "similar")
 
 
+def _by_fingerprint(reps: DataFrame, radius: int) -> DataFrame:
+    """(a, b), a < b: links that connect all of ``reps`` (row, fp) whose fingerprints are within ``radius``; not yet checked."""
+    fps = stored(reps.groupBy("fp").agg(F.min("row").alias("root"), F.count("*").alias("rows")), "fingerprint-roots")
+    same = attached(stored(reps.select("row", "fp"), "fingerprints"), fps, ["fp"], "rows").filter("row <> root").select(F.col("root").alias("a"), F.col("row").alias("b"))
+    one = fps.select(F.col("fp").alias("a"), F.col("root").alias("x"))
+    near = links(fps.select("fp"), radius).join(one, "a").join(one.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+    return same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
 def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One row of ``df`` for each component of similar texts: that of the smallest doc_id.
 
     Texts are lower-cased in A-Z and cut into words at ASCII white space. Two are linked when their sets of shingles
     of ``width`` words have a Jaccard similarity of 4/5 or more; components follow chains of links. Texts of fewer
     words are one shingle, null and empty ones an empty shingle. A null doc_id only stays where there is no other.
-    ``df`` is read several times and must list its rows alike, as files do.
+    A text of any length is read whole. Rows are numbered in a stored copy of ``df``, so nothing depends on how it
+    lists them; columns of any name are carried along; an empty table stays empty.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    copy, at = numbered(df)
+    rows = copy.select(F.col(at).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = _sketches(rows, width)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     sets = stored(found.groupBy("same").agg(F.min("row").alias("rep"), best).drop("same"), "different-sets")
@@ -206,7 +226,7 @@ def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     # buckets are named by their rows: those of the same rows become one (and two of one name together lose no pair)
     members = stored(keyed.mapInArrow(shared, "k long, row long").distinct(), "shared")
     members = stored(members.join(found.select("row", "size", "hist"), "row").select("k", "row", "size", "hist"), "members")
-    near = _checked(_meet(members), rows, width)
+    near = _checked(_by_fingerprint(reps, RADIUS), rows, width).union(_checked(_meet(members), rows, width))
     roots = stored(components(near), "first-roots")
     members = members.join(roots.withColumnRenamed("node", "row"), "row", "left").select("k", "row", "size", "hist", F.coalesce("root", "row").alias("label"))
     members = stored(members, "labelled")
@@ -214,5 +234,5 @@ def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     near = near.union(_checked(_meet(members.join(stored(mixed, "mixed"), "k", "left_semi")), rows, width))
     roots = stored(components(near), "roots")
     stay = sets.join(roots, F.col("rep") == F.col("node"), "left").groupBy(F.coalesce("root", "rep").alias("root")).agg(F.min("best").alias("best"))
-    gone = stored(found.select("row").join(stay.select(F.col("best.row").alias("row")), "row", "left_anti").select(F.col("row").alias("__gone")), "gone")
-    return df.withColumn("__row", F.monotonically_increasing_id()).join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    gone = stored(found.select("row").join(stay.select(F.col("best.row").alias("row")), "row", "left_anti").select(F.col("row").alias(at)), "gone")
+    return copy.join(gone, at, "left_anti").drop(at)

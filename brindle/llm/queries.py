@@ -34,7 +34,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixture(_table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+    place = lambda i: F.floor(F.get("positions", F.lit(i)) * 1e9) / F.lit(1e9)
+    return mix.select("doc_id", "size", "source_size", "target", "taken", place(0).alias("position"), place(1).alias("second_position"))
 
 
 @_query
@@ -67,7 +68,7 @@ def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return line_dedup.drop_page_lines(pages).select("page_id", "lines.*")
+    return line_dedup.drop_page_lines(pages, with_html=False).select("page_id", "lines.*")
 
 
 @_query

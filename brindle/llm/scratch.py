@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_WRITTEN: list[str] = []
 #: A value that one in HOT_SHARE rows has, or more, is joined by broadcast: HOT_SHARE values at most, whatever the table.
 HOT_SHARE = 10_000
 
@@ -35,13 +37,33 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path, partitionBy=partition_by)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that this application stored; call it when no result that reads them is still needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, folder(spark))
+    _WRITTEN.clear()
+
+
+def mark() -> int:
+    """How many tables have been stored so far: for ``stored_alone``."""
+    return len(_WRITTEN)
+
+
+def stored_alone(make: Callable[[], DataFrame], name: str, since: int) -> DataFrame:
+    """``make()``, stored; all other tables that were stored since ``mark()`` was ``since`` are deleted."""
+    out = stored(make(), name)
+    for path in _WRITTEN[since:-1]:
+        _delete(out.sparkSession, path)
+    del _WRITTEN[since:-1]
+    return out
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

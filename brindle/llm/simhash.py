@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import components
-from brindle.llm.scratch import stored
+from brindle.llm.scratch import attached, numbered, stored
 
 SHINGLE, RADIUS, BITS, SEED = 4, 4, 64, 42
 #: Larger buckets are split by a second covering code over the bits that the first leaves out.
@@ -45,15 +45,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > last, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, fp) of each row of ``df``, stored; fp is the fingerprint as a signed long."""
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", number: str | None = None, width: int = SHINGLE) -> DataFrame:
+    """(row, doc_id, fp) of each row of ``df``, stored; fp is the fingerprint as a signed long, row the column ``number`` or made up."""
+    row = F.col(number) if number else F.monotonically_increasing_id()
+    rows = df.select(row.alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.select("row", "doc_id").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
-            found = [fingerprint(t) for lo in range(0, len(texts), 256) for t in texts.slice(lo, 256).to_pylist()]
+            found = [fingerprint(t, width) for lo in range(0, len(texts), 256) for t in texts.slice(lo, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["row", "doc_id", "fp"])
 
     return stored(rows.mapInArrow(run, kind), "fingerprints")
@@ -140,34 +141,40 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _classes(df: DataFrame, doc_id: str, text: str, radius: int) -> DataFrame:
+def _classes(df: DataFrame, doc_id: str, text: str, radius: int, width: int, number: str | None = None) -> DataFrame:
     """(row, doc_id, fp, root, component_id); root is the smallest fingerprint of the component."""
-    rows = fingerprints(df, doc_id, text)
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    rows = fingerprints(df, doc_id, text, number, width)
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "distinct")
     roots = stored(components(links(distinct.select("fp"), radius)), "roots")
     linked_fps = roots.select(F.col("node").alias("fp"), "root").union(roots.select("root", "root").distinct())
     members = stored(distinct.join(linked_fps, "fp"), "members")
     firsts = stored(members.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
-    lookup = stored(members.select("fp", "root").join(firsts, "root"), "lookup")
-    alone = distinct.join(lookup, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
-    return rows.join(stored(lookup.select("fp", "root", "component_id").union(alone), "classes"), "fp")
+    lookup = stored(members.select("fp", "root", "rows").join(firsts, "root"), "lookup")
+    alone = distinct.join(lookup, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"), "rows")
+    return attached(rows, stored(lookup.select("fp", "root", "component_id", "rows").union(alone), "classes"), ["fp"], "rows")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of ``df``.
 
-    Texts are lower-cased in A-Z, cut into words at ASCII white space and into four-word shingles; texts of
-    fewer words are one shingle, null and empty texts have fingerprint zero and are linked like any other.
-    Fingerprints that differ in ``radius`` bits at most are linked, and components follow chains of links.
-    ``component_id`` is the smallest doc_id of the component; a null doc_id only counts where there is no other.
-    Repeated rows give repeated results. An empty table gives an empty table.
+    Texts are lower-cased in A-Z, cut into words at ASCII white space and into shingles of ``width`` words; texts of
+    fewer words are one shingle, null and empty texts have fingerprint zero and are linked like any other. A text of
+    any length is read whole. Fingerprints that differ in ``radius`` bits at most are linked, and components follow
+    chains of links. ``component_id`` is the smallest doc_id of the component; a null doc_id only counts where there
+    is no other. Repeated rows give repeated results. Other columns are not looked at, so their names can't clash.
+    An empty table gives an empty table.
     """
-    found = _classes(df, doc_id, text, radius)
+    found = _classes(df, doc_id, text, radius, width)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of ``df`` for each component: that of the smallest doc_id. ``df`` is read twice and must list its rows alike, as files do."""
-    found = _classes(df, doc_id, text, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stored(found.groupBy("root").agg(F.min("row").alias("__stay")).select("__stay"), "stay")
-    return df.withColumn("__row", F.monotonically_increasing_id()).join(stay, F.col("__row") == F.col("__stay"), "left_semi").drop("__row")
+def drop_near(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """One row of ``df`` for each component of ``near_duplicates``: that of the smallest doc_id.
+
+    Rows are numbered in a stored copy of ``df``, so nothing depends on how it lists them. Null, empty, very long and
+    repeated texts are treated as there; columns of any name are carried along; an empty table stays empty.
+    """
+    rows, at = numbered(df)
+    found = _classes(rows, doc_id, text, radius, width, at).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stored(found.groupBy("root").agg(F.min("row").alias(at)).select(at), "stay")
+    return rows.join(stay, at, "left_semi").drop(at)

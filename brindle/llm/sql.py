@@ -11,6 +11,12 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY norm)
 """
 
+PLACE = """floor(1e9::DOUBLE * CASE class
+         WHEN 0 THEN 2 * $y / (1.5::DOUBLE + sqrt(greatest(0, 2.25::DOUBLE - 2 * $y)))
+         WHEN 1 THEN 2 * $y / (1 + sqrt(1::DOUBLE))
+         ELSE CASE WHEN $y >= 0.375 THEN 0.5 + 2 * ($y - 0.375::DOUBLE) / (1 + sqrt(greatest(0, 1 + 2 * ($y - 0.375::DOUBLE)))) ELSE 2 * $y / (0.5::DOUBLE + sqrt(greatest(0, 0.25::DOUBLE + 2 * $y))) END
+       END) / 1e9::DOUBLE"""
+
 ORACLE_SQL["op3_mixing"] = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents
@@ -28,14 +34,9 @@ WITH docs AS (
          coalesce(sum(size) OVER (PARTITION BY docs.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM docs JOIN plan ON docs.source IS NOT DISTINCT FROM plan.source
 ), taken AS (
-  SELECT *, greatest(0, least(size, lim - start)) AS t0, greatest(0, least(size, lim - start - source_size)) AS t1, start::DOUBLE / nullif(target, 0) AS y FROM laid
+  SELECT *, greatest(0, least(size, lim - start)) AS t0, greatest(0, least(size, lim - start - source_size)) AS t1, start::DOUBLE / nullif(target, 0) AS y0, (start + source_size)::DOUBLE / nullif(target, 0) AS y1 FROM laid
 )
-SELECT doc_id, size, source_size, target, (t0 + t1)::BIGINT AS taken,
-       CASE WHEN t0 > 0 THEN floor(1e9::DOUBLE * CASE class
-         WHEN 0 THEN 2 * y / (1.5::DOUBLE + sqrt(greatest(0, 2.25::DOUBLE - 2 * y)))
-         WHEN 1 THEN 2 * y / (1 + sqrt(1::DOUBLE))
-         ELSE CASE WHEN y >= 0.375 THEN 0.5 + 2 * (y - 0.375::DOUBLE) / (1 + sqrt(greatest(0, 1 + 2 * (y - 0.375::DOUBLE)))) ELSE 2 * y / (0.5::DOUBLE + sqrt(greatest(0, 0.25::DOUBLE + 2 * y))) END
-       END) / 1e9::DOUBLE END AS position
+SELECT doc_id, size, source_size, target, (t0 + t1)::BIGINT AS taken, CASE WHEN t0 > 0 THEN """ + PLACE.replace("$y", "y0") + """ END AS position, CASE WHEN t1 > 0 THEN """ + PLACE.replace("$y", "y1") + """ END AS second_position
 FROM taken
 """
 
@@ -51,7 +52,7 @@ WITH p AS (
   SELECT host, count(*) AS n FROM p GROUP BY host
 ), common AS (
   SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) JOIN hosts USING (host)
-  GROUP BY host, line, n HAVING count(*) >= 3 AND count(*) * 100 > n * 30
+  GROUP BY host, line, n HAVING (count(*) - 1) * 100 > n * 30
 ), sets AS (
   SELECT host, list(line) AS dropped FROM common GROUP BY host
 ), kept AS (

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from brindle.llm.arrow_text import pieces
 from brindle.llm.induced_sort import repeated
-from brindle.llm.scratch import free_name, stored
+from brindle.llm.scratch import free_name, numbered, stored
 
 WIDTH, K = 200, 24
 #: Strings in a segment at most, bytes of text in a shard (a single larger group of segments is a shard of its
@@ -249,10 +249,10 @@ def _judged(segments: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, kind)
 
 
-def _spans(df: DataFrame, text: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their text, (row, spans) of the rows that lose bytes)."""
-    docs = df.select(*(F.col(f"`{c}`") for c in df.columns), F.monotonically_increasing_id().alias("__row"))
-    own = docs.select(F.col("__row").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _spans(df: DataFrame, text: str, width: int) -> tuple[DataFrame, str, DataFrame]:
+    """(rows with their text, the column that numbers them, (row, spans) of the rows that lose bytes)."""
+    docs, at = numbered(df)
+    own = docs.select(F.col(at).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     anchors = stored(_anchors(own, width), "anchors")
     again = stored(anchors.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h"), "repeated-hashes")
     found = anchors.join(again, "h").groupBy("row").agg(F.collect_list(F.struct("h", "first", "strings")).alias("runs"))
@@ -263,7 +263,7 @@ def _spans(df: DataFrame, text: str, width: int) -> tuple[DataFrame, DataFrame]:
         moved = F.flatten(F.transform("at", lambda a: F.transform("spans", lambda s: F.struct((s["start"] + a).alias("start"), (s["end"] + a).alias("end")))))
         judged = stored(judged.union(link.join(judged, "id").select(F.col("parent").alias("id"), moved.alias("spans"))), "judged")
     places = segments.filter("kind = 1").select("id", "row", "first").join(judged, "id").select("row", F.explode(F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end")))).alias("span"))
-    return docs, stored(places.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
+    return docs, at, stored(places.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -282,16 +282,17 @@ def strip_repeats(df: DataFrame, text: str = "text", name: str = "stripped", wid
 
     Texts are read as UTF-8 bytes, null as empty. A byte goes if a ``width``-byte string that covers it also
     starts anywhere else, in the same text or another; strings never cross texts and are judged on the input.
-    Texts shorter than ``width`` stay as they are; all copies of a longer text, repeated rows too, go entirely.
-    If ``df`` has a column called ``name``, underscores are put in front.
-    ``df`` is read several times and must list its rows alike, as files do.
+    Texts shorter than ``width`` stay as they are; all copies of a longer text, repeated rows too, go entirely. A
+    text of any length is read whole, in pieces. Rows are numbered in a stored copy of ``df``, so nothing depends on
+    how it lists them. Columns of any name are carried along; if one is called ``name``, underscores are put in front.
+    An empty table gives an empty table.
     """
-    docs, spans = _spans(df, text, width)
-    name = free_name(df, name)
-    rows = docs.join(spans.select(F.col("row").alias("__at"), F.col("spans").alias("__spans")), F.col("__row") == F.col("__at"), "left").drop("__row", "__at")
+    docs, number, spans = _spans(df, text, width)
+    name, gaps = free_name(df, name), free_name(df, "spans_of_row")
+    rows = docs.join(spans.select(F.col("row").alias(number), F.col("spans").alias(gaps)), number, "left").drop(number)
     fields = "n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string" + (", kept: binary, removed: array<struct<start: int, end: int>>" if with_text else "")
-    at, spot = rows.columns.index(text), rows.columns.index("__spans")
-    schema = rows.drop("__spans").withColumn(name, F.lit(None).cast(f"struct<{fields}>")).schema
+    at, spot = rows.columns.index(text), rows.columns.index(gaps)
+    schema = rows.drop(gaps).withColumn(name, F.lit(None).cast(f"struct<{fields}>")).schema
     if not with_text:
         schema = T.StructType([f for i, f in enumerate(schema.fields) if i != at])
     kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))] if with_text else []))

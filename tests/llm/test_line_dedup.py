@@ -18,7 +18,7 @@ def brute(rows):
     for i, h, t, _ in rows:
         h = h or ""
         all_ = [squeeze(x) for x in lines(t)]
-        stay = [x for x in all_ if not (on[h, x] >= 3 and 100 * on[h, x] > 30 * pages[h])]
+        stay = [x for x in all_ if not 100 * (on[h, x] - 1) > 30 * pages[h]]
         out.append((i, h, len(all_), len(all_) - len(stay), "\n".join(stay)))
     return out
 
@@ -33,3 +33,14 @@ def test_matches_brute_force(spark):
     got = [(r.id, *r["_lines"]) for r in out.collect()]
     assert sorted(got) == sorted(brute(rows))
     assert drop_lines(df.limit(0), F.col("host"), F.col("text")).count() == 0
+
+
+def test_clashing_names_and_dropped_html(spark):
+    from brindle.llm.line_dedup import drop_page_lines
+
+    rows = [(i, f"http://h/{i}", f"<p>menu</p><p>text {i}</p>", "a", ["b"], None) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host_of_row string, lines_of_row array<string>, digests_of_host string")
+    out = drop_page_lines(df)
+    assert out.columns == [*df.columns, "lines"]
+    assert {(r.page_id, r.host_of_row, tuple(r.lines_of_row), r.lines.text) for r in out.collect()} == {(i, "a", ("b",), f"text {i}") for i in range(9)}
+    assert drop_page_lines(df, with_html=False).columns == [c for c in out.columns if c != "html"]

@@ -73,3 +73,22 @@ def test_stage_finds_all_similar_pairs_of_the_table(spark, tmp_path):
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     left = sorted(r.doc_id for r in stage(spark, spark.read.parquet(str(tmp_path / "t")), "").collect())
     assert left == brute(given) and len(left) < len(given)
+
+
+def test_fingerprints_link_what_is_within_the_radius():
+    from brindle.llm import simhash
+
+    for text in (None, "", "a b", "one two three four five six seven", "x " * 50 + "end"):
+        found = near_copies.shingles(text)
+        bits = [sum(int(h) >> i & 1 for h in found) * 2 > len(found) for i in range(64)]
+        assert near_copies.fingerprint(found) == sum(1 << i for i, b in enumerate(bits) if b)
+    words = [f"w{i}" for i in range(300)]
+    assert near_copies.fingerprint(near_copies.shingles(" ".join(words))) == simhash.fingerprint(" ".join(words), near_copies.WIDTH)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, " ".join(f"w{i % 3}x{j}" for j in range(40)), f"n{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_number string")
+    got = drop_similar(df.repartition(4))
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == rows[:3]
+    assert drop_similar(df.limit(0)).count() == 0

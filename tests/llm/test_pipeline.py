@@ -7,8 +7,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_mixing import expected_targets
+from tests.llm.test_near_copies import brute as near_brute
 from tests.llm.test_quality import brute as judged
-from tests.llm.test_simhash import brute_components, brute_fp
 
 
 def brute(docs):
@@ -17,8 +17,8 @@ def brute(docs):
     for d in sorted(docs, key=lambda d: d["doc_id"]):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", d["text"]), d)
     docs = list(first.values())
-    roots = brute_components([brute_fp(d["text"]) for d in docs], [d["doc_id"] for d in docs])
-    docs = [d for d, r in zip(docs, roots, strict=True) if d["doc_id"] == r]
+    stay = set(near_brute([(d["doc_id"], d["text"]) for d in docs]))
+    docs = [d for d in docs if d["doc_id"] in stay]
     size = {d["doc_id"]: len(d["text"].split()) for d in docs}
     per_source = Counter()
     for d in docs:
@@ -43,9 +43,33 @@ def test_run_matches_brute_force(spark):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == brute(docs)
 
 
-def test_stages_keep_the_columns(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame([(1, None, None, None, None), (None, " ".join(map(str, range(99))), "x", None, 1)], schema)
-    for rows in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, rows, "").columns == docs.columns
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_number string, position string, quality string, bpe string"
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, blanks, repeated rows, a very long text and columns named like the stages' own."""
+    long, clean = " ".join(f"w{i}" for i in range(60_000)), " ".join(map(str, range(99)))
+    rows = [(1, None, None, None, None), (None, clean, "x", None, 1), (2, " \n", "x", "a", 1), (3, long, "x", "a", 1), (3, long, "x", "a", 1), (4, long + " end", "y", "b", None), (5, clean, "x", "b", 1)]
+    docs = spark.createDataFrame([(*r, f"n{r[0]}", "p", "q", None) for r in rows], SCHEMA).repartition(3)
+    want = {"quality_rules": [3, 3, 4, 5, None], "exact_dedup": [1, 2, 3, 4, 5], "simhash_near_dedup": [1, 3, 5]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert all(r.row_number == f"n{r.doc_id}" and (r.position, r.quality, r.bpe) == ("p", "q", None) for r in kept)
+        if name in want:
+            assert sorted((r.doc_id for r in kept), key=lambda d: (d is None, d)) == want[name], name
+        assert stage(spark, docs.limit(0), "").count() == 0
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert out.count() == len(rows) and {r.n_tokens for r in out.collect() if r.doc_id == 1} == {0}
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    import glob
+
+    from brindle.llm import scratch
+
+    before = len(scratch._WRITTEN)
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    left = scratch._WRITTEN[before:]
+    assert len(left) == 1 and [p for p in glob.glob(f"{scratch.folder(spark)}/*") if p not in scratch._WRITTEN] == []
