@@ -13,34 +13,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, exact_dedup, mixing, near_copies, quality
-from brindle.llm.scratch import free_name, stored
+from brindle.llm.scratch import free_name, mark, stored_alone
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or repeat themselves too much go."""
+    """Documents that fail the base rules or repeat themselves too much go: null, empty and short texts among them.
+
+    Texts of any length are read whole; repeated rows stay or go together; other columns are carried along; an empty
+    table stays empty.
+    """
     return quality.keep_good(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts the smallest doc_id stays, a null doc_id only where there is no other; a null text equals an empty one.
+
+    Texts of any length are compared whole; of repeated rows one stays; other columns are carried along; an empty
+    table stays empty.
+    """
     return exact_dedup.drop_exact(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with four fifths of their five-word shingles in common the smallest doc_id stays."""
+    """Of each component of texts with four fifths of their five-word shingles in common the smallest doc_id stays.
+
+    Found by SimHash and covering masks, completed by the shingles themselves and checked exactly. Null and empty
+    texts are alike; a null doc_id only stays where there is no other; texts of any length are read whole; of repeated
+    rows one stays; other columns are carried along; an empty table stays empty.
+    """
     return near_copies.drop_similar(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass over a document that the mix takes words from, in training order."""
+    """A row for each pass over a document that the mix takes words from, in training order.
+
+    Null and empty texts have no words and are not taken; a null source is a source of its own; texts of any length
+    count whole; repeated rows are taken one by one; other columns are carried along; an empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each row, with digests of the ids and of the decoded text."""
+    """The token ids of each row, with digests of the ids and of the decoded text.
+
+    A null or empty text has no ids; texts of any length are encoded whole; repeated rows get the same ids; of the
+    other columns doc_id and source are kept; an empty table gives an empty table.
+    """
     name = free_name(docs, "bpe")
     out = bpe.encoded(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER), name=name)
     return out.select("doc_id", "source", F.col(f"{name}.*"))
@@ -58,7 +79,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's result is stored, and what it stored on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name, since)
     return STAGES[-1][1](spark, docs, sf_dir)
