@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.rows import once
@@ -33,12 +33,15 @@ def word_in(t: Column, words: str) -> Column:
 
 
 def number(t: Column) -> Column:
-    """The first run of digits that is a word, else the first number word of the table that occurs."""
-    digits = F.nullif(F.regexp_extract(t, r"(^|[^a-z0-9_])([0-9]+)([^a-z0-9_]|$)", 2), F.lit(""))
-    out = F.lit(None).cast("int")
+    """The first run of digits that is a word, else the first number word of the table that occurs; a long.
+
+    A run beyond the range of a long is no number: the result is null.
+    """
+    digits = F.regexp_extract(t, r"(^|[^a-z0-9_])([0-9]+)([^a-z0-9_]|$)", 2)
+    out = F.lit(None).cast("long")
     for w, n in reversed(NUMBERS.items()):
-        out = F.when(word_in(t, w), n).otherwise(out)
-    return F.coalesce(digits.cast("int"), out)
+        out = F.when(word_in(t, w), F.lit(n).cast("long")).otherwise(out)
+    return F.when(digits != "", digits.try_cast("long")).otherwise(out)
 
 
 def digits_for_words(t: Column) -> Column:
@@ -64,14 +67,14 @@ def minutes_after(now: Column, minutes: Column) -> Column:
 
 
 def relative(t: Column, now: Column) -> Column:
-    """in/for N units, in a unit, in a few or a couple of minutes or hours, in half an hour; else null."""
+    """in/for N units, in a unit, in a few or a couple of minutes or hours, in half an hour; else null. N has six digits at most."""
     unit = lambda i, p: F.regexp_extract(t, p, i)
     scale = lambda u: sum((F.when(u == k, F.lit(v)).otherwise(F.lit(0)) for k, v in UNITS.items()), F.lit(0))
-    n = r"\b(?:in|for) ([0-9]+) ?(minute|hour|day|week)s?\b"
+    n = r"\b(?:in|for) ([0-9]{1,6}) ?(minute|hour|day|week)s?\b"
     one, some = r"\bin an? (minute|hour|day|week)\b", r"\bin a (few|couple)(?: of)? (minute|hour)s?\b"
     count = F.when(unit(1, some) == "few", 3).otherwise(2)
     return (
-        F.when(t.rlike(n), minutes_after(now, F.expr("0") + unit(1, n).cast("int") * scale(unit(2, n))))
+        F.when(t.rlike(n), minutes_after(now, unit(1, n).try_cast("long") * scale(unit(2, n))))
         .when(t.rlike(one), minutes_after(now, scale(unit(1, one))))
         .when(t.rlike(some), minutes_after(now, count * scale(unit(2, some))))
         .when(t.rlike(r"\bin half an hour\b"), minutes_after(now, F.lit(30)))
@@ -157,22 +160,58 @@ def future(hour: Column, minute: Column, day: Column, now: Column, half: Column)
     return F.when(chosen <= now, minutes_after(chosen, F.lit(1440))).otherwise(chosen)
 
 
+_STEPS = ("__t", "__day", "__at", "__period", "__relative", "__hour", "__minute", "__half", "__base")
+
+
+def _parsed(df: DataFrame, text: str, now: str) -> DataFrame:
+    n = F.col(now)
+    df = once(df, __t=digits_for_words(digits_for_ordinals(F.lower(text))))
+    t = F.col("__t")
+    return once(df, __day=F.coalesce(anchor(t, n), absolute(t, n), weekend(t, n), weekday(t, n)), __at=clock(t), __period=period(t), __relative=relative(t, n))
+
+
 def resolved(df: DataFrame, text: str, now: str, name: str = "at_time") -> DataFrame:
     """``df`` with the instant that a text names, null if none: relative forms first, then day and clock together.
 
     Works in steps, each computed once a row: one nested expression would be copied beyond all bounds.
     """
     n = F.col(now)
-    df = once(df, __t=digits_for_words(digits_for_ordinals(F.lower(text))))
+    df = _parsed(df, text, now)
     t = F.col("__t")
-    df = once(df, __day=F.coalesce(anchor(t, n), absolute(t, n), weekend(t, n), weekday(t, n)), __at=clock(t), __period=period(t), __relative=relative(t, n))
     default = F.element_at(F.create_map(*(F.lit(x) for pair in PERIODS.items() for x in pair)), F.col("__period"))
     timed = F.col("__at").isNotNull()
     df = once(df, __hour=F.when(timed, F.col("__at.hour")).otherwise(default), __minute=F.when(timed, F.col("__at.minute")).otherwise(0), __half=F.when(timed, F.coalesce("__at.half", "__period")).otherwise(F.lit("exact")), __base=F.coalesce("__day", F.to_date(n)))
     full = future(F.col("__hour"), F.col("__minute"), F.col("__base"), n, F.col("__half"))
     found = F.coalesce("__relative", F.when(F.col("__hour").isNotNull(), full), F.col("__day").cast("timestamp"))
     at_time = F.when(word_in(t, "yesterday"), F.lit(None).cast("timestamp")).otherwise(found)
-    return df.withColumn(name, at_time).drop("__t", "__day", "__at", "__period", "__relative", "__hour", "__minute", "__half", "__base")
+    return df.withColumn(name, at_time).drop(*_STEPS)
+
+
+def parked(df: DataFrame, text: str, now: str, session: str, order: str, name: str = "at_time") -> DataFrame:
+    """``df`` with ``name``, filled and parked: date-time answers over the turns of a session.
+
+    An answer with a time fills the slot. One with a day alone parks that day, and is not filled; a later answer with
+    a time and no day of its own is read on the parked day, from its midnight on. A filled slot clears the parked day.
+    What an answer holds doesn't depend on the state, so the state is the last change before it: one window.
+    """
+    df = resolved(_parsed(df, text, now).withColumns({"__own": F.col("__day").isNotNull() | F.col("__relative").isNotNull(), "__timed": F.col("__at").isNotNull() | F.col("__period").isNotNull() | F.col("__relative").isNotNull()}).drop(*_STEPS), text, now, "__plain")
+    found = F.col("__plain").isNotNull()
+    change = F.when(found & F.col("__timed"), F.struct(F.lit(None).cast("date").alias("day"))).when(found, F.struct(F.to_date("__plain").alias("day")))
+    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__change", change).withColumn("__parked", F.last("__change", ignorenulls=True).over(w)["day"])
+    later = ~F.col("__own") & F.col("__parked").isNotNull()
+    df = df.withColumn("__from", F.when(later, F.col("__parked").cast("timestamp")).otherwise(F.col(now)))
+    df = resolved(df, text, "__from", "__found").withColumns({"filled": F.coalesce(found & F.col("__timed"), F.lit(False)), "parked": F.when(found & ~F.col("__timed"), F.to_date("__plain")).when(~found, F.col("__parked"))})
+    return df.withColumn(name, F.when(F.col("filled"), F.col("__found"))).drop("__own", "__timed", "__plain", "__change", "__parked", "__from", "__found")
+
+
+# Words that dangle in front of a topic once its carrier and its time are gone.
+CONNECTORS = ("for", "about", "of", "on", "to", "that", "regarding", "with")
+
+
+def without_connector(t: Column, connectors: Sequence[str] = CONNECTORS) -> Column:
+    """The topic without a leading connector, which may be all of it."""
+    return F.regexp_replace(t, "^(" + "|".join(connectors) + ")( +|$)", "")
 
 
 def utc_iso(c: Column) -> Column:

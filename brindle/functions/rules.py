@@ -104,7 +104,7 @@ def depth(pattern: Column) -> Column:
 
 def portability(pattern: Column) -> Column:
     """The problems of a pattern, sorted; empty if it is portable. Whether it compiles is not checked here."""
-    bounds = F.transform(F.regexp_extract_all(pattern, F.lit(r"[{,](\d+)"), F.lit(1)), lambda n: n.cast("long") > MOST_REPEATS)
+    bounds = F.transform(F.regexp_extract_all(pattern, F.lit(r"[{,](\d+)"), F.lit(1)), lambda n: F.coalesce(n.try_cast("long") > MOST_REPEATS, F.lit(True)))  # beyond a long: too large
     found = [F.when(pattern.rlike(p), F.lit(name)) for p, name in FORBIDDEN]
     found += [F.when(F.length(pattern) > MOST_LENGTH, F.lit("too long")), F.when(F.exists(bounds, lambda b: b), F.lit("bound too large")), F.when(depth(pattern) > MOST_DEPTH, F.lit("too deep"))]
     return F.array_sort(F.array_distinct(F.filter(F.array(*found), F.isnotnull)))

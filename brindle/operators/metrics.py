@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.corpus import summed
+
 
 def per_label(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """(label, tp, fp, fn) over the union of gold and predicted labels."""
@@ -42,10 +44,9 @@ def edge_bin(conf: Column, bins: int, first_closed: bool = False, last: float =
 
 
 def average_rank(df: DataFrame, score: str) -> DataFrame:
-    """``df`` with the rank of each row by ``score``, ties averaged; ranks come from counts for each score."""
+    """``df`` with the rank of each row by ``score``, ties averaged; ranks come from counts for each score, summed in ranges."""
     counts = df.groupBy(F.col(score).alias("__s")).agg(F.count("*").alias("__n"))
-    up_to = F.sum("__n").over(Window.orderBy("__s"))
-    ranks = counts.select("__s", (up_to - (F.col("__n") - 1) / 2).alias("rank"))
+    ranks = summed(counts, ["__s"], F.col("__n"), "__before").select("__s", (F.col("__before") + (F.col("__n") + 1) / 2).alias("rank"))
     return df.join(ranks, F.col(score) == F.col("__s")).drop("__s")
 
 

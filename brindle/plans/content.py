@@ -1,170 +1,261 @@
-"""Content compiler and validation queries: catalogue tables in, diagnostics out."""
+"""Content compiler and validation queries. The parts are the intents of a catalogue, their brands its capabilities."""
 
 from __future__ import annotations
 
-from functools import reduce
+import io
+import json
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators import content as K
+from brindle.operators import corpus as C
+from brindle.operators import scoring as S
+from brindle.plans import oracle as O
 from brindle.plans.catalog import query
+from brindle.plans.files import folder
+from brindle.plans.scoring import IN_SCOPE, MODEL, vectors
+from brindle.sources import host_files as H
 from brindle.sources.tables import inline, table, values
 
-INTENTS = [("reminders.add", "reminders", "add", True), ("reminders.list", "reminders", "list", False), ("radio.play", "radio", "play", True), ("orphan.go", "missing", "go", False)]
-SLOTS = [("reminders.add", "topic", "remind"), ("reminders.add", "time", "datetime"), ("radio.play", "station", "station")]
-ENTITIES = [("remind",), ("datetime",), ("unused",)]
-ACTIONS = [("add",), ("list",), ("play",)]
-CAPABILITIES = [("reminders",), ("radio",)]
-TRIGGERS = [("mute", "exact", ["mute", "be quiet"]), ("reminders.add", "regex", ["remind me"]), ("nowhere", "contains", ["x"])]
-_I, _S = values("intent, capability, action, followup", INTENTS), values("intent, slot, entity", SLOTS)
-_EN, _A, _C = values("entity", ENTITIES), values("action", ACTIONS), values("capability", CAPABILITIES)
-_TR = values("intent, kind, terms", TRIGGERS)
+_I = "(SELECT 'part.' || p_partkey AS intent, p_brand AS capability, p_type AS action, p_size > 25 AS followup FROM part)"
+_S = "(SELECT 'part.' || p_partkey AS intent, split_part(p_name, ' ', 1) AS slot, split_part(p_name, ' ', 2) AS entity FROM part WHERE p_partkey % 3 <> 0)"
+_TR = "(SELECT 'part.' || (p_partkey * 2) AS intent, CASE p_partkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'contains' ELSE 'regex' END AS kind, [p_name, p_brand] AS terms FROM part)"
+_EN = "(SELECT DISTINCT entity FROM (SELECT split_part(p_name, ' ', 2) AS entity FROM part WHERE p_size < 40 UNION ALL SELECT p_type FROM part) WHERE entity NOT IN ('ring', 'widget'))"
+_A, _C = "(SELECT DISTINCT p_type AS action FROM part WHERE p_type <> 'PROMO')", "(SELECT DISTINCT p_brand AS capability FROM part WHERE p_brand NOT LIKE '%7')"
 
 
-def intents(spark):
-    return inline(spark, "intent string, capability string, action string, followup boolean", INTENTS)
+def intents(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select(F.concat(F.lit("part."), "p_partkey").alias("intent"), F.col("p_brand").alias("capability"), F.col("p_type").alias("action"), (F.col("p_size") > 25).alias("followup"))
 
 
-def slots(spark):
-    return inline(spark, "intent string, slot string, entity string", SLOTS)
+def slots(spark, sf) -> DataFrame:
+    words = F.split("p_name", " ")
+    return table(spark, sf, "part").filter("p_partkey % 3 <> 0").select(F.concat(F.lit("part."), "p_partkey").alias("intent"), F.get(words, F.lit(0)).alias("slot"), F.get(words, F.lit(1)).alias("entity"))
 
 
-def missing(df: DataFrame, refs: DataFrame, key: str, code: str, where: str) -> DataFrame:
-    """Diagnostics for the rows of ``df`` whose reference isn't there."""
-    return df.join(refs, key, "left_anti").select(F.lit(code).alias("code"), F.col(where).alias("location"), F.col(key).alias("what"))
+def triggers(spark, sf) -> DataFrame:
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "exact").when(k % 3 == 1, "contains").otherwise("regex")
+    return table(spark, sf, "part").select(F.concat(F.lit("part."), (k * 2).cast("string")).alias("intent"), kind.alias("kind"), F.array("p_name", "p_brand").alias("terms"))
+
+
+def entities(spark, sf) -> DataFrame:
+    p = table(spark, sf, "part")
+    found = p.filter("p_size < 40").select(F.get(F.split("p_name", " "), F.lit(1)).alias("entity")).union(p.select("p_type"))
+    return found.filter(~F.col("entity").isin("ring", "widget")).distinct()
+
+
+def written_catalogue(spark, sf) -> str:
+    """The intents and slots of the tables as a YAML tree: its folder."""
+    path = folder(spark, "capabilities")
+    rows = intents(spark, sf).join(slots(spark, sf), "intent", "left")
+    slot = F.when(F.col("slot").isNotNull(), F.concat(F.lit("\nslots:\n- name: "), "slot", F.lit("\n  entity: "), "entity", F.lit("\n  required: true"))).otherwise("")
+    rows.select(F.concat(F.lit("---\nintent: "), "intent", F.lit("\ncapability: "), "capability", F.lit("\naction: "), "action", F.lit("\nfollowup: "), F.col("followup").cast("string"), slot).alias("value")).write.text(path)
+    return path
+
+
+@query(f"SELECT i.intent, capability, action, followup, slot, entity FROM {_I} i LEFT JOIN {_S} s ON i.intent = s.intent")
+def scan_yaml_caps(spark, sf):
+    read = H.read_capabilities(spark, written_catalogue(spark, sf))
+    return read.select("intent", "capability", "action", "followup", F.explode_outer("slots").alias("s")).select("intent", "capability", "action", "followup", F.col("s.name").alias("slot"), F.col("s.entity").alias("entity"))
 
 
 @query(f"SELECT 'V3_ENTITY' AS code, intent AS location, entity AS what FROM {_S} WHERE entity NOT IN (FROM {_EN}) UNION ALL SELECT 'V3_ACTION', intent, action FROM {_I} WHERE action NOT IN (FROM {_A}) UNION ALL SELECT 'V4_CAPABILITY', intent, capability FROM {_I} WHERE capability NOT IN (FROM {_C}) UNION ALL SELECT 'V3_INTENT', kind, intent FROM {_TR} WHERE intent NOT IN (SELECT intent FROM {_I})")
 def ref_resolution(spark, sf):
-    triggers = inline(spark, "intent string, kind string, terms array<string>", TRIGGERS)
-    found = [
-        missing(slots(spark), inline(spark, "entity string", ENTITIES), "entity", "V3_ENTITY", "intent"), missing(intents(spark), inline(spark, "action string", ACTIONS), "action", "V3_ACTION", "intent"),
-        missing(intents(spark), inline(spark, "capability string", CAPABILITIES), "capability", "V4_CAPABILITY", "intent"), missing(triggers, intents(spark).select("intent"), "intent", "V3_INTENT", "kind"),
-    ]
-    return reduce(DataFrame.unionByName, found)
+    """References of the catalogue as read back from its YAML tree."""
+    read = H.read_capabilities(spark, written_catalogue(spark, sf))
+    read_slots = read.select("intent", F.inline("slots")).select("intent", F.col("name").alias("slot"), "entity")
+    p = table(spark, sf, "part")
+    actions = p.filter("p_type <> 'PROMO'").select(F.col("p_type").alias("action"))
+    capabilities = p.filter("p_brand not like '%7'").select(F.col("p_brand").alias("capability"))
+    return K.references(read.drop("slots"), read_slots, triggers(spark, sf), entities(spark, sf), actions, capabilities)
 
 
 @query(f"SELECT entity AS orphan FROM {_EN} WHERE entity NOT IN (SELECT entity FROM {_S})")
 def v4_orphans(spark, sf):
-    return inline(spark, "entity string", ENTITIES).join(slots(spark), "entity", "left_anti").select(F.col("entity").alias("orphan"))
+    return K.orphans(entities(spark, sf), slots(spark, sf))
 
 
-FILES = [("intents/a.json",), ("intents/b.json",), ("policy.json",), ("odd.txt",), ("manifest.json",)]
+_FILES = "(SELECT CASE p_partkey % 5 WHEN 0 THEN 'intents/' || p_partkey || '.json' WHEN 1 THEN 'policy.json' WHEN 2 THEN p_name || '.txt' WHEN 3 THEN 'prompts/' || p_partkey || '.json' ELSE 'manifest.json' END AS file FROM part)"
 SCHEMAS = [("intent", "^intents/.*[.]json$"), ("policy", "^policy[.]json$"), ("any", "^p.*json$"), ("manifest", "^manifest[.]json$")]
 
 
-@query(f"SELECT file, count(rx)::BIGINT AS schemas, count(rx) = 1 AS ok FROM {values('file', FILES)} LEFT JOIN {values('name, rx', SCHEMAS)} ON regexp_matches(file, rx) GROUP BY file")
+@query(f"SELECT file, count(rx)::BIGINT AS schemas, count(rx) = 1 AS ok FROM (SELECT row_number() OVER () AS n, file FROM {_FILES}) LEFT JOIN {values('name, rx', SCHEMAS)} ON regexp_matches(file, rx) GROUP BY n, file")
 def v1_schema_map(spark, sf):
-    n = sum((F.col("file").rlike(rx).cast("long") for _, rx in SCHEMAS), F.lit(0).cast("long"))
-    return inline(spark, "file string", FILES).select("file", n.alias("schemas"), (n == 1).alias("ok"))
+    k, name = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    file = F.when(k % 5 == 0, F.concat(F.lit("intents/"), name, F.lit(".json"))).when(k % 5 == 1, "policy.json").when(k % 5 == 2, F.concat("p_name", F.lit(".txt"))).when(k % 5 == 3, F.concat(F.lit("prompts/"), name, F.lit(".json"))).otherwise("manifest.json")
+    return K.schema_map(table(spark, sf, "part").select(file.alias("file")), SCHEMAS)
 
 
-@query(f"SELECT i.intent, CASE WHEN p.confirm IS NULL THEN 'missing' WHEN i.followup AND p.confirm <> 'always' THEN 'must_confirm' ELSE 'ok' END AS verdict FROM {_I} i LEFT JOIN {values('intent, confirm', [('reminders.add', 'always'), ('radio.play', 'never'), ('reminders.list', 'never')])} p USING (intent)")
+@query(f"SELECT i.intent, CASE WHEN p.confirm IS NULL THEN 'missing' WHEN i.followup AND p.confirm <> 'always' THEN 'must_confirm' ELSE 'ok' END AS verdict FROM {_I} i LEFT JOIN (SELECT 'part.' || p_partkey AS intent, CASE WHEN p_partkey % 2 = 0 THEN 'always' ELSE 'never' END AS confirm FROM part WHERE p_partkey % 9 <> 0) p USING (intent)")
 def v5_policy(spark, sf):
-    p = inline(spark, "intent string, confirm string", [("reminders.add", "always"), ("radio.play", "never"), ("reminders.list", "never")])
-    verdict = F.when(F.col("confirm").isNull(), "missing").when(F.col("followup") & (F.col("confirm") != "always"), "must_confirm").otherwise("ok")
-    return intents(spark).join(p, "intent", "left").select("intent", verdict.alias("verdict"))
+    k = F.col("p_partkey")
+    given = table(spark, sf, "part").filter(k % 9 != 0).select(F.concat(F.lit("part."), "p_partkey").alias("intent"), F.when(k % 2 == 0, "always").otherwise("never").alias("confirm"))
+    return K.policy_verdicts(intents(spark, sf), given)
 
 
-@query(f"SELECT coalesce(i.intent, l.label) AS label, CASE WHEN l.label IS NULL THEN 'no_label' WHEN i.intent IS NULL THEN 'no_intent' ELSE 'ok' END AS verdict FROM {_I} i FULL JOIN {values('label', [('reminders.add',), ('radio.play',), ('ghost',)])} l ON i.intent = l.label")
+@query(f"SELECT coalesce(i.intent, l.label) AS label, CASE WHEN l.label IS NULL THEN 'no_label' WHEN i.intent IS NULL THEN 'no_intent' ELSE 'ok' END AS verdict FROM {_I} i FULL JOIN (SELECT 'part.' || (p_partkey * 3) AS label FROM part) l ON i.intent = l.label")
 def v8_parity(spark, sf):
-    labels = inline(spark, "label string", [("reminders.add",), ("radio.play",), ("ghost",)])
-    both = intents(spark).join(labels, F.col("intent") == F.col("label"), "full")
-    verdict = F.when(F.col("label").isNull(), "no_label").when(F.col("intent").isNull(), "no_intent").otherwise("ok")
-    return both.select(F.coalesce("intent", "label").alias("label"), verdict.alias("verdict"))
-
+    return K.label_parity(intents(spark, sf), table(spark, sf, "part").select(F.concat(F.lit("part."), (F.col("p_partkey") * 3).cast("string")).alias("label")))
 
-_LANGS, _KEYS = [("en",), ("fr",)], [("en", "reminders.add"), ("en", "radio.play"), ("fr", "radio.play"), ("en", "reminders.list"), ("en", "orphan.go")]
 
-
-@query(f"SELECT lang, intent AS missing FROM {values('lang', _LANGS)}, {_I} WHERE (lang, intent) NOT IN (SELECT (lang, key) FROM {values('lang, key', _KEYS)})")
+@query(f"WITH l AS (SELECT unnest(['en', 'fr', 'de']) AS lang), k AS (SELECT 'part.' || p_partkey AS intent, unnest(CASE WHEN p_partkey % 4 = 0 THEN ['en'] ELSE ['en', 'fr'] END) AS lang FROM part) SELECT lang, intent AS missing FROM l, {_I} i WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.lang = l.lang AND k.intent = i.intent)")
 def v9_localization(spark, sf):
-    keys = inline(spark, "lang string, intent string", _KEYS)
-    return intents(spark).select("intent").crossJoin(inline(spark, "lang string", _LANGS)).join(keys, ["lang", "intent"], "left_anti").select("lang", F.col("intent").alias("missing"))
+    there = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("en"), F.lit("fr")))
+    prompts = table(spark, sf, "part").select(F.concat(F.lit("part."), "p_partkey").alias("intent"), F.explode(there).alias("lang"))
+    return K.untranslated(intents(spark, sf), ("en", "fr", "de"), prompts)
 
 
 @query(f"SELECT intent, CASE WHEN kind = 'exact' THEN 1 ELSE 2 END AS tier, CASE WHEN kind = 'exact' THEN '^' || unnest(terms) || '$' ELSE unnest(terms) END AS pattern FROM {_TR}")
 def keywords_compile(spark, sf):
-    rows = inline(spark, "intent string, kind string, terms array<string>", TRIGGERS).select("intent", "kind", F.explode("terms").alias("term"))
-    exact = F.col("kind") == "exact"
-    return rows.select("intent", F.when(exact, 1).otherwise(2).alias("tier"), F.when(exact, F.concat(F.lit("^"), "term", F.lit("$"))).otherwise(F.col("term")).alias("pattern"))
+    return K.keywords(triggers(spark, sf))
 
 
 @query(f"SELECT intent, CASE WHEN followup THEN 'always' ELSE 'never' END AS confirm, CASE WHEN followup THEN 0.7 ELSE 0.5 END::DOUBLE AS bar FROM {_I}")
 def policies_compile(spark, sf):
-    f = F.col("followup")
-    return intents(spark).select("intent", F.when(f, "always").otherwise("never").alias("confirm"), F.when(f, 0.7).otherwise(0.5).alias("bar"))
-
+    return K.policies(intents(spark, sf))
 
-_G = [("loud", "radio.play", "reminders.add"), ("(?=x)", "radio.play", "reminders.add"), ("up", "nowhere", "radio.play")]
 
+_G = "(SELECT p_partkey AS guard_id, CASE p_partkey % 4 WHEN 0 THEN '(?=' || p_name || ')' WHEN 1 THEN p_name || '{2,40}' ELSE p_name END AS rx, 'part.' || (p_partkey * 2) AS blocked FROM part)"
+_BAD = "(contains(rx, '(?=') OR contains(rx, '{2,40}'))"
 
-@query(f"SELECT rx, CASE WHEN blocked NOT IN (SELECT intent FROM {_I}) THEN 'unknown_intent' WHEN contains(rx, '(?=') THEN 'not_portable' ELSE 'ok' END AS verdict FROM {values('rx, blocked, redirect', _G)}")
-def guards_compile(spark, sf):
-    known = intents(spark).select(F.col("intent").alias("blocked"), F.lit(True).alias("known"))
-    from brindle.functions.rules import portability
 
-    rows = inline(spark, "rx string, blocked string, redirect string", _G).join(known, "blocked", "left")
-    return rows.select("rx", F.when(F.col("known").isNull(), "unknown_intent").when(F.size(portability(F.col("rx"))) > 0, "not_portable").otherwise("ok").alias("verdict"))
+def guard_rows(spark, sf) -> DataFrame:
+    k = F.col("p_partkey")
+    rx = F.when(k % 4 == 0, F.concat(F.lit("(?="), "p_name", F.lit(")"))).when(k % 4 == 1, F.concat("p_name", F.lit("{2,40}"))).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select(k.alias("guard_id"), rx.alias("rx"), F.concat(F.lit("part."), (k * 2).cast("string")).alias("blocked"))
 
 
-@query(f"SELECT rx FROM {values('rx, blocked, redirect', _G)} WHERE NOT contains(rx, '(?=')")
-def lexicon_compile(spark, sf):
-    from brindle.functions.rules import portability
-
-    return inline(spark, "rx string, blocked string, redirect string", _G).filter(F.size(portability(F.col("rx"))) == 0).select("rx")
+@query(f"SELECT guard_id, CASE WHEN blocked NOT IN (SELECT intent FROM {_I}) THEN 'unknown_intent' WHEN {_BAD} THEN 'not_portable' ELSE 'ok' END AS verdict FROM {_G}")
+def guards_compile(spark, sf):
+    return K.guards(guard_rows(spark, sf), intents(spark, sf))
 
 
-_BASE, _OVER = [("greet", "hello", "a"), ("bye", "bye", "b"), ("thanks", "thanks", "c")], [("greet", "bonjour"), ("extra", "x")]
+@query(f"SELECT guard_id, rx FROM {_G} WHERE NOT {_BAD}")
+def lexicon_compile(spark, sf):
+    return K.portable(guard_rows(spark, sf)).select("guard_id", "rx")
 
 
-@query(f"SELECT key, coalesce(o.text, b.text) AS text, shape FROM {values('key, text, shape', _BASE)} b LEFT JOIN {values('key, text', _OVER)} o USING (key)")
+@query("SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN 'fr ' || p_name ELSE p_name END AS text, p_type AS shape FROM part")
 def overlay_merge(spark, sf):
-    base, over = inline(spark, "key string, text string, shape string", _BASE), inline(spark, "key string, over string", _OVER)
-    return base.join(over, "key", "left").select("key", F.coalesce("over", "text").alias("text"), "shape")
+    p = table(spark, sf, "part")
+    base = p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text"), F.col("p_type").alias("shape"))
+    over = p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("key"), F.concat(F.lit("fr "), "p_name").alias("text")).union(inline(spark, "key long, text string", [(-1, "extra")]))
+    return K.overlaid(base, over, "key", "text")
 
 
-@query("SELECT p_brand AS brand, sha256(string_agg(sha256(p_name) || '  ' || p_partkey::VARCHAR, chr(10) ORDER BY sha256(p_name) || '  ' || p_partkey::VARCHAR)) AS root FROM part GROUP BY p_brand")
+@query(O.rooted("SELECT p_brand AS brand, sha256(sha256(p_name) || '  ' || p_partkey::VARCHAR) AS d FROM part", "brand", "brand, n, root"))
 def hash_table(spark, sf):
     line = F.concat(F.sha2("p_name", 256), F.lit("  "), F.col("p_partkey").cast("string"))
-    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("root"))
+    return C.rooted(table(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.sha2(line, 256).alias("d")), "brand", "d")
 
 
 @query("WITH e AS (SELECT p_partkey AS k, md5(p_name) AS h FROM part WHERE p_partkey % 50 <> 0), a AS (SELECT p_partkey AS k, md5(CASE WHEN p_partkey % 40 = 0 THEN 'x' ELSE p_name END) AS h FROM part WHERE p_partkey % 60 <> 0) SELECT coalesce(e.k, a.k) AS k, CASE WHEN a.k IS NULL THEN 'MISSING' WHEN e.k IS NULL THEN 'EXTRA' ELSE 'CHANGED' END AS issue FROM e FULL JOIN a USING (k) WHERE e.h IS DISTINCT FROM a.h")
 def manifest_verify(spark, sf):
     p = table(spark, sf, "part")
-    e = p.filter("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("k"), F.md5("p_name").alias("want"))
-    a = p.filter("p_partkey % 60 <> 0").select(F.col("p_partkey").alias("k"), F.md5(F.when(F.col("p_partkey") % 40 == 0, "x").otherwise(F.col("p_name"))).alias("got"))
-    issue = F.when(F.col("got").isNull(), "MISSING").when(F.col("want").isNull(), "EXTRA").otherwise("CHANGED")
-    return e.join(a, "k", "full").filter(~F.col("want").eqNullSafe(F.col("got"))).select("k", issue.alias("issue"))
+    e = p.filter("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("k"), F.md5("p_name").alias("h"))
+    a = p.filter("p_partkey % 60 <> 0").select(F.col("p_partkey").alias("k"), F.md5(F.when(F.col("p_partkey") % 40 == 0, "x").otherwise(F.col("p_name"))).alias("h"))
+    return K.manifest_issues(e, a, "k", "h")
+
 
+_MODELS = "(SELECT p_brand AS lang, CASE p_partkey % 3 WHEN 0 THEN 'pack' WHEN 1 THEN 'build' ELSE 'legacy' END AS place, CASE WHEN p_size > 10 THEN p_name END AS path FROM part)"
 
-_MODELS = [("en", "pack", None), ("en", "build", "b.bin"), ("en", "legacy", "l.bin"), ("fr", "pack", "p.bin"), ("fr", "build", "c.bin")]
 
+def models(spark, sf) -> DataFrame:
+    k = F.col("p_partkey")
+    place = F.when(k % 3 == 0, "pack").when(k % 3 == 1, "build").otherwise("legacy")
+    return table(spark, sf, "part").select(F.col("p_brand").alias("lang"), place.alias("place"), F.when(F.col("p_size") > 10, F.col("p_name")).alias("path"))
 
-@query(f"SELECT lang, coalesce(max(path) FILTER (place = 'pack'), max(path) FILTER (place = 'build'), max(path) FILTER (place = 'legacy')) AS path FROM {values('lang, place, path', _MODELS)} GROUP BY lang")
+
+@query(f"SELECT lang, coalesce(max(path) FILTER (place = 'pack'), max(path) FILTER (place = 'build'), max(path) FILTER (place = 'legacy')) AS path FROM {_MODELS} GROUP BY lang")
 def model_resolution(spark, sf):
-    at = lambda place: F.max(F.when(F.col("place") == place, F.col("path")))
-    return inline(spark, "lang string, place string, path string", _MODELS).groupBy("lang").agg(F.coalesce(at("pack"), at("build"), at("legacy")).alias("path"))
+    return K.model_paths(models(spark, sf))
 
 
-@query(f"SELECT channel, lang, path IS NULL AS absent, CASE WHEN path IS NULL AND channel = 'production' THEN 'error' WHEN path IS NULL THEN 'warning' ELSE 'ok' END AS severity FROM {values('lang, place, path', _MODELS)}, {values('channel', [('production',), ('dev',)])} WHERE place = 'pack'")
+@query(f"SELECT channel, lang, path IS NULL AS absent, CASE WHEN path IS NULL AND channel = 'production' THEN 'error' WHEN path IS NULL THEN 'warning' ELSE 'ok' END AS severity FROM {_MODELS}, {values('channel', [('production',), ('dev',)])} WHERE place = 'pack'")
 def pack_load(spark, sf):
-    rows = inline(spark, "lang string, place string, path string", _MODELS).filter("place = 'pack'").crossJoin(inline(spark, "channel string", [("production",), ("dev",)]))
-    absent = F.col("path").isNull()
-    return rows.select("channel", "lang", absent.alias("absent"), F.when(absent & (F.col("channel") == "production"), "error").when(absent, "warning").otherwise("ok").alias("severity"))
+    return K.pack_severity(models(spark, sf))
 
 
-_STAGES = [(1, "V1", "error"), (2, "V3", "error"), (3, "V9", "warning")]
+_FOUND = "(SELECT p_brand AS pack, p_partkey % 9 AS stage, CASE WHEN p_size > 30 AND p_partkey % 9 > 3 THEN 'error' ELSE 'warning' END AS severity, p_partkey AS code FROM part)"
 
 
-@query(f"SELECT stage, code FROM {values('stage, code, severity', _STAGES)} WHERE stage <= coalesce((SELECT min(stage) FROM {values('stage, code, severity', _STAGES)} WHERE severity = 'error'), 99)")
+@query(f"WITH d AS {_FOUND} SELECT pack, stage, code FROM d WHERE stage <= coalesce((SELECT min(stage) FROM d e WHERE e.pack = d.pack AND severity = 'error'), 99)")
 def stage1_shortcircuit(spark, sf):
-    rows = inline(spark, "stage int, code string, severity string", _STAGES)
-    first = rows.filter("severity = 'error'").agg(F.coalesce(F.min("stage"), F.lit(99)).alias("first"))
-    return rows.crossJoin(F.broadcast(first)).filter("stage <= first").select("stage", "code")
+    stage = F.col("p_partkey") % 9
+    found = table(spark, sf, "part").select(F.col("p_brand").alias("pack"), stage.alias("stage"), F.when((F.col("p_size") > 30) & (stage > 3), "error").otherwise("warning").alias("severity"), F.col("p_partkey").alias("code"))
+    return K.until_first_error(found, "pack").select("pack", "stage", "code")
 
 
 @query(f"SELECT key, count(*)::BIGINT AS sources FROM (SELECT intent AS key FROM {_I} UNION ALL SELECT intent FROM {_S}) GROUP BY key")
 def assemble_schema(spark, sf):
-    return intents(spark).select("intent").union(slots(spark).select("intent")).groupBy(F.col("intent").alias("key")).agg(F.count("*").alias("sources"))
+    return K.sources_of(intents(spark, sf), slots(spark, sf))
+
+
+# files that a host writes
+
+
+@query("SELECT r_name || '.txt' AS name, sha256(r_name) AS sha256, CASE WHEN r_regionkey = 0 THEN 'changed' WHEN r_regionkey = 1 THEN 'unlisted' ELSE 'ok' END AS issue FROM region UNION ALL SELECT 'gone.txt', '', 'missing'")
+def scan_zip_bundle(spark, sf):
+    """The regions as a bundle of files, one of them changed, one not listed and one lacking."""
+    import zipfile
+
+    rows = table(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()  # five rows
+    listed = {f"{r.r_name}.txt": b"other" if r.r_regionkey == 0 else r.r_name.encode() for r in rows if r.r_regionkey != 1} | {"gone.txt": b""}
+    signed, out = io.BytesIO(H.bundle(listed)), io.BytesIO()
+    with zipfile.ZipFile(signed) as before, zipfile.ZipFile(out, "w") as after:
+        for name in (H.MANIFEST, H.TABLE, H.SIGNATURE):
+            after.writestr(name, before.read(name))
+        for r in rows:
+            after.writestr(f"{r.r_name}.txt", r.r_name)
+    path = f"{folder(spark, 'bundles')}/content.zip"
+    H.write_bytes(spark, path, out.getvalue())
+    return H.read_bundles(spark, path).select("name", "sha256", "issue")
+
+
+def _head(spark, sf) -> list:
+    """One row for each in-scope label."""
+    return S.prototypes(vectors(spark, sf).filter(F.col("gold") < IN_SCOPE), "v", "gold").orderBy("label").collect()
+
+
+_WEIGHTS = f"WITH {MODEL} SELECT label::VARCHAR AS label, round(w[1], 6) AS w1, round(list_sum(w), 6) AS total, label / 10::DOUBLE AS b"
+
+
+@query(f"{_WEIGHTS}, 0.5::DOUBLE AS temperature FROM model")
+def scan_json_model(spark, sf):
+    head = _head(spark, sf)
+    path = f"{folder(spark, 'model')}/weights.json"
+    H.write_bytes(spark, path, json.dumps({"labels": [str(r.label) for r in head], "coef": [r.w for r in head], "intercept": [r.label / 10 for r in head], "temperature": 0.5}, indent=1).encode())
+    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
+    return H.read_json_model(spark, path).select("label", F.round(F.get("w", F.lit(0)), 6).alias("w1"), F.round(total, 6).alias("total"), "b", "temperature")
+
+
+@query(f"{_WEIGHTS} FROM model")
+def scan_npz_head(spark, sf):
+    head, out = _head(spark, sf), io.BytesIO()
+    np.savez(out, labels=np.array([str(r.label) for r in head]), weights=np.array([r.w for r in head]), bias=np.array([r.label / 10 for r in head]))
+    path = f"{folder(spark, 'head')}/head.npz"
+    H.write_bytes(spark, path, out.getvalue())
+    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
+    return H.read_npz_head(spark, path).select("label", F.round(F.get("w", F.lit(0)), 6).alias("w1"), F.round(total, 6).alias("total"), "b")
+
+
+@query("SELECT n_name AS text, r_name AS intent, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey)::INT AS row FROM nation JOIN region ON n_regionkey = r_regionkey")
+def scan_xlsx_sheets(spark, sf):
+    """The nations as a workbook with a sheet for each region."""
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()  # 25 rows
+    sheets: dict[str, list[str]] = {}
+    for r in rows:
+        sheets.setdefault(r.r_name, []).append(r.n_name)
+    path = f"{folder(spark, 'book')}/nations.xlsx"
+    H.write_bytes(spark, path, H.workbook(sheets))
+    return H.read_workbooks(spark, path)
+
+
+@query("SELECT unnest(['| r_regionkey | r_name |', '|---|---|'] || (SELECT list('| ' || r_regionkey || ' | ' || r_name || ' |' ORDER BY r_regionkey) FROM region)) AS line")
+def sink_markdown(spark, sf):
+    path = f"{folder(spark, 'report')}/regions.md"
+    H.write_bytes(spark, path, H.markdown(table(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")).encode())
+    return spark.read.text(path).select(F.col("value").alias("line"))

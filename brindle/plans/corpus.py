@@ -231,11 +231,10 @@ def split_group_holdout(spark, sf):
 r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY label ORDER BY md5(concat(key, '|42')), key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY label) AS total FROM g)
 SELECT label, CASE WHEN before * 10 < total THEN 'test' WHEN before * 5 < total THEN 'val' ELSE 'train' END AS split, sum(size)::BIGINT AS n FROM r GROUP BY ALL""")
 def split_groups_greedy(spark, sf):
-    g = keyed(spark, sf).groupBy("key").agg(F.min("source").alias("label"), F.count("*").alias("size"))
-    w = Window.partitionBy("label").orderBy(C.shuffled(42, "key"), "key").rowsBetween(Window.unboundedPreceding, -1)
-    before, total = F.coalesce(F.sum("size").over(w), F.lit(0)), F.sum("size").over(Window.partitionBy("label"))
-    split = F.when(before * 10 < total, "test").when(before * 5 < total, "val").otherwise("train")
-    return g.select("label", "size", split.alias("split")).groupBy("label", "split").agg(F.sum("size").alias("n"))
+    g = keyed(spark, sf).groupBy("key").agg(F.min("source").alias("label"), F.count("*").alias("rows"))
+    g = C.ranked(g, "label", 42, "key", weight="rows")
+    split = F.when(F.col("before") * 10 < F.col("total"), "test").when(F.col("before") * 5 < F.col("total"), "val").otherwise("train")
+    return g.select("label", "rows", split.alias("split")).groupBy("label", "split").agg(F.sum("rows").alias("n"))
 
 
 @query(f"WITH c AS (SELECT DISTINCT {O.core_key('text')} AS core, lang FROM documents), r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(core, '|42')), core) AS n, count(*) OVER (PARTITION BY lang) AS size FROM c) SELECT lang, CASE WHEN n <= floor(size * 0.1::DOUBLE) THEN 'dev' WHEN n <= floor(size * 0.1::DOUBLE) + floor(size * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split, count(*)::BIGINT AS n FROM r GROUP BY ALL")
@@ -310,15 +309,17 @@ def word_shuffle_probe(spark, sf):
     return w.select("doc_id", F.array_join(F.reverse("words"), " ").alias("reversed"), F.array_join(F.transform(hashed, lambda s: s["w"]), " ").alias("shuffled"))
 
 
-@query("""WITH s(state) AS (VALUES ('loud'), ('quiet'), ('dark')), a(action) AS (VALUES ('fix'), ('change')), t(label, form) AS (VALUES ('fix_it', 'it is {s} please {a} it'), ('ask', 'why is it {s} and how to {a} it')),
-e AS (SELECT label, replace(replace(form, '{s}', state), '{a}', action) AS text FROM s, a, t), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(text), text) AS n FROM e) SELECT label, text FROM r WHERE n <= 4""")
+_FORMS = (("fix_it", "it is {s} please {a} it"), ("ask", "why is it {s} and how to {a} it"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT p_name AS state FROM part), a AS (SELECT DISTINCT p_type AS action FROM part), t(label, form) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _FORMS)}),
+e AS (SELECT label, replace(replace(form, '{{s}}', state), '{{a}}', action) AS text FROM s, a, t), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(text), text) AS n FROM e) SELECT label, text FROM r WHERE n <= 40""")
 def template_expand(spark, sf):
-    state = spark.createDataFrame([("loud",), ("quiet",), ("dark",)], "state string")
-    action = spark.createDataFrame([("fix",), ("change",)], "action string")
-    form = spark.createDataFrame([("fix_it", "it is {s} please {a} it"), ("ask", "why is it {s} and how to {a} it")], "label string, form string")
-    filled = F.replace(F.replace("form", F.lit("{s}"), F.col("state")), F.lit("{a}"), F.col("action"))
-    e = form.crossJoin(state).crossJoin(action).select("label", filled.alias("text"))
-    return C.top_per_label(e, "label", F.md5("text"), 4, "text")
+    """Every template filled with all names and types of the parts, forty texts a label: a template's fillings are its feature."""
+    part = table(spark, sf, "part")
+    fillings = part.select(F.col("p_name").alias("state")).distinct().join(part.select(F.col("p_type").alias("action")).distinct())
+    filled = [F.struct(F.lit(label).alias("label"), F.replace(F.replace(F.lit(form), F.lit("{s}"), F.col("state")), F.lit("{a}"), F.col("action")).alias("text")) for label, form in _FORMS]
+    return C.top_per_label(fillings.select(F.inline(F.array(*filled))), "label", F.md5("text"), 40, "text")
 
 
 @query(f"WITH {_ROLES} SELECT doc_id, 'train' AS origin FROM train UNION ALL SELECT doc_id, 'generated' FROM (SELECT doc_id, key || ' again' AS key FROM k) WHERE key NOT IN (SELECT key FROM held)")
@@ -504,10 +505,9 @@ def candidate_phrase_filter(spark, sf):
 @query(f"""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_HASH}, doc_id) AS n FROM documents)
 SELECT doc_id AS a, coalesce(lead(doc_id) OVER (PARTITION BY source ORDER BY n), first(doc_id) OVER (PARTITION BY source ORDER BY n)) AS b FROM r QUALIFY count(*) OVER (PARTITION BY source) >= 2""")
 def positive_pairs_ring(spark, sf):
-    w = Window.partitionBy("source").orderBy(C.shuffled(42, "doc_id"), "doc_id")
-    n = F.count("*").over(Window.partitionBy("source"))
-    pairs = docs(spark, sf).select(F.col("doc_id").alias("a"), F.coalesce(F.lead("doc_id").over(w), F.first("doc_id").over(w)).alias("b"), n.alias("n"))
-    return pairs.filter("n >= 2").select("a", "b")
+    r = C.checkpointed(C.ranked(docs(spark, sf).select("doc_id", "source"), "source", 42, "doc_id")).filter("size >= 2")
+    after = r.select("source", F.col("rank").alias("next"), F.col("doc_id").alias("b"))
+    return r.withColumn("next", F.col("rank") % F.col("size") + 1).join(after, ["source", "next"]).select(F.col("doc_id").alias("a"), "b")
 
 
 @query(f"WITH w AS (SELECT lang, len({O.words('text')}) AS n FROM documents), s AS (SELECT avg(n) FILTER (lang = 'en') AS a, avg(n) FILTER (lang <> 'en') AS b FROM w) SELECT round(a, 6) AS mean_a, round(b, 6) AS mean_b, abs(a - b) <= 1.0 AS balanced FROM s")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators import corpus as C
+from brindle.plans import oracle as O
 from brindle.plans.catalog import query
 from brindle.plans.corpus import docs
 from brindle.sources.tables import read_csv, read_csv_folder, table
@@ -60,12 +62,12 @@ def sink_report_json(spark, sf):
     return spark.read.schema("lang string, n long").json(path)
 
 
-@query("SELECT source, count(*)::BIGINT AS n, sha256(string_agg(sha256(text), chr(10) ORDER BY sha256(text))) AS digest FROM documents GROUP BY source")
+@query(O.rooted("SELECT source, sha256(coalesce(text, '')) AS d FROM documents", "source", "source, n, root AS digest"))
 def sink_frozen_manifest(spark, sf):
     """A digest of each part, written once: a second write to the same place is refused."""
     path = folder(spark, "manifest")
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), "\n"), 256)
-    docs(spark, sf).groupBy("source").agg(F.count("*").alias("n"), digest.alias("digest")).write.mode("errorifexists").parquet(path)
+    parts = C.rooted(docs(spark, sf).select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("d")), "source", "d")
+    parts.withColumnRenamed("root", "digest").write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -83,3 +83,11 @@ def words(c: str) -> str:
 
 def ngram_words(c: str) -> str:
     return rf"regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]{{2,}}')"
+
+
+def rooted(rows: str, by: str, columns: str, digits: tuple[int, ...] = (6, 3, 0)) -> str:
+    """Digests of digests by shorter and shorter beginnings, for ``rows`` with ``by`` and a digest d."""
+    level = f"SELECT {by}, d AS head, d, 1::BIGINT AS n FROM ({rows})"
+    for width in digits:
+        level = f"SELECT {by}, cell AS head, sha256(string_agg(d, chr(10) ORDER BY head, d)) AS d, sum(n)::BIGINT AS n FROM (SELECT {by}, head, d, n, left(head, {width}) AS cell FROM ({level})) GROUP BY {by}, cell"
+    return f"SELECT {columns} FROM (SELECT {by}, n, d AS root FROM ({level}))"

@@ -1,4 +1,8 @@
-"""Rule, guard and relabelling queries, over small utterance tables and over the documents."""
+"""Rule, guard and relabelling queries, over the turns of conversations, the documents and the events.
+
+The tables hold invented prose, in which command words are rare; so every other turn says one of a few fixed
+phrases instead of its own text.
+"""
 
 from __future__ import annotations
 
@@ -23,11 +27,15 @@ RULES = [
     {"intent": "remind", "regex": "(^| )remind( |$)"},
 ]
 YES, NO, CANCEL = ("yes", "sure", "ok"), ("no", "nope", "not"), ("cancel", "never mind", "stop")
-_T = values("utt_id, text", TURNS)
+_T = f"(SELECT conv_id * 1000 + turn AS utt_id, CASE WHEN (conv_id + turn) % 2 = 0 THEN phrase ELSE text END AS text FROM conversations JOIN {values('k, phrase', TURNS)} ON k = (conv_id * 7 + turn) % {len(TURNS)} + 1)"
 
 
-def turns(spark):
-    return inline(spark, "utt_id int, text string", TURNS)
+def turns(spark, sf):
+    """(utt_id, text): the turns of all conversations, every other one with a phrase of ``TURNS``."""
+    phrases = F.array(*(F.lit(t) for _, t in TURNS))
+    phrase = F.get(phrases, ((F.col("conv_id") * 7 + F.col("turn")) % len(TURNS)).cast("int"))
+    said = F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, phrase).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), said.alias("text"))
 
 
 def sql_word(t: str, cues) -> str:
@@ -50,22 +58,22 @@ _INTENT = "CASE " + " ".join(f"WHEN {f} THEN '{r['intent']}'" for f, r in zip(_F
 @query(f"SELECT utt_id FROM {_T} WHERE {_FIRES[0]}")
 def kw_exact(spark, sf):
     terms = inline(spark, "term string", [(t,) for t in RULES[0]["exact"]])
-    return turns(spark).join(F.broadcast(terms), F.lower("text") == F.col("term"), "left_semi").select("utt_id")
+    return turns(spark, sf).join(F.broadcast(terms), F.lower("text") == F.col("term"), "left_semi").select("utt_id")
 
 
 @query(f"SELECT utt_id FROM {_T} WHERE {_FIRES[1]}")
 def kw_contains(spark, sf):
-    return turns(spark).filter(R.first_rule(F.lower("text"), [RULES[1]]).isNotNull()).select("utt_id")
+    return turns(spark, sf).filter(R.first_rule(F.lower("text"), [RULES[1]]).isNotNull()).select("utt_id")
 
 
 @query(f"SELECT utt_id FROM {_T} WHERE {_FIRES[2]}")
 def kw_regex(spark, sf):
-    return turns(spark).filter(R.first_rule(F.lower("text"), [RULES[2]]).isNotNull()).select("utt_id")
+    return turns(spark, sf).filter(R.first_rule(F.lower("text"), [RULES[2]]).isNotNull()).select("utt_id")
 
 
 @query(f"SELECT utt_id, {_INTENT} AS intent, CASE {_INTENT} WHEN 'mute' THEN 'exact' WHEN 'translate' THEN 'contains' WHEN 'volume_up' THEN 'regex_guarded' WHEN 'remind' THEN 'regex' END AS tier FROM {_T}")
 def kw_first_match(spark, sf):
-    return turns(spark).withColumn("hit", R.first_rule(F.lower("text"), RULES)).select("utt_id", "hit.intent", "hit.tier")
+    return turns(spark, sf).withColumn("hit", R.first_rule(F.lower("text"), RULES)).select("utt_id", "hit.intent", "hit.tier")
 
 
 _NEG = sql_negated("lower(text)", "'the '")
@@ -77,14 +85,15 @@ def negation_window(spark, sf):
 
 
 _GUARDS = [("(^| )(up|loud|louder)( |$)", "volume_down", "volume_up"), ("(^| )(down|lower|quiet)( |$)", "volume_up", "volume_down")]
-_PREDICTED = [(16, "volume_down"), (17, "volume_down"), (2, "volume_up"), (4, "volume_up")]
+_PREDICTED = f"(SELECT utt_id, text, CASE WHEN utt_id % 3 = 0 THEN 'volume_up' WHEN utt_id % 3 = 1 THEN 'volume_down' ELSE 'mute' END AS intent FROM {_T})"
 
 
-@query(f"""WITH t AS (SELECT utt_id, lower(text) AS text, intent FROM {_T} JOIN {values('utt_id, intent', _PREDICTED)} USING (utt_id)), g AS {values('rx, blocked, redirect', _GUARDS)},
+@query(f"""WITH t AS (SELECT utt_id, lower(text) AS text, intent FROM {_PREDICTED}), g AS {values('rx, blocked, redirect', _GUARDS)},
 h AS (SELECT t.utt_id, t.intent, g.redirect FROM t JOIN g ON g.blocked = t.intent AND regexp_matches(t.text, g.rx) WHERE NOT EXISTS (SELECT 1 FROM g m WHERE m.blocked = g.redirect AND m.redirect = t.intent AND regexp_matches(t.text, m.rx)))
 SELECT t.utt_id, coalesce(CASE WHEN count(h.redirect) = 1 THEN max(h.redirect) END, any_value(t.intent)) AS intent FROM t LEFT JOIN h USING (utt_id) GROUP BY t.utt_id""")
 def guard_polarity(spark, sf):
-    t = turns(spark).join(inline(spark, "utt_id int, intent string", _PREDICTED), "utt_id").withColumn("text", F.lower("text"))
+    predicted = F.when(F.col("utt_id") % 3 == 0, "volume_up").when(F.col("utt_id") % 3 == 1, "volume_down").otherwise("mute")
+    t = turns(spark, sf).select("utt_id", F.lower("text").alias("text"), predicted.alias("intent"))
     hit = lambda rx: F.col("text").rlike(rx)
     redirects = [F.when((F.col("intent") == b) & hit(rx) & ~R.any_of([(F.col("intent") == r2) & F.lit(b2 == r) & hit(rx2) for rx2, b2, r2 in _GUARDS]), F.lit(r)) for rx, b, r in _GUARDS]
     found = F.filter(F.array(*redirects), F.isnotnull)
@@ -93,14 +102,14 @@ def guard_polarity(spark, sf):
 
 @query(f"SELECT utt_id, CASE WHEN regexp_matches(lower(text), '(^| )(how|guide|what)( |$)') AND {_INTENT} IN ('mute', 'volume_up') THEN 'help_' || {_INTENT} ELSE {_INTENT} END AS intent FROM {_T}")
 def guard_help_marker(spark, sf):
-    hit = turns(spark).withColumn("intent", R.first_rule(F.lower("text"), RULES)["intent"])
+    hit = turns(spark, sf).withColumn("intent", R.first_rule(F.lower("text"), RULES)["intent"])
     asks = F.lower("text").rlike("(^| )(how|guide|what)( |$)") & F.col("intent").isin("mute", "volume_up")
     return hit.select("utt_id", F.when(asks, F.concat(F.lit("help_"), F.col("intent"))).otherwise(F.col("intent")).alias("intent"))
 
 
 @query(f"SELECT utt_id, regexp_matches(lower(text), {O.quoted(R.CORRECTIVE)}) AS corrective FROM {_T}")
 def guard_corrective(spark, sf):
-    return turns(spark).select("utt_id", F.lower("text").rlike(R.CORRECTIVE).alias("corrective"))
+    return turns(spark, sf).select("utt_id", F.lower("text").rlike(R.CORRECTIVE).alias("corrective"))
 
 
 _SCAN = "lower(trim(text))"
@@ -112,12 +121,15 @@ _YESNO = f"CASE WHEN {_UNSURE} THEN NULL WHEN {sql_word(_SCAN, NO)} THEN FALSE W
 
 @query(f"SELECT utt_id, {_YESNO} AS polarity FROM {_T}")
 def yes_no_polarity(spark, sf):
-    return turns(spark).select("utt_id", R.yes_no(F.col("text"), YES, NO).alias("polarity"))
+    return turns(spark, sf).select("utt_id", R.yes_no(F.col("text"), YES, NO).alias("polarity"))
+
+
+CANCELS = f"({sql_word('lower(trim(text))', CANCEL)} OR (coalesce(NOT {_YESNO}, FALSE) AND len(regexp_split_to_array(lower(trim(text)), ' +')) <= 2))"
 
 
-@query(f"SELECT utt_id, {sql_word('lower(trim(text))', CANCEL)} OR (coalesce(NOT {_YESNO}, FALSE) AND len(regexp_split_to_array(lower(trim(text)), ' +')) <= 2) AS cancels FROM {_T}")
+@query(f"SELECT utt_id, {CANCELS} AS cancels FROM {_T}")
 def is_cancel(spark, sf):
-    return turns(spark).select("utt_id", R.cancels(F.col("text"), CANCEL, YES, NO).alias("cancels"))
+    return turns(spark, sf).select("utt_id", R.cancels(F.col("text"), CANCEL, YES, NO).alias("cancels"))
 
 
 _LABELS = [("mute", True, False), ("volume_up", True, False), ("translate", False, True), ("remind", True, False)]
@@ -125,7 +137,7 @@ _LABELS = [("mute", True, False), ("volume_up", True, False), ("translate", Fals
 
 @query(f"SELECT utt_id, coalesce(actionable, FALSE) AS actionable, coalesce(read_only, FALSE) AS read_only FROM (SELECT utt_id, {_INTENT} AS intent FROM {_T}) LEFT JOIN {values('intent, actionable, read_only', _LABELS)} USING (intent)")
 def is_actionable(spark, sf):
-    hit = turns(spark).select("utt_id", R.first_rule(F.lower("text"), RULES)["intent"].alias("intent"))
+    hit = turns(spark, sf).select("utt_id", R.first_rule(F.lower("text"), RULES)["intent"].alias("intent"))
     labels = inline(spark, "intent string, actionable boolean, read_only boolean", _LABELS)
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     return hit.join(F.broadcast(labels), "intent", "left").select("utt_id", flag("actionable"), flag("read_only"))
@@ -166,7 +178,7 @@ for _p in R.CARRIERS:
 
 @query(f"SELECT utt_id, trim({_CARRIED}) AS topic FROM {_T}")
 def carrier_strip(spark, sf):
-    return turns(spark).select("utt_id", R.without_carriers(F.col("text")).alias("topic"))
+    return turns(spark, sf).select("utt_id", R.without_carriers(F.col("text")).alias("topic"))
 
 
 _MAP = [("click", "tap"), ("view", "look"), ("purchase", None)]
@@ -208,7 +220,7 @@ def relabel_oos_fix(spark, sf):
 @query(f"SELECT utt_id, CASE WHEN p THEN 'send - yes' WHEN NOT p THEN 'send - no' ELSE 'send' END AS label FROM (SELECT utt_id, {_YESNO} AS p FROM {_T})")
 def relabel_confirm_compound(spark, sf):
     compound = inline(spark, "intent string, polarity boolean, label string", [("send", True, "send - yes"), ("send", False, "send - no")])
-    rows = turns(spark).select("utt_id", F.lit("send").alias("intent"), R.yes_no(F.col("text"), YES, NO).alias("polarity"))
+    rows = turns(spark, sf).select("utt_id", F.lit("send").alias("intent"), R.yes_no(F.col("text"), YES, NO).alias("polarity"))
     return rows.join(F.broadcast(compound), ["intent", "polarity"], "left").select("utt_id", F.coalesce("label", "intent").alias("label"))
 
 
@@ -225,28 +237,40 @@ _WORDS = ("up", "down", "not", "off", "on")
 @query(f"""WITH w AS (SELECT utt_id, {O.words('lower(text)')} AS words FROM {_T}), p AS (SELECT a.utt_id AS a, b.utt_id AS b, list_concat(list_filter(a.words, lambda x: NOT list_contains(b.words, x)), list_filter(b.words, lambda x: NOT list_contains(a.words, x))) AS diff FROM w a JOIN w b ON b.utt_id = a.utt_id + 1)
 SELECT a, b, list_has_any(diff, {list(_WORDS)}) AS exempt FROM p""")
 def polarity_diff_exempt(spark, sf):
-    w = turns(spark).select(F.col("utt_id").alias("a"), X.words(F.lower("text")).alias("x"))
-    v = turns(spark).select(F.col("utt_id").alias("b"), X.words(F.lower("text")).alias("y"))
+    w = turns(spark, sf).select(F.col("utt_id").alias("a"), X.words(F.lower("text")).alias("x"))
+    v = turns(spark, sf).select(F.col("utt_id").alias("b"), X.words(F.lower("text")).alias("y"))
     diff = F.array_union(F.array_except("x", "y"), F.array_except("y", "x"))
     return w.join(v, F.col("b") == F.col("a") + 1).select("a", "b", F.arrays_overlap(diff, F.array(*map(F.lit, _WORDS))).alias("exempt"))
 
 
 PATTERNS = [
-    (1, r"^set (an? )?alarm$"), (2, r"(?=x)a"), (3, r"(?<!x)a"), (4, r"a*?b"), (5, r"(a(b(c(d(e)))))"), (6, r"x{2,40}"), (7, r"\p{L}+"), (8, r"(a)\1"), (9, r"\(\(\(\(\(ok"), (10, r"(?P<n>a)"), (11, "a" * 600), (12, r"a++b{3}?"), (13, r"\012"), (14, r"(?i)x"),
+    (1, r"^set (an? )?alarm$"), (2, r"(?=x)a"), (3, r"(?<!x)a"), (4, r"a*?b"), (5, r"(a(b(c(d(e)))))"), (6, r"x{2,40}"), (7, r"\p{L}+"), (8, r"(a)\1"), (9, r"\(\(\(\(\(ok"), (10, r"(?P<n>a)"), (11, "a" * 600), (12, r"a++b{3}?"), (13, r"\012"), (14, r"(?i)x"), (15, r"a{99999999999999999999}"),
 ]
+_P = f"(SELECT p_partkey AS id, p_name || ' ' || v.pattern AS pattern FROM part JOIN {values('k, pattern', PATTERNS)} v ON k = p_partkey % {len(PATTERNS)} + 1)"
+
+
+def patterns(spark, sf):
+    """(id, pattern): each part's name with one of ``PATTERNS`` behind it."""
+    tail = F.get(F.array(*(F.lit(p) for _, p in PATTERNS)), (F.col("p_partkey") % len(PATTERNS)).cast("int"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", tail).alias("pattern"))
+
+
 _DEPTH = r"list_max(list_prepend(0::BIGINT, list_transform(range(1, length(plain) + 1), lambda i: (length(replace(left(plain, i), ')', '')) - length(replace(replace(left(plain, i), ')', ''), '(', ''))) - (length(replace(left(plain, i), '(', '')) - length(replace(replace(left(plain, i), '(', ''), ')', ''))))))"
 _PROBLEMS = ", ".join(f"CASE WHEN regexp_matches(pattern, {O.quoted(p)}) THEN '{n}' END" for p, n in R.FORBIDDEN)
 
 
-@query(rf"""WITH p AS (SELECT *, regexp_replace(pattern, '\\.', '', 'g') AS plain FROM {values('id, pattern', PATTERNS)})
-SELECT id, array_to_string(list_sort(list_distinct(list_filter([{_PROBLEMS}, CASE WHEN length(pattern) > 512 THEN 'too long' END, CASE WHEN len(list_filter(regexp_extract_all(pattern, '[{{,](\d+)', 1), lambda n: n::BIGINT > 32)) > 0 THEN 'bound too large' END, CASE WHEN {_DEPTH} > 4 THEN 'too deep' END], lambda x: x IS NOT NULL))), ', ') AS problems FROM p""")
+_CHECKED = rf"""WITH p AS (SELECT *, regexp_replace(pattern, '\\.', '', 'g') AS plain FROM {_P}), c AS (
+SELECT id, array_to_string(list_sort(list_distinct(list_filter([{_PROBLEMS}, CASE WHEN length(pattern) > 512 THEN 'too long' END, CASE WHEN len(list_filter(regexp_extract_all(pattern, '[{{,](\d+)', 1), lambda n: n::HUGEINT > 32)) > 0 THEN 'bound too large' END, CASE WHEN {_DEPTH} > 4 THEN 'too deep' END], lambda x: x IS NOT NULL))), ', ') AS problems FROM p)"""
+
+
+@query(f"{_CHECKED} FROM c")
 def regex_portability(spark, sf):
-    return inline(spark, "id int, pattern string", PATTERNS).select("id", F.array_join(R.portability(F.col("pattern")), ", ").alias("problems"))
+    return patterns(spark, sf).select("id", F.array_join(R.portability(F.col("pattern")), ", ").alias("problems"))
 
 
-@query(f"SELECT id FROM {values('id, pattern', PATTERNS)} WHERE id IN (1, 9)")
+@query(f"{_CHECKED} SELECT id FROM c WHERE problems = ''")
 def v10_portability(spark, sf):
-    return inline(spark, "id int, pattern string", PATTERNS).filter(F.size(R.portability(F.col("pattern"))) == 0).select("id")
+    return patterns(spark, sf).filter(F.size(R.portability(F.col("pattern"))) == 0).select("id")
 
 
 @query("WITH s AS (SELECT vec_id, (vec_id * 37 % 100) / 100::DOUBLE AS conf, (vec_id * 53 % 10) / 10::DOUBLE AS ratio FROM embeddings) SELECT vec_id, CASE WHEN ratio >= 0.5::DOUBLE AND conf < 0.9::DOUBLE THEN 'fallback' ELSE 'pass' END AS verdict FROM s")

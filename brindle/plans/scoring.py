@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as X
@@ -50,10 +50,12 @@ def softmax_T(spark, sf):
     return s.select("vec_id", F.explode(F.zip_with("p", "z", lambda p, z: F.struct(z["label"].alias("label"), F.round(p, 6).alias("p")))).alias("x")).select("vec_id", "x.*")
 
 
-@query("WITH m(model, temperature) AS (VALUES ('a', 0.5::DOUBLE), ('b', NULL), ('c', NULL)), f(model, fitted) AS (VALUES ('a', 0.65::DOUBLE), ('b', 0.7::DOUBLE)) SELECT model, coalesce(fitted, temperature, 1.0::DOUBLE) AS temperature FROM m LEFT JOIN f USING (model)")
+@query("SELECT m.vec_id AS model, coalesce(f.x, m.x, 1.0::DOUBLE) AS temperature FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 0.5 END::DOUBLE AS x FROM embeddings) m LEFT JOIN (SELECT vec_id, label + 0.25::DOUBLE AS x FROM embeddings WHERE vec_id % 4 = 0) f USING (vec_id)")
 def temperature_precedence(spark, sf):
-    weights = inline(spark, "model string, temperature double", [("a", 0.5), ("b", None), ("c", None)])
-    fitted = inline(spark, "model string, fitted double", [("a", 0.65), ("b", 0.7)])
+    """A fitted temperature beats that of the weights, and both beat 1."""
+    e = table(spark, sf, "embeddings")
+    weights = e.select(F.col("vec_id").alias("model"), F.when(F.col("vec_id") % 3 == 0, F.col("label") + 0.5).alias("temperature"))
+    fitted = e.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("model"), (F.col("label") + 0.25).alias("fitted"))
     return weights.join(fitted, "model", "left").select("model", F.coalesce("fitted", "temperature", F.lit(1.0)).alias("temperature"))
 
 
@@ -77,15 +79,30 @@ def gate_conf_margin_entropy(spark, sf):
     return scored(spark, sf).select("vec_id", ((F.col("conf") >= 0.6) & (F.col("margin") >= 0.2) & (F.col("entropy") <= 1.0)).alias("accepted"))
 
 
-_OOD = "o AS (SELECT e.vec_id, min(sqrt(list_sum(list_transform(list_zip(e.v, mean.mean), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))) AS distance FROM e, mean GROUP BY e.vec_id)"
+SHRINKAGE = 0.1
+
+
+def _inverse(a: str, rounds: int = 16) -> str:
+    """CTEs for the inverse ``inv`` of the symmetric matrix ``a`` (i, j, x), by Newton's iteration; it converges quadratically."""
+    steps = [f"x0 AS MATERIALIZED (SELECT i, j, x / (SELECT max(s) FROM (SELECT sum(abs(x)) AS s FROM {a} GROUP BY j)) ** 2 AS x FROM {a})"]
+    for k in range(rounds):
+        steps.append(f"y{k} AS MATERIALIZED (SELECT l.i, r.j, sum(l.x * r.x) AS x FROM {a} l JOIN x{k} r ON l.j = r.i GROUP BY ALL)")
+        steps.append(f"x{k + 1} AS MATERIALIZED (SELECT i, j, 2 * l.x - r.x AS x FROM x{k} l JOIN (SELECT l.i, r.j, sum(l.x * r.x) AS x FROM x{k} l JOIN y{k} r ON l.j = r.i GROUP BY ALL) r USING (i, j))")
+    return ", ".join(steps) + f", inv AS (SELECT i, list(x ORDER BY j) AS r FROM x{rounds} GROUP BY i)"
+
+
+_OOD = f"""u AS (SELECT gold, count(*) AS n FROM e WHERE gold < {IN_SCOPE} GROUP BY gold), products AS (SELECT p.i, q.i AS j, sum(v[p.i] * v[q.i]) AS x FROM e, range(1, 65) p(i), range(1, 65) q(i) WHERE gold < {IN_SCOPE} GROUP BY ALL),
+means AS (SELECT p.i, q.i AS j, sum(n * mean[p.i] * mean[q.i]) AS x FROM mean JOIN u ON label = gold, range(1, 65) p(i), range(1, 65) q(i) GROUP BY ALL),
+cov AS (SELECT i, j, (products.x - means.x) / (SELECT sum(n) - count(*) FROM u) AS x FROM products JOIN means USING (i, j)),
+shrunk AS MATERIALIZED (SELECT i, j, x * (1 - {SHRINKAGE}::DOUBLE) + CASE WHEN i = j THEN {SHRINKAGE}::DOUBLE * (SELECT avg(x) FROM cov WHERE i = j) ELSE 0 END AS x FROM cov), {_inverse('shrunk')},
+gap AS (SELECT vec_id, label, list_transform(list_zip(e.v, mean.mean), lambda t: t[1] - t[2]) AS g FROM e, mean), o AS (SELECT vec_id, sqrt(min(d)) AS distance FROM (SELECT vec_id, label, sum(g[i] * list_dot_product(g, r)) AS d FROM gap, inv GROUP BY ALL) GROUP BY vec_id)"""
 
 
 def distances(spark: SparkSession, sf: str) -> DataFrame:
-    """Distance to the nearest class mean: the whitened distance where the within-class covariance is the identity."""
+    """Distance to the nearest class mean, whitened by the shrunken within-class covariance."""
     rows = vectors(spark, sf)
-    model = S.centroids(rows.filter(F.col("gold") < IN_SCOPE), "v", "gold").agg(F.collect_list("mean").alias("means"))
-    far = F.array_min(F.transform("means", lambda m: S.norm(F.zip_with("v", m, lambda a, b: a - b))))
-    return rows.crossJoin(F.broadcast(model)).select("vec_id", "gold", far.alias("distance"))
+    means, precision = S.whitening(rows.filter(F.col("gold") < IN_SCOPE), "v", "gold", SHRINKAGE)
+    return S.mahalanobis(rows, "v", means, precision).select("vec_id", "gold", "distance")
 
 
 @query(f"WITH {MODEL}, {_OOD} SELECT vec_id, round(distance, 6) AS distance FROM o")
@@ -98,11 +115,11 @@ def ood_energy(spark, sf):
     return scored(spark, sf).select("vec_id", F.round(S.energy(F.transform("z", lambda s: s["z"])), 6).alias("energy"))
 
 
-@query(f"""WITH {SCORED}, {_OOD} SELECT vec_id, pred, CASE WHEN pred = 7 THEN 'unsupported' WHEN distance > 1.0 THEN 'ood' WHEN conf < CASE WHEN pred IN (0, 1) THEN 0.9 ELSE 0.6 END THEN 'confidence' WHEN margin < 0.3 THEN 'margin' ELSE 'accepted' END AS reason FROM s JOIN o USING (vec_id)""")
+@query(f"""WITH {SCORED}, {_OOD} SELECT vec_id, pred, CASE WHEN pred = 7 THEN 'unsupported' WHEN distance > 8.3 THEN 'ood' WHEN conf < CASE WHEN pred IN (0, 1) THEN 0.9 ELSE 0.6 END THEN 'confidence' WHEN margin < 0.3 THEN 'margin' ELSE 'accepted' END AS reason FROM s JOIN o USING (vec_id)""")
 def safety_gate(spark, sf):
     rows = scored(spark, sf).join(distances(spark, sf).select("vec_id", "distance"), "vec_id")
     floor = F.when(F.col("pred").isin(0, 1), 0.9).otherwise(0.6)
-    reason = F.when(F.col("pred") == 7, "unsupported").when(F.col("distance") > 1.0, "ood").when(F.col("conf") < floor, "confidence").when(F.col("margin") < 0.3, "margin").otherwise("accepted")
+    reason = F.when(F.col("pred") == 7, "unsupported").when(F.col("distance") > 8.3, "ood").when(F.col("conf") < floor, "confidence").when(F.col("margin") < 0.3, "margin").otherwise("accepted")
     return rows.select("vec_id", "pred", reason.alias("reason"))
 
 
@@ -140,17 +157,10 @@ def prototypes_mean(spark, sf):
 
 @query()
 def prototypes_kmeans(spark, sf):
-    """k-means centroids for each in-scope label; labels are few and fixed, so a fit for each is bounded."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = vectors(spark, sf).filter(F.col("gold") < IN_SCOPE).select("gold", array_to_vector("v").alias("features"))
-    out = None
-    for label in range(IN_SCOPE):
-        model = KMeans(k=4, seed=42, maxIter=20).fit(rows.filter(F.col("gold") == label))
-        part = spark.createDataFrame([(label, i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "label int, k int, centre array<double>")
-        out = part if out is None else out.union(part)
-    return out.withColumn("size", F.size("centre")) if vector_to_array else out
+    """Four k-means centroids for each in-scope label, all labels fitted together."""
+    rows = vectors(spark, sf).filter(F.col("gold") < IN_SCOPE)
+    centres = S.kmeans(rows, "vec_id", "v", "gold", 4)
+    return spark.createDataFrame([(label, k, c.tolist(), len(c)) for (label, k), c in sorted(centres.items())], "label long, k int, centre array<double>, size int")
 
 
 @query()
@@ -166,6 +176,17 @@ def logreg_fit(spark, sf):
     return model.transform(data).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 
+@query()
+def logreg_numpy(spark, sf):
+    """Softmax regression by gradient descent, a numpy gradient for each batch; predictions for all in-scope rows."""
+    rows = vectors(spark, sf).filter(F.col("gold") < IN_SCOPE)
+    w, b = S.softmax_regression(rows, "v", "gold", IN_SCOPE)
+    model = spark.createDataFrame([(label, w[:, label].tolist(), float(b[label])) for label in range(IN_SCOPE)], "label long, w array<double>, b double")
+    packed = model.agg(F.array_sort(F.collect_list(F.struct("label", "w", "b"))).alias("model"))
+    z = F.transform("model", lambda m: F.struct((S.dot(F.col("v"), m["w"]) + m["b"]).alias("z"), (-m["label"]).alias("l")))
+    return rows.crossJoin(F.broadcast(packed)).select("vec_id", "gold", (-F.array_max(z)["l"]).alias("pred"))
+
+
 @query(f"WITH {MODEL}, {_OOD}, q AS (SELECT distance FROM o JOIN e USING (vec_id) WHERE gold < {IN_SCOPE}) SELECT unnest([50.0, 90.0, 95.0, 97.5, 99.0, 100.0]::DOUBLE[]) AS q, round(unnest(quantile_cont(distance, [0.5::DOUBLE, 0.9::DOUBLE, 0.95::DOUBLE, 0.975::DOUBLE, 0.99::DOUBLE, 1.0::DOUBLE])), 6) AS distance FROM q")
 def quantiles_train(spark, sf):
     qs = [50.0, 90.0, 95.0, 97.5, 99.0, 100.0]
@@ -173,21 +194,15 @@ def quantiles_train(spark, sf):
     return d.select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("d").alias("d"))).alias("x")).select(F.col("x.q"), F.round("x.d", 6).alias("distance"))
 
 
-def _nearest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = vectors(spark, sf)
-    asked = rows.filter(F.col("gold") >= IN_SCOPE).select("vec_id", "v")
-    index = rows.filter(F.col("gold") < IN_SCOPE).select(F.col("vec_id").alias("nn_id"), F.col("v").alias("u"), F.col("gold").alias("label"))
-    return asked.crossJoin(index).select("vec_id", "nn_id", "label", S.dot(F.col("v"), F.col("u")).alias("score"))
-
-
-_NN = f"""e AS (SELECT vec_id, label::BIGINT AS gold, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.vec_id, b.vec_id AS nn_id, b.gold AS label, list_dot_product(a.v, b.v) AS score FROM e a, e b WHERE a.gold >= {IN_SCOPE} AND b.gold < {IN_SCOPE})"""
+_NN = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.vec_id, b.vec_id AS nn_id, list_dot_product(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)"
 
 
 @query(f"WITH {_NN} SELECT vec_id, nn_id, round(score, 5) AS score FROM n QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, nn_id) = 1")
 def semantic_1nn_index(spark, sf):
-    """Stated queries (the out-of-scope rows) against the whole index; the maximum is a partial aggregate."""
-    best = F.max(F.struct("score", (-F.col("nn_id")).alias("nn")))
-    return _nearest(spark, sf).groupBy("vec_id").agg(best.alias("b")).select("vec_id", (-F.col("b.nn")).alias("nn_id"), F.round("b.score", 5).alias("score"))
+    """Stated queries (every twentieth row) against all rows, in blocks."""
+    rows = vectors(spark, sf)
+    found = S.nearest(rows.filter("vec_id % 20 = 0"), rows, "vec_id", "v")
+    return found.select(F.col("asked_id").alias("vec_id"), F.col("id").alias("nn_id"), F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {SCORED} SELECT vec_id, round(max(z), 6) AS score FROM z GROUP BY vec_id")
@@ -197,7 +212,9 @@ def proto_max_cosine(spark, sf):
 
 @query(f"WITH {_NN}, b AS (SELECT nn_id, max(score) AS best FROM n GROUP BY nn_id) SELECT nn_id, round(best, 6) AS best FROM b ORDER BY best DESC, nn_id LIMIT 20")
 def vocab_by_proximity(spark, sf):
-    best = _nearest(spark, sf).groupBy("nn_id").agg(F.max("score").alias("best"))
+    """The twenty rows nearest to a stated query (every twentieth row): each row against all queries, in blocks."""
+    rows = vectors(spark, sf)
+    best = S.nearest(rows, rows.filter("vec_id % 20 = 0"), "vec_id", "v").select(F.col("asked_id").alias("nn_id"), F.col("score").alias("best"))
     return best.orderBy(F.desc("best"), "nn_id").limit(20).select("nn_id", F.round("best", 6).alias("best"))
 
 
@@ -234,12 +251,12 @@ def tokens_device(spark, sf):
 
 @query(f"WITH {TFIDF} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
 def tfidf_fit(spark, sf):
-    return S.tfidf_fit(terms(spark, sf), "doc_id", "term").withColumn("idf", F.round("idf", 6))
+    return S.tfidf_fit(S.term_counts(terms(spark, sf), "doc_id", "term")).withColumn("idf", F.round("idf", 6))
 
 
 def tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    t = terms(spark, sf)
-    return S.tfidf_vectors(t, "doc_id", "term", S.tfidf_fit(t, "doc_id", "term"))
+    counts = C.checkpointed(S.term_counts(terms(spark, sf), "doc_id", "term"))  # one pass over the texts
+    return S.tfidf_vectors(counts, S.tfidf_fit(counts))
 
 
 @query(f"WITH {TFIDF} SELECT doc, term, round(w, 6) AS w FROM v")
@@ -305,19 +322,44 @@ def unk_rate(spark, sf):
     return t.join(known, "term", "left").groupBy("source").agg(F.round(F.avg(F.col("known").isNull().cast("int")), 6).alias("rate"))
 
 
-@query(f"""WITH {_VOCAB}, ids AS (SELECT term, row_number() OVER (ORDER BY term) + 1 AS id FROM vocab), m AS (SELECT doc_id, unnest({_ONE}) AS term, unnest(range(1, len({_ONE}) + 1)) AS pos FROM documents)
-SELECT doc_id, pos, coalesce(id, 1)::BIGINT AS id FROM m LEFT JOIN ids USING (term)""")
+MAX_LEN, PAD_ID, UNK_ID = 32, 0, 1
+
+
+@query(f"""WITH {_VOCAB}, ids AS (SELECT term, row_number() OVER (ORDER BY term) + {UNK_ID} AS id FROM vocab), m AS (SELECT doc_id, unnest({_ONE}) AS term, unnest(range(1, len({_ONE}) + 1)) AS pos FROM documents),
+k AS (SELECT doc_id, list(coalesce(id, {UNK_ID})::BIGINT ORDER BY pos) AS ids FROM m LEFT JOIN ids USING (term) WHERE pos <= {MAX_LEN} GROUP BY doc_id), f AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN k USING (doc_id))
+SELECT doc_id, array_to_string(list_concat(ids, list_transform(range({MAX_LEN} - len(ids)), lambda i: {PAD_ID})), ',') AS ids, len(ids)::BIGINT AS n FROM f""")
 def encode_pad(spark, sf):
-    """Ids of the words by rank in the sorted vocabulary, 1 for unknown ones; ranks run over range partitions."""
+    """Ids of the first words by rank in the sorted vocabulary, 1 for unknown ones, padded with 0, and how many are no padding."""
     _, known = _vocabulary(spark, sf)
-    parts = known.select("term").repartitionByRange("term").sortWithinPartitions("term").withColumn("part", F.spark_partition_id())
-    parts = C.checkpointed(parts.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("term"))))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
-    starts = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    ids = parts.join(F.broadcast(starts), "part").select("term", (F.col("start") + F.col("n") + 1).alias("id"))
-    one = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    ids = C.summed(known.select("term"), ["term"], F.lit(1)).select("term", (F.col("before") + UNK_ID + 1).alias("id"))
+    one = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), 1, MAX_LEN)
     words = docs(spark, sf).select("doc_id", F.posexplode(one).alias("pos", "term"))
-    return words.join(ids, "term", "left").select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.coalesce("id", F.lit(1)).cast("long").alias("id"))
+    found = words.join(ids, "term", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("found"))
+    rows = docs(spark, sf).select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce(F.transform("found", lambda x: x["id"].cast("string")), F.array().cast("array<string>")).alias("ids"))
+    full = F.concat("ids", F.array_repeat(F.lit(str(PAD_ID)), MAX_LEN - F.size("ids")))
+    return rows.select("doc_id", F.array_join(full, ",").alias("ids"), F.size("ids").cast("long").alias("n"))
+
+
+#: Pieces in the vocabulary at most, which bounds what is sent to the workers; fixed letters that it always has.
+PIECES, LETTERS = 5000, "abcdefghijklmnoprstu"
+_WP = f"""t AS (SELECT unnest({O.token_list('text')}) AS token FROM documents), f AS (SELECT token, count(*) AS n FROM t GROUP BY token),
+g AS (SELECT '##' || unnest(list_transform(range(1, length(token) - 1), lambda i: substring(token, i, 3))) AS piece, n FROM f WHERE length(token) >= 3),
+c AS (SELECT piece, sum(n) AS n FROM (SELECT token AS piece, n FROM f WHERE length(token) <= 4 UNION ALL FROM g) GROUP BY piece ORDER BY sum(n) DESC, piece LIMIT {PIECES}),
+vocab AS MATERIALIZED (SELECT piece FROM c UNION SELECT unnest(string_split('{LETTERS}', '')) UNION SELECT '##' || unnest(string_split('{LETTERS}', '')))"""
+
+
+@query(f"""WITH RECURSIVE {_WP}, m AS (SELECT token, 1::BIGINT AS start, []::VARCHAR[] AS pieces FROM f UNION ALL SELECT token, start + coalesce(max(n), 1), list_append(pieces, coalesce(max(CASE WHEN start = 1 THEN '' ELSE '##' END || substring(token, start, n)) FILTER (n IS NOT NULL AND n = most), '[UNK]'))
+FROM (SELECT *, max(n) OVER (PARTITION BY token, start) AS most FROM (SELECT m.token, m.start, m.pieces, CASE WHEN v.piece IS NOT NULL THEN r.n END AS n FROM m JOIN range(1, 40) r(n) ON m.start + r.n <= length(m.token) + 1 LEFT JOIN vocab v ON v.piece = CASE WHEN m.start = 1 THEN '' ELSE '##' END || substring(m.token, m.start, r.n))) GROUP BY token, start, pieces)
+SELECT token, array_to_string(pieces, ' ') AS by_character, CASE WHEN list_contains(pieces, '[UNK]') THEN '[UNK]' ELSE array_to_string(pieces, ' ') END AS by_word FROM m WHERE start > length(token)""")
+def wordpiece(spark, sf):
+    """The pieces of each different word, by greedy longest match: an unknown character is [UNK], or makes its whole word so."""
+    token = docs(spark, sf).select(F.explode(X.token_list(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    token = C.checkpointed(token)
+    threes = F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.concat(F.lit("##"), F.substring("token", i, F.lit(3)))))
+    pieces = token.filter(F.length("token") <= 4).select(F.col("token").alias("piece"), "n").union(token.filter(F.length("token") >= 3).select(threes.alias("piece"), "n"))
+    top = pieces.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(PIECES)
+    vocab = {r.piece for r in top.collect()} | {*LETTERS, *(f"##{c}" for c in LETTERS)}
+    return S.wordpieces(token.select("token"), "token", vocab)
 
 
 @query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT vec_id // 4 AS g, i, avg(v[i]) AS x FROM e, range(1, 65) r(i) GROUP BY ALL), n AS (SELECT g, sqrt(sum(x * x)) AS n FROM g GROUP BY g) SELECT g::BIGINT AS g, i - 1 AS i, round(x / n, 6) AS x FROM g JOIN n USING (g)")
@@ -337,28 +379,60 @@ def _token_sets(spark: SparkSession, sf: str) -> DataFrame:
 _JACCARD = "len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens)))"
 
 
-@query(f"WITH {_SETS} SELECT a.id AS a, b.id AS b, round({_JACCARD}, 6) AS sim FROM rows a JOIN rows b ON a.source = b.source AND a.id < b.id AND len(a.tokens) > 0 AND len(b.tokens) > 0 WHERE {_JACCARD} >= 0.8")
+_CLASSES = f"{_SETS}, k AS (SELECT *, list_sort(tokens) AS key FROM rows WHERE len(tokens) > 0)"
+
+
+@query(f"""WITH {_CLASSES}, c AS (SELECT source, min(id) AS id, any_value(tokens) AS tokens FROM k GROUP BY source, key)
+SELECT 'pair' AS kind, a.id AS a, b.id AS b, round({_JACCARD}, 6) AS sim FROM c a JOIN c b ON a.source = b.source AND a.id < b.id WHERE {_JACCARD} >= 0.8
+UNION ALL SELECT 'member', min(id) OVER (PARTITION BY source, key), id, 1.0 FROM k QUALIFY id <> min(id) OVER (PARTITION BY source, key)""")
 def near_dup_within_label(spark, sf):
-    return S.prefix_pairs(_token_sets(spark, sf), 0.8, "source").withColumn("sim", F.round("sim", 6))
+    """Pairs of different token sets, each by its smallest id, and the other rows of each set as its members."""
+    classes, members = S.set_classes(_token_sets(spark, sf), "source")
+    pairs = S.prefix_pairs(C.checkpointed(classes), 0.8, "source").select(F.lit("pair").alias("kind"), "a", "b", F.round("sim", 6).alias("sim"))
+    return pairs.union(members.filter("id <> rep").select(F.lit("member"), "rep", "id", F.lit(1.0)))
 
 
-@query(f"WITH {_SETS}, p AS (SELECT a.id AS doc_id, b.id AS nn_id, round({_JACCARD}, 6) AS sim FROM rows a JOIN rows b ON a.id <> b.id AND len(a.tokens) > 0 AND len(b.tokens) > 0 AND least(len(a.tokens), len(b.tokens)) >= 0.6 * greatest(len(a.tokens), len(b.tokens)) WHERE {_JACCARD} >= 0.6) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, nn_id) <= 4")
+@query(f"""WITH {_CLASSES}, c AS (SELECT min(id) AS id, any_value(tokens) AS tokens, count(*)::BIGINT AS copies FROM k GROUP BY key),
+p AS (SELECT a.id AS doc_id, a.copies, b.id AS nn_id, round({_JACCARD}, 6) AS sim FROM c a JOIN c b ON a.id <> b.id AND least(len(a.tokens), len(b.tokens)) >= 0.6 * greatest(len(a.tokens), len(b.tokens)) WHERE {_JACCARD} >= 0.6) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, nn_id) <= 4""")
 def nearest_jaccard(spark, sf):
-    """The four nearest rows with a similarity of 0.6 and more."""
-    pairs = S.prefix_pairs(_token_sets(spark, sf), 0.6).withColumn("sim", F.round("sim", 6))
+    """For each different token set, by its smallest id and with its number of rows, the four nearest others with a similarity of 0.6 and more."""
+    classes = C.checkpointed(S.set_classes(_token_sets(spark, sf))[0])
+    pairs = S.prefix_pairs(classes, 0.6).withColumn("sim", F.round("sim", 6))
     both = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("nn_id"), "sim").union(pairs.select("b", "a", "sim"))
-    return C.top_per_label(both, "doc_id", -F.col("sim"), 4, "nn_id")
+    return C.top_per_label(both, "doc_id", -F.col("sim"), 4, "nn_id").join(classes.select(F.col("id").alias("doc_id"), "copies"), "doc_id")
+
+
+_PRUNED = f"{TFIDF}, u AS (SELECT v.*, d.lang FROM v JOIN documents d ON d.doc_id = v.doc)"
+
 
+def _best(asked: str, index: str) -> str:
+    return f"{_PRUNED}, c AS (SELECT DISTINCT doc, 0.0 AS s FROM u WHERE {asked} UNION ALL SELECT a.doc, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.term = b.term WHERE a.{asked} AND b.{index} GROUP BY a.doc, b.doc), best AS (SELECT doc, max(s) AS best FROM c GROUP BY doc)"
 
-_PRUNED = f"{TFIDF}, u AS (SELECT v.*, d.lang FROM v JOIN documents d ON d.doc_id = v.doc), c AS (SELECT a.doc, max(s) AS best FROM (SELECT a.doc, b.doc AS other, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.term = b.term AND a.lang = 'es' AND b.lang <> 'es' GROUP BY ALL) a GROUP BY a.doc)"
 
+def _banded(spark: SparkSession, sf: str, asked: str, index: str, lower: float, upper: float) -> DataFrame:
+    """How many of the asked texts have a best cosine to the index below, between and above the bounds."""
+    v = C.checkpointed(tfidf(spark, sf).join(docs(spark, sf).select(F.col("doc_id").alias("doc"), "lang"), "doc"))
+    a, b = v.filter(asked).drop("lang"), v.filter(index).drop("lang")
+    rows = a.select("doc").distinct().join(S.best_cosine(a, b, lower), "doc", "left")
+    return rows.groupBy(F.when(F.col("best") >= upper, "high").when(F.col("best") >= lower, "mid").otherwise("low").alias("band")).agg(F.count("*").alias("n"))
 
-@query(f"WITH {_PRUNED} SELECT CASE WHEN best < 0.1 THEN 'low' WHEN best < 0.3 THEN 'mid' ELSE 'high' END AS band, count(*)::BIGINT AS n FROM c GROUP BY band")
+
+@query(f"WITH {_best('lang = ' + O.quoted('es'), 'lang <> ' + O.quoted('es'))} SELECT CASE WHEN best < 0.1 THEN 'low' WHEN best < 0.3 THEN 'mid' ELSE 'high' END AS band, count(*)::BIGINT AS n FROM best GROUP BY band")
 def nn_tfidf_cosine_bands(spark, sf):
-    """Best cosine of each out-of-scope text (Spanish) to an in-scope one, by band, over shared terms."""
-    v = tfidf(spark, sf).join(docs(spark, sf).select(F.col("doc_id").alias("doc"), "lang"), "doc")
-    a = v.filter("lang = 'es'").select("doc", "term", "w")
-    b = v.filter("lang <> 'es'").select(F.col("doc").alias("other"), "term", F.col("w").alias("x"))
-    best = a.join(b, "term").groupBy("doc", "other").agg(F.sum(F.col("w") * F.col("x")).alias("s")).groupBy("doc").agg(F.max("s").alias("best"))
-    band = F.when(F.col("best") < 0.1, "low").when(F.col("best") < 0.3, "mid").otherwise("high")
-    return best.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    """Best cosine of each out-of-scope text (Spanish) to an in-scope one, by band: below 0.1, to 0.3, above."""
+    return _banded(spark, sf, "lang = 'es'", "lang <> 'es'", 0.1, 0.3)
+
+
+@query(f"WITH {_best('lang = ' + O.quoted('fr'), 'lang = ' + O.quoted('en'))} SELECT CASE WHEN best < 0.5 THEN 'low' WHEN best < 0.7 THEN 'mid' ELSE 'high' END AS band, count(*)::BIGINT AS n FROM best GROUP BY band")
+def candidate_pool_bands(spark, sf):
+    """The same for a pool of candidates (French) before they are admitted, against the texts in scope (English): below 0.5, to 0.7, above."""
+    return _banded(spark, sf, "lang = 'fr'", "lang = 'en'", 0.5, 0.7)
+
+
+@query()
+def nearest_token_sort(spark, sf):
+    """For every twentieth utterance the most similar other text of all, by token-sort ratio from 85 on."""
+    from brindle.plans.rules import turns
+
+    rows = turns(spark, sf).filter("text <> ''")
+    return S.nearest_token_sort(rows.filter("utt_id % 20 = 0"), rows, "utt_id", "text", 85.0)
