@@ -6,7 +6,6 @@ for another.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -67,13 +66,31 @@ def leak_key(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def leak_key_unicode(texts: pd.Series) -> pd.Series:
-    """The leak key with NFKC and full case folding, in Arrow batches, for texts beyond Latin letters."""
-    s = texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
-    s = s.str.replace("['’ʼ]", "", regex=True).str.replace(r"[^\w\s]", " ", regex=True)
+def _leak_forms(texts: pd.Series) -> pd.Series:
+    s = texts.str.normalize("NFKC").str.casefold().str.replace("['’ʼ]", "", regex=True).str.replace(r"[^\w\s]", " ", regex=True)
     return s.str.replace(r"\s+", " ", regex=True).str.strip()
 
 
+@F.pandas_udf(T.StringType())
+def _token_forms(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKD").str.replace("’", "'", regex=False).str.lower().str.findall("[a-z0-9]+(?:'[a-z0-9]+)?").str.join(" ")
+
+
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def leak_key_unicode(c: Column) -> Column:
+    """The leak key with NFKC and full case folding; only texts that aren't ASCII go through Python, in Arrow batches."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), "'", ""), r"[^a-z0-9_ \t\n\x0B\f\r\x1c-\x1f]", " "), r"[ \t\n\x0B\f\r\x1c-\x1f]+", " ")
+    return F.when(_ascii(c), F.trim(plain)).otherwise(_leak_forms(F.when(~_ascii(c), c)))
+
+
+def token_key_unicode(c: Column) -> Column:
+    """The token key after NFKD: marks part words, as their letters do; only texts that aren't ASCII go through Python."""
+    return F.when(_ascii(c), token_key(c)).otherwise(_token_forms(F.when(~_ascii(c), c)))
+
+
 def norm_key(c: Column) -> Column:
     """Contractions as substrings, in table order; punctuation other than ' becomes space."""
     t = F.lower(squeeze(c))

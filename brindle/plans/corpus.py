@@ -36,7 +36,12 @@ for _name, _make, _sql in (
 
 @query()
 def norm_leak_unicode(spark, sf):
-    return docs(spark, sf).select("doc_id", X.leak_key_unicode("text").alias("key"))
+    return docs(spark, sf).select("doc_id", X.leak_key_unicode(F.col("text")).alias("key"))
+
+
+@query()
+def norm_tok_key_unicode(spark, sf):
+    return docs(spark, sf).select("doc_id", X.token_key_unicode(F.col("text")).alias("key"))
 
 
 @query("SELECT text, source AS intent, doc_id FROM documents")

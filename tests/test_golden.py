@@ -30,7 +30,7 @@ def test_keys(spark):
 
 def test_unicode_key(spark):
     df = spark.createDataFrame([("Straße  schließen",), ("où est mon téléphone",)], "text string")
-    assert [r[0] for r in df.select(X.leak_key_unicode("text")).collect()] == ["strasse schliessen", "où est mon téléphone"]
+    assert [r[0] for r in df.select(X.leak_key_unicode(F.col("text"))).collect()] == ["strasse schliessen", "où est mon téléphone"]
 
 
 def test_batch_equals_stream(spark, tmp_path):
