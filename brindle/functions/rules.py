@@ -15,7 +15,8 @@ UNCERTAIN = ("not sure", "maybe", "dunno", "don't know", "dont know", "i don't k
 NO_IDIOMS = ("no worries", "no problem", "no doubt", "no biggie", "no probs", "no sweat", "not a problem")
 # Fixed value: the shape of a correction; the comma or dash is the signal, so the text must not be normalised.
 CORRECTIVE = r"(^|[^a-z])(not|no|never|dont|do not|didnt|did not|skip|forget)([^a-z,\-—][^,\-—]*)?[,\-—] *[^ ]+|(^|[^a-z])i meant([^a-z]|$)|(^|[^a-z])instead([^a-z]|$)|is not what i (wanted|asked)([^a-z]|$)"
-# Phrases in front of the topic of a request, tried in order, once each.
+# Phrases in front of the topic of a request, tried in order, once each. Spaces and line ends stand for
+# word boundaries: \b and \s mean different characters to different engines.
 CARRIERS = (
     r"^ *please +",
     r"^ *(do *n[o']?t|don't|dont) +let +me +forget( +(to|about))? *",

@@ -31,6 +31,13 @@ def leaks(train: DataFrame, held_out: DataFrame, key: str, order: str) -> DataFr
     return first_per_key(found, key, order)
 
 
+def leaking(df: DataFrame, held_out: Column, key: str, order: str) -> DataFrame:
+    """(key, order): the same in one pass, for a table whose rows say whether they are held out."""
+    mine = F.coalesce(held_out, F.lit(False))
+    found = df.filter(F.col(key) != "").groupBy(key).agg(F.min(F.when(~mine, F.col(order))).alias(order), F.bool_or(mine).alias("__held"))
+    return found.filter(F.col("__held") & F.col(order).isNotNull()).drop("__held")
+
+
 def without_leaks(train: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
     return train.join(held_out.select(key).distinct(), key, "left_anti")
 

@@ -69,6 +69,12 @@ def keyed(spark: SparkSession, sf: str, key: Column | None = None) -> DataFrame:
     return docs(spark, sf).select("doc_id", "source", "lang", (X.leak_key(F.col("text")) if key is None else key).alias("key"))
 
 
+def digested(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, source, lang, key) with a digest of the key, stored: texts are read once, and joins move 64 bytes a row."""
+    return C.checkpointed(keyed(spark, sf, F.sha2(X.leak_key(F.col("text")), 256)))
+
+
+_DIGESTED = f"k AS (SELECT doc_id, source, lang, sha256({O.leak_key('text')}) AS key FROM documents)"
 _KEYED = f"k AS (SELECT doc_id, source, lang, {O.leak_key('text')} AS key FROM documents)"
 _ROLES = f"{_KEYED}, train AS (SELECT * FROM k WHERE source NOT IN {_IN}), held AS (SELECT * FROM k WHERE source IN {_IN})"
 
@@ -81,8 +87,7 @@ def roles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_ROLES} SELECT key, min(doc_id) AS doc_id FROM train WHERE key <> '' AND key IN (SELECT key FROM held) GROUP BY key")
 def leak_find(spark, sf):
-    train, held = roles(spark, sf)
-    return C.leaks(train, held, "key", "doc_id").select("key", "doc_id")
+    return C.leaking(keyed(spark, sf), F.col("source").isin(*HELD_OUT), "key", "doc_id")
 
 
 @query(f"WITH {_ROLES} SELECT doc_id, source FROM train WHERE key NOT IN (SELECT key FROM held)")
@@ -157,7 +162,7 @@ def dedup_pair(spark, sf):
 
 @query(f"WITH {_KEYED} SELECT doc_id FROM k WHERE key NOT IN (SELECT key FROM k GROUP BY key HAVING count(DISTINCT source) > 1)")
 def dedup_conflict_drop_all(spark, sf):
-    return C.without_conflicts(keyed(spark, sf), "key", "source").select("doc_id")
+    return C.without_conflicts(digested(spark, sf), "key", "source").select("doc_id")
 
 
 @query(f"""WITH {_KEYED}, a AS (SELECT 'exact' AS kind, count(*) AS n FROM documents GROUP BY text UNION ALL SELECT 'normalised', count(*) FROM k GROUP BY key)
@@ -171,7 +176,7 @@ def dup_stats(spark, sf):
 
 @query(f"WITH {_KEYED}, c AS (SELECT key FROM k GROUP BY key HAVING count(DISTINCT source) > 1) SELECT 'conflicting_label' AS issue, doc_id, source FROM k WHERE key IN (FROM c)")
 def conflict_list(spark, sf):
-    k = keyed(spark, sf)
+    k = digested(spark, sf)
     found = k.join(C.conflicting_keys(k, "key", "source").select("key"), "key", "left_semi")
     return found.select(F.lit("conflicting_label").alias("issue"), "doc_id", "source")
 
@@ -221,22 +226,22 @@ def split_strat(spark, sf):
     return r.select("doc_id", "source", F.when(F.col("rank") * 5 <= F.col("size"), "holdout").otherwise("train").alias("split"))
 
 
-@query(f"""WITH {_KEYED}, g AS (SELECT key, min(doc_id) AS first_id FROM k GROUP BY key), l AS (SELECT g.key, k.source FROM g JOIN k ON k.doc_id = g.first_id),
+@query(f"""WITH {_DIGESTED}, g AS (SELECT key, min(doc_id) AS first_id FROM k GROUP BY key), l AS (SELECT g.key, k.source FROM g JOIN k ON k.doc_id = g.first_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat(key, '|42')), key) AS n, count(*) OVER (PARTITION BY source) AS size FROM l)
 SELECT k.doc_id, CASE WHEN size >= 20 AND n <= greatest(1, floor(size * 15 / 100)) THEN 'holdout' ELSE 'train' END AS split FROM k JOIN r USING (key)""")
 def split_group_holdout(spark, sf):
-    k = keyed(spark, sf)
+    k = digested(spark, sf)
     groups = k.groupBy("key").agg(F.min(F.struct("doc_id", "source"))["source"].alias("label"))
     groups = C.ranked(groups, "label", 42, "key")
     held = (F.col("size") >= 20) & (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("size") * 15 / 100)))
     return k.join(groups.select("key", held.alias("held")), "key").select("doc_id", F.when(F.col("held"), "holdout").otherwise("train").alias("split"))
 
 
-@query(f"""WITH {_KEYED}, g AS (SELECT key, min(source) AS label, count(*) AS size FROM k GROUP BY key),
+@query(f"""WITH {_DIGESTED}, g AS (SELECT key, min(source) AS label, count(*) AS size FROM k GROUP BY key),
 r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY label ORDER BY md5(concat(key, '|42')), key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY label) AS total FROM g)
 SELECT label, CASE WHEN before * 10 < total THEN 'test' WHEN before * 5 < total THEN 'val' ELSE 'train' END AS split, sum(size)::BIGINT AS n FROM r GROUP BY ALL""")
 def split_groups_greedy(spark, sf):
-    g = keyed(spark, sf).groupBy("key").agg(F.min("source").alias("label"), F.count("*").alias("rows"))
+    g = digested(spark, sf).groupBy("key").agg(F.min("source").alias("label"), F.count("*").alias("rows"))
     g = C.ranked(g, "label", 42, "key", weight="rows")
     split = F.when(F.col("before") * 10 < F.col("total"), "test").when(F.col("before") * 5 < F.col("total"), "val").otherwise("train")
     return g.select("label", "rows", split.alias("split")).groupBy("label", "split").agg(F.sum("rows").alias("n"))
@@ -256,8 +261,9 @@ def split_dev_test_alt(spark, sf):
     return r.select("doc_id", F.when(F.col("rank") % 2 == 0, "test").otherwise("dev").alias("split"))
 
 
-@query(f"""WITH k AS (SELECT doc_id, {O.norm_key('text')} AS norm, {O.group_key('text')} AS grp FROM documents), n AS (SELECT norm, min(grp) AS grp, count(*) AS c, min(doc_id) AS d FROM k GROUP BY norm)
-SELECT doc_id, min(doc_id) OVER (PARTITION BY k.grp) AS group_id FROM k""")
+@query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT doc_id, {O.norm_key('text')} AS norm, {O.group_key('text')} AS grp FROM documents),
+l AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY norm) AS b FROM k UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY grp) FROM k), e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS found FROM k UNION SELECT e.b, r.found FROM r JOIN e ON e.a = r.node) SELECT node AS doc_id, min(found) AS group_id FROM r GROUP BY node""")
 def connected_groups(spark, sf):
     k = docs(spark, sf).select("doc_id", X.norm_key(F.col("text")).alias("norm"), X.group_key(F.col("text")).alias("grp"))
     firsts = [k.groupBy(c).agg(F.min("doc_id").alias("b")) for c in ("norm", "grp")]
