@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def pieces(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -29,6 +32,26 @@ def pieces(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
+def let_go() -> None:
+    """Give memory that a task has freed back to the system: idle workers stay, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with ``let_go`` when a task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return tidied
+
+
 def with_struct(df: DataFrame, text: str, name: str, kind: T.StructType, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """``df`` with a struct column that ``make`` derives from whole batches of the text column."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
@@ -39,4 +62,4 @@ def with_struct(df: DataFrame, text: str, name: str, kind: T.StructType, make: C
             made = make(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -6,15 +6,17 @@ in local mode, the warehouse otherwise. Tables are written as Parquet, so a lost
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
-_WRITTEN: list[str] = []
+#: Bytes of a row group of a stored table: what a task buffers for each file that it writes.
+ROW_GROUP = 16 << 20
 #: A value that one in HOT_SHARE rows has, or more, is joined by broadcast: HOT_SHARE values at most, whatever the table.
 HOT_SHARE = 10_000
 
@@ -32,12 +34,22 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/brindle-{spark.sparkContext.applicationId}"
 
 
+#: Deletes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` and read it back: cuts the lineage, and is computed once however often it is used."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path, partitionBy=partition_by)
-    _WRITTEN.append(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path, partitionBy=partition_by)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if _OWNERS:
+        _OWNERS[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,21 +61,50 @@ def _delete(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Delete every table that this application stored; call it when no result that reads them is still needed."""
     _delete(spark, folder(spark))
-    _WRITTEN.clear()
 
 
-def mark() -> int:
-    """How many tables have been stored so far: for ``stored_alone``."""
-    return len(_WRITTEN)
+class Owner:
+    """Tables that the steps of one job store, so that a step can delete what earlier ones no longer need."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    @contextlib.contextmanager
+    def step(self, docs: DataFrame | None = None) -> Iterator[None]:
+        """Tables stored inside belong to this owner. With ``docs``, a new step's input, its earlier ones are deleted
+        beforehand, but for those that ``docs`` itself reads: whatever else still needs them must have been written."""
+        if docs is not None:
+            read = _roots(docs)
+            gone = [p for p in self.paths if not any(r.endswith(p.split(":", 1)[-1]) for r in read)]
+            for path in gone:
+                _delete(docs.sparkSession, path)
+            self.paths = [p for p in self.paths if p not in gone]
+        _OWNERS.append(self)
+        try:
+            yield
+        finally:
+            _OWNERS.remove(self)
+
+
+_OWNERS: list[Owner] = []
+
+
+def _roots(df: DataFrame) -> list[str]:
+    """The folders and files that the plan of ``df`` reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            paths = leaf.relation().location().rootPaths()
+            out += [paths.apply(j).toString() for j in range(paths.size())]
+    return out
 
 
-def stored_alone(make: Callable[[], DataFrame], name: str, since: int) -> DataFrame:
-    """``make()``, stored; all other tables that were stored since ``mark()`` was ``since`` are deleted."""
-    out = stored(make(), name)
-    for path in _WRITTEN[since:-1]:
-        _delete(out.sparkSession, path)
-    del _WRITTEN[since:-1]
-    return out
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what was made of them must be stored itself."""
+    for df in tables:
+        for path in _roots(df):
+            _delete(df.sparkSession, path)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.arrow_text import tidy
 from brindle.llm.components import components
 from brindle.llm.scratch import attached, numbered, stored
 
@@ -57,7 +58,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", numb
             found = [fingerprint(t, width) for lo in range(0, len(texts), 256) for t in texts.slice(lo, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["row", "doc_id", "fp"])
 
-    return stored(rows.mapInArrow(run, kind), "fingerprints")
+    return stored(rows.mapInArrow(tidy(run), kind), "fingerprints")
 
 
 def masks(radius: int = RADIUS, bits: list[int] | None = None) -> list[int]:
@@ -138,7 +139,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield search(*(np.concatenate([h[i] for h in held]) for i in range(3)))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _classes(df: DataFrame, doc_id: str, text: str, radius: int, width: int, number: str | None = None) -> DataFrame:

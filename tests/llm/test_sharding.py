@@ -90,3 +90,19 @@ def test_second_call_edits_the_map(spark, tmp_path):
     assert max(load.values()) - min(load.values()) <= 0.01 * max(load.values())
     grown = {r.doc_id: r for r in shard(more, shards=17, path=path).collect()}
     assert {r.shard for r in grown.values()} == set(range(17)) and {r.map_version for r in grown.values()} <= {4, 5}
+
+
+def test_query_on_table(spark):
+    import duckdb
+
+    from brindle.llm.queries import op6_sharding
+
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    got, load = op6_sharding(spark, "/root/testdata/sf0.001").collect(), [0] * SLOTS
+    want = {}
+    for d, t in rows:
+        raw = (t or "").encode()
+        want[d] = len(raw) + 1, zlib.crc32(raw), chained(chained(d, zlib.crc32(raw), len(raw) + 1), 0) % SLOTS
+        load[want[d][2]] += len(raw) + 1
+    home = SlotMap.start(16).rebalanced(load).shard_of
+    assert {r.doc_id: (r.size, r.text_crc32, r.virtual_slot) for r in got} == want and all(r.shard == home[r.virtual_slot] for r in got)

@@ -123,3 +123,24 @@ def test_stage_and_empty(spark, tmp_path):
     groups = len(set(brute_components(fps, list(range(len(fps))))))
     assert left.count() == groups
     assert near_duplicates(df.limit(0)).count() == 0 and drop_near(df.limit(0)).count() == 0
+
+
+def test_query_on_table(spark):
+    import duckdb
+
+    from brindle.llm.queries import op4_simhash
+
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY 1").fetchall()
+    fps = [brute_fp(t) for _, t in rows]
+    want = [(d, f"{f:016x}", r) for (d, _), f, r in zip(rows, fps, brute_components(fps, [d for d, _ in rows]), strict=True)]
+    assert sorted(tuple(r) for r in op4_simhash(spark, "/root/testdata/sf0.001").select("doc_id", "fingerprint", "component_id").collect()) == want
+
+
+def test_stage_with_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(f"w{i % 4}x{j}" for j in range(60)), f"n{i}", "r") for i in range(12)] + [(12, None, "n12", "r"), (13, " ", "n13", "r"), (12, None, "n12", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_number string, root string").repartition(5, F.rand())
+    got = drop_near(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [*rows[:4], rows[12]]
+    assert drop_near(df.limit(0)).count() == 0
