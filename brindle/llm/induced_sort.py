@@ -1,8 +1,10 @@
 """Suffix order of one shard by external induced sorting.
 
 Suffixes are larger (L) or smaller (S) than the one after them; an S suffix after an L one is a star. Stars are
-named by the substring up to the next star, and ordered by these names, doubled until the names span the depth
-that is asked for. All other suffixes are induced: a scan in order hands each suffix's predecessor on to the
+named by the substring up to the next star, and ordered by these names: by recursion, which sorts the text of names
+the same way, or, by default, by doubling the names until they span the depth that is asked for. Both give one order
+of that depth; the recursion goes name by name, where numpy has nothing to do at once, and takes some seven times as
+long (the README has the figures). All other suffixes are induced: a scan in order hands each suffix's predecessor on to the
 queue of its first byte. Each queue gets its entries in order, so the 258 first-in-first-out queues are a
 priority queue on (byte, rank). An entry is a tuple of a suffix and the symbols that it has in common with the
 entry before it: one more than the least common prefix that the scan passed between the two that induced them.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 
@@ -229,7 +232,56 @@ def _named(text: np.ndarray, order: np.ndarray, length: np.ndarray) -> np.ndarra
     return new
 
 
-def _star_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, depth: int, spill: Spill) -> np.ndarray:
+def _by_recursion(names: list[int], kinds: int) -> list[int]:
+    """The places of ``names`` in the order of their suffixes; the last name is the only 0, and there are ``kinds`` of them."""
+    n = len(names)
+    if kinds == n:
+        out = [0] * n
+        for i, x in enumerate(names):
+            out[x] = i
+        return out
+    small = bytearray(n)
+    small[-1] = 1
+    for i in range(n - 2, -1, -1):
+        small[i] = names[i] < names[i + 1] or (names[i] == names[i + 1] and small[i + 1])
+    stars = [i for i in range(1, n) if small[i] and not small[i - 1]]
+    count = [0] * (kinds + 1)
+    for x in names:
+        count[x + 1] += 1
+    starts = list(accumulate(count))
+
+    def induced(order: list[int]) -> list[int]:
+        out, ends = [-1] * n, starts[1:]
+        for i in reversed(order):
+            ends[names[i]] -= 1
+            out[ends[names[i]]] = i
+        heads = starts[:-1]
+        for i in out:  # grows ahead of the scan
+            if i > 0 and not small[i - 1]:
+                out[heads[names[i - 1]]] = i - 1
+                heads[names[i - 1]] += 1
+        ends = starts[1:]
+        for at in range(n - 1, -1, -1):
+            i = out[at]
+            if i > 0 and small[i - 1]:
+                ends[names[i - 1]] -= 1
+                out[ends[names[i - 1]]] = i - 1
+        return out
+
+    is_star = bytearray(n)
+    for i in stars:
+        is_star[i] = 1
+    after = dict(zip(stars, [*stars[1:], n - 1], strict=True))
+    label, last, now = {}, None, -1
+    for i in induced(stars):
+        if is_star[i]:
+            now += last is None or names[last : after[last] + 1] != names[i : after[i] + 1]
+            label[i], last = now, i
+    order = _by_recursion([label[i] for i in stars], now + 1)
+    return induced([stars[k] for k in order])
+
+
+def _star_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, depth: int, spill: Spill, recursive: bool = False) -> np.ndarray:
     """The stars, given by position, in the order of their suffixes' first ``depth`` symbols."""
     m = len(stars)
     if m < 2:
@@ -247,6 +299,10 @@ def _star_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, depth: i
     index = nth[order].astype(np.int64)
     length = np.r_[np.diff(stars), 0][index]
     new = _named(text, order, length)
+    if recursive:
+        names = np.empty(m, np.int64)
+        names[index] = np.cumsum(new) - 1
+        return stars[_by_recursion(names.tolist(), int(names.max()) + 1)]
     head = np.maximum.accumulate(np.where(new, np.arange(m), 0))
     rank = np.empty(m + 1, np.int64)
     rank[index], rank[m] = head, -1  # names are the place of the first of equals
@@ -266,7 +322,7 @@ def _star_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, depth: i
     return stars[np.argsort(rank[:m], kind="stable")]
 
 
-def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator[Block]:
+def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY, recursive: bool = False) -> Iterator[Block]:
     """Blocks of (positions, symbols in common with the suffix before, up to ``depth``) of all suffixes but the last.
 
     They are ordered by their first ``depth`` symbols. ``text`` has symbols below SYMBOLS and ends with the only 0.
@@ -275,7 +331,7 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     spill = Spill(memory)
     try:
-        stars = _star_order(text, small, stars, depth, spill)
+        stars = _star_order(text, small, stars, depth, spill, recursive)
     finally:
         spill.close()
     spill = Spill(memory)
@@ -295,7 +351,7 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator
         spill.close()
 
 
-def repeated(segments: list[bytes], copies: np.ndarray, width: int, memory: int = MEMORY) -> list[np.ndarray]:
+def repeated(segments: list[bytes], copies: np.ndarray, width: int, memory: int = MEMORY, recursive: bool = False) -> list[np.ndarray]:
     """For each segment the starts of its ``width``-byte strings that start elsewhere too, ascending.
 
     A segment given once may stand for more ``copies``; all its strings are repeated then.
@@ -314,7 +370,7 @@ def repeated(segments: list[bytes], copies: np.ndarray, width: int, memory: int
     whole[:] = np.cumsum(delta[:-1]) > 0
     again = np.zeros(len(text), bool)
     last = np.zeros(1, TUPLE)
-    for at, shared in suffix_order(text, width, memory):
+    for at, shared in suffix_order(text, width, memory, recursive):
         hit = shared >= width  # if one of the two is whole, both are
         again[at[hit]] = True
         again[np.r_[last, at[:-1]][hit]] = True

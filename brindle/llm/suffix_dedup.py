@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.arrow_text import pieces
+from brindle.llm.arrow_text import pieces, tidy
 from brindle.llm.induced_sort import repeated
-from brindle.llm.scratch import free_name, numbered, stored
+from brindle.llm.scratch import discard, free_name, numbered, stored
 
 WIDTH, K = 200, 24
 #: Strings in a segment at most, bytes of text in a shard (a single larger group of segments is a shard of its
@@ -78,12 +78,13 @@ def anchors(buf: np.ndarray, width: int = WIDTH, k: int = K) -> tuple[np.ndarray
 
 
 def runs(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(text, first string, strings, hash, weight) of all runs; weight 2 if equal strings may be in one run.
+    """(text, first string, strings, hash, weight, place) of all runs; weight 2 if equal strings may be in one run.
 
-    ``off`` are the offsets of the texts in ``buf``; first string counts from the start of the text.
+    ``off`` are the offsets of the texts in ``buf``; first string counts from the start of the text. ``place`` is where
+    the hash lies, from the first string on; -1 if it lies at several places.
     """
     if len(buf) < width:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     least, place = anchors(buf, width, k)
     strings = len(place)
     text = np.searchsorted(off, np.arange(strings), side="right") - 1
@@ -92,7 +93,8 @@ def runs(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, k: int = K) -> tu
     end = np.r_[new[1:], strings]
     keep = whole[new]
     new, end = new[keep], end[keep]
-    return text[new], new - off[text[new]], end - new, least[new].view(np.int64), 1 + (place[new] != place[end - 1]).astype(np.int64)
+    several = place[new] != place[end - 1]
+    return text[new], new - off[text[new]], end - new, least[new].view(np.int64), 1 + several.astype(np.int64), np.where(several, -1, place[new] - new)
 
 
 def split(segment: bytes, anchor: int, lo: int, hi: int, width: int = WIDTH, k: int = K) -> Iterator[tuple[int, bytes, int, int, int, int]]:
@@ -119,7 +121,7 @@ def split(segment: bytes, anchor: int, lo: int, hi: int, width: int = WIDTH, k:
 
 
 def _anchors(docs: DataFrame, width: int) -> DataFrame:
-    """(row, h, first, strings, weight) of all runs of ``docs`` (row, text)."""
+    """(row, h, first, strings, weight, place) of all runs of ``docs`` (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,17 +129,17 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
             for lo, _, buf, off in pieces(batch.column(1), PIECE):
                 for at in range(0, max(1, len(buf)), PIECE) if len(off) == 2 else (0,):
                     part = buf[at : at + PIECE + width - 1] if len(off) == 2 else buf
-                    text, first, strings, h, weight = runs(part, off if len(off) > 2 else np.array([0, len(part)]), width)
-                    arrays = [rows[lo + text], h, (first + at).astype(np.int32), strings.astype(np.int32), weight.astype(np.int8)]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["row", "h", "first", "strings", "weight"])
+                    text, first, strings, h, weight, place = runs(part, off if len(off) > 2 else np.array([0, len(part)]), width)
+                    arrays = [rows[lo + text], h, (first + at).astype(np.int32), strings.astype(np.int32), weight.astype(np.int8), place.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["row", "h", "first", "strings", "weight", "place"])
 
-    return docs.mapInArrow(run, "row long, h long, first int, strings int, weight byte")
+    return docs.mapInArrow(tidy(run), "row long, h long, first int, strings int, weight byte, place int")
 
 
 def _segments(found: DataFrame, width: int) -> DataFrame:
-    """Of (row, text, runs): rows of kind 0 (h, id, segment, copies), once for each batch, and of kind 1 (id, row, first)."""
-    kind = "kind int, h long, id binary, segment binary, copies long, row long, first int"
-    schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("id", pa.binary()), ("segment", pa.binary()), ("copies", pa.int64()), ("row", pa.int64()), ("first", pa.int32())])
+    """Of (row, text, runs): rows of kind 0 (h, id, segment, copies, place), once for each batch, and of kind 1 (id, row, first)."""
+    kind = "kind int, h long, id binary, segment binary, copies long, place int, row long, first int"
+    schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("id", pa.binary()), ("segment", pa.binary()), ("copies", pa.int64()), ("place", pa.int32()), ("row", pa.int64()), ("first", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,12 +149,12 @@ def _segments(found: DataFrame, width: int) -> DataFrame:
                 ids, rows, firsts = [], [], []
                 for row, text, each in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
                     for x in each:
-                        h, end = x["h"], x["first"] + x["strings"]
+                        h, end, place = x["h"], x["first"] + x["strings"], x["place"]
                         for first in range(x["first"], end, SEGMENT):
                             segment = text[first : min(end, first + SEGMENT) + width - 1]
                             key = hashlib.md5(segment).digest()
                             if (known := texts.get(key)) is None:
-                                texts[key] = [h, segment, 1]
+                                texts[key] = [h, segment, 1, place - (first - x["first"]) if place >= 0 else -1]
                             else:
                                 known[2] += 1
                             ids.append(key)
@@ -160,10 +162,10 @@ def _segments(found: DataFrame, width: int) -> DataFrame:
                             firsts.append(first)
                 n, m = len(texts), len(ids)
                 held = list(texts.values())
-                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([x[0] for x in held], pa.int64()), pa.array(list(texts), pa.binary()), pa.array([x[1] for x in held], pa.binary()), pa.array([x[2] for x in held], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(rows, pa.int64()), pa.array(firsts, pa.int32())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([x[0] for x in held], pa.int64()), pa.array(list(texts), pa.binary()), pa.array([x[1] for x in held], pa.binary()), pa.array([x[2] for x in held], pa.int64()), pa.array([x[3] for x in held], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(rows, pa.int64()), pa.array(firsts, pa.int32())], schema=schema)
 
-    return found.mapInArrow(run, kind)
+    return found.mapInArrow(tidy(run), kind)
 
 
 def _pieces(hot: DataFrame, width: int) -> DataFrame:
@@ -192,8 +194,8 @@ def _pieces(hot: DataFrame, width: int) -> DataFrame:
 
 
 def _spread(segments: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(segments and pieces (h, id, segment, copies) with at most about HOT bytes to an ``h``, links (parent, id, at) of each level)."""
-    level = segments.select("h", "id", "segment", "copies", F.lit(-1).alias("anchor"), F.lit(0).alias("lo"), F.lit(width).alias("hi"))
+    """(segments and pieces (h, id, segment, copies, place) with at most about HOT bytes to an ``h``, links (parent, id, at) of each level)."""
+    level = segments.select("h", "id", "segment", "copies", "place", F.lit(-1).alias("anchor"), F.lit(0).alias("lo"), F.lit(width).alias("hi"))
     ready, links = [], []
     for depth in range(width.bit_length() + 2):
         large = level.groupBy("h").agg(F.sum(F.length("segment")).alias("n"), F.max(F.col("hi") - F.col("lo")).alias("span"))
@@ -205,16 +207,38 @@ def _spread(segments: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame]
         if depth:
             made = stored(_pieces(hot, width), "pieces", partition_by=["kind"])
             links.append(made.filter("kind = 1").select("parent", "id", "at"))
-            hot = made.filter("kind = 0")
+            hot = made.filter("kind = 0").withColumn("place", F.col("anchor"))
         # the first time, copies from different batches are put together only: often that is enough
-        rest = [F.first(c).alias(c) for c in ("h", "segment", "anchor", "lo", "hi")]
+        rest = [F.first(c).alias(c) for c in ("h", "segment", "place", "anchor", "lo", "hi")]
         level = stored(hot.groupBy("id").agg(F.sum("copies").alias("copies"), *rest), "hot-segments")
-    columns = ["h", "id", "segment", "copies"]
+    columns = ["h", "id", "segment", "copies", "place"]
     return reduce(DataFrame.union, [r.select(columns) for r in [*ready, level]]), links
 
 
+def _hopeful(group: dict[bytes, list], width: int, k: int = K) -> dict[bytes, list]:
+    """Of the segments (segment, copies, place) with one hash, those that may share a string with another, or with themselves.
+
+    Equal strings have the hash at the same offset. Of the other bytes of a string half or more lie to one side of it,
+    so the two segments agree in that many bytes on that side of the hash.
+    """
+    if any(place < 0 for _, _, place in group.values()):
+        return group
+    half, sides = (width - k + 1) // 2, []
+    count: dict[tuple[bool, bytes], int] = {}
+    for segment, copies, place in group.values():
+        found = []
+        if place >= half:
+            found.append((False, segment[place - half : place]))
+        if len(segment) >= place + k + half:
+            found.append((True, segment[place + k : place + k + half]))
+        for side in found:
+            count[side] = count.get(side, 0) + copies
+        sides.append(found)
+    return {key: x for (key, x), found in zip(group.items(), sides, strict=True) if any(count[side] > 1 for side in found)}
+
+
 def _judged(segments: DataFrame, width: int) -> DataFrame:
-    """(id, spans): of each segment (h, id, segment, copies) with repeated strings, the bytes that they cover."""
+    """(id, spans): of each segment (h, id, segment, copies, place) with repeated strings, the bytes that they cover."""
     kind = "id binary, spans array<struct<start: int, end: int>>"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -231,22 +255,36 @@ def _judged(segments: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
+        group: dict[bytes, list] = {}
         size, last = 0, None
+
+        def close() -> None:
+            nonlocal size
+            for key, x in _hopeful(group, width).items():
+                if key in held:
+                    held[key][1] += x[1]
+                else:
+                    held[key] = x
+                    size += len(x[0])
+            group.clear()
+
         for batch in batches:
-            for h, key, segment, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if h != last and size >= SHARD:
-                    yield shard(held)
-                    held, size = {}, 0
+            for h, key, segment, copies, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if h != last:
+                    close()
+                    if size >= SHARD:
+                        yield shard(held)
+                        held, size = {}, 0
                 last = h
-                if key in held:
-                    held[key][1] += copies
+                if key in group:
+                    group[key][1] += copies
                 else:
-                    held[key] = [segment, copies]
-                    size += len(segment)
+                    group[key] = [segment, copies, place]
+        close()
         yield shard(held)
 
-    rows = segments.select("h", "id", "segment", "copies").repartition("h").sortWithinPartitions("h")
-    return rows.mapInArrow(run, kind)
+    rows = segments.select("h", "id", "segment", "copies", "place").repartition("h").sortWithinPartitions("h")
+    return rows.mapInArrow(tidy(run), kind)
 
 
 def _spans(df: DataFrame, text: str, width: int) -> tuple[DataFrame, str, DataFrame]:
@@ -255,8 +293,11 @@ def _spans(df: DataFrame, text: str, width: int) -> tuple[DataFrame, str, DataFr
     own = docs.select(F.col(at).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     anchors = stored(_anchors(own, width), "anchors")
     again = stored(anchors.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h"), "repeated-hashes")
-    found = anchors.join(again, "h").groupBy("row").agg(F.collect_list(F.struct("h", "first", "strings")).alias("runs"))
-    segments = stored(_segments(own.join(stored(found, "runs"), "row").select("row", "text", "runs"), width), "segments", partition_by=["kind"])
+    found = anchors.join(again, "h").groupBy("row").agg(F.collect_list(F.struct("h", "first", "strings", "place")).alias("runs"))
+    found = stored(found, "runs")
+    discard(anchors, again)
+    segments = stored(_segments(own.join(found, "row").select("row", "text", "runs"), width), "segments", partition_by=["kind"])
+    discard(found)
     ready, links = _spread(segments.filter("kind = 0"), width)
     judged = stored(_judged(ready, width), "judged")
     for link in reversed(links):  # what a piece says of its bytes holds for its parent's
@@ -310,4 +351,4 @@ def strip_repeats(df: DataFrame, text: str = "text", name: str = "stripped", wid
                 columns = [c for i, c in enumerate(part.columns) if i != spot and (with_text or i != at)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(made, kind)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

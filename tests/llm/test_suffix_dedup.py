@@ -103,7 +103,8 @@ def test_equal_strings_share_a_hash(width):
     base = bytes(rng.choice(b"abc") for _ in range(700)) + b"z" * 300 + b"yx" * 200
     parts = [base[rng.randrange(500) : rng.randrange(600, len(base))] for _ in range(8)] + [b"", b"q"]
     buf, off = np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum([len(p) for p in parts])]
-    text, first, strings, h, weight = runs(buf, off, width)
+    text, first, strings, h, weight, place = runs(buf, off, width)
+    assert ((place < 0) == (weight == 2)).all() and (place[place >= 0] <= width - 24).all() and (place[place >= 0] >= strings[place >= 0] - 1).all()
     where, total = {}, {}
     for t, f, n, x, w in zip(text.tolist(), first.tolist(), strings.tolist(), h.tolist(), weight.tolist(), strict=True):
         total[x] = total.get(x, 0) + w
@@ -142,3 +143,17 @@ def test_query_on_table(spark):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = dict(zip([r.doc_id for r in rows], brute([r.text for r in rows]), strict=True))
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op7_suffix_dedup(spark, sf).collect()} == want
+
+
+def test_columns_of_any_name_and_shuffled_rows(spark):
+    from pyspark.sql import functions as F
+
+    passage = "".join(chr(97 + i * i % 23) for i in range(260))
+    rows = [(i, f"start {i} " + passage * (i % 3 == 0) + f" end {i}", f"n{i}", "s", "t") for i in range(30)] + [(30, None, "n30", "s", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_number string, spans_of_row string, stripped string").repartition(6, F.rand())
+    out = strip_repeats(df)
+    assert out.columns == [*df.columns, "_stripped"]
+    for r in out.collect():
+        assert (r.row_number, r.spans_of_row, r.stripped) == (f"n{r.doc_id}", "s", "t")
+        assert r["_stripped"]["n_removed"] >= 260 if r.doc_id % 3 == 0 and r.doc_id < 30 else r["_stripped"]["n_removed"] == 0
+    assert strip_repeats(df.limit(0)).count() == 0
