@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.scratch import attached, numbered, stored
+from brindle.llm.scratch import attached, discard, numbered, stored
 
 BLOCK = 2048
 #: Stands for the missing right half of a pair; no name is so small.
@@ -66,7 +66,9 @@ def identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
     first = F.col("i") == 0
     part = F.substring("norm", F.col("i") * block + 1, F.lit(block))
     rows = rows.select("row", "i", "n", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("sha")).alias("sha"), part.alias("block"))
-    level = stored(_named_blocks(stored(rows.withColumn("h", hashed("block")), "blocks")), "level-0")
+    blocks = stored(rows.withColumn("h", hashed("block")), "blocks")
+    level = stored(_named_blocks(blocks), "level-0")
+    discard(blocks)
     most = level.agg(F.max("n")).first()[0] or 1
     done, depth = [], 0
     while True:
