@@ -46,11 +46,20 @@ class Rules:
         return T.StructType([*(T.StructField(c, T.LongType()) for c in longs), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 
 
-def _mod(x: np.ndarray) -> np.ndarray:
-    """x modulo 2^31 - 1, for x below 2^63."""
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number below 2^31 + 4 for each x below 2^63, the same modulo 2^31 - 1; ``x`` is written over."""
     for _ in range(2):
-        x = (x & _P) + (x >> np.uint64(31))
-    return np.where(x >= _P, x - _P, x)
+        high = x >> np.uint64(31)
+        x &= _P
+        x += high
+    return x
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, for x below 2^63; ``x`` is written over."""
+    x = _folded(x)
+    x -= _P * (x >= _P)
+    return x
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -66,19 +75,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 class _Roll:
     """Hashes of any span of a sequence of symbols below 2^31 - 1."""
 
-    _cache: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    _cache: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64),) * 2] * len(_BASES)
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
-        size = 1 << max(10, n.bit_length())
-        if size not in self._cache:
-            self._cache.clear()
-            self._cache[size] = [(_powers(b, size), _powers(pow(b, -1, int(_P)), size)) for b in _BASES]
-        self.powers = self._cache[size]
-        self.sums = [np.r_[np.uint64(0), np.cumsum(_mod(symbols * power[:n]), dtype=np.uint64)] for power, _ in self.powers]
+        if len(self._cache[0][0]) <= n:
+            size = 1 << max(16, n.bit_length())
+            _Roll._cache = [(_powers(b, size), _powers(pow(b, -1, int(_P)), size)) for b in _BASES]
+        self.powers = self._cache
+        small = int(symbols.max(initial=0)) * n < 1 << 32  # then the sums stay below 2^63 without a remainder
+        terms = ((lambda x: x) if small else _folded)
+        self.sums = [np.r_[np.uint64(0), np.cumsum(terms(symbols * power[:n]), dtype=np.uint64)] for power, _ in self.powers]
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        low, high = (_mod(_mod(sums[end] - sums[start]) * inverse[start]) for sums, (_, inverse) in zip(self.sums, self.powers, strict=True))
+        low, high = (_mod(_folded(sums[end] - sums[start]) * inverse[start]) for sums, (_, inverse) in zip(self.sums, self.powers, strict=True))
         return low | high << np.uint64(31)
 
 
