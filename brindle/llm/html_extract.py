@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.arrow_text import tidy
 from brindle.llm.scratch import free_name
 
 _TOKEN = re.compile(
@@ -50,6 +51,8 @@ _MARKS = frozenset(
     "breadcrumb breadcrumbs pagination pager footer masthead topbar comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup popup modal overlay widget widgets toolbar login search skip banner".split()
 )
+#: Marks that an id in an article stands for too; other ids there are mostly anchors of its sections.
+_STRONG = frozenset("ad ads advert adverts advertisement advertising comments commentlist disqus replies respond cookie cookies sidebar".split())
 _FILLERS = frozenset("list box wrapper wrap container block section area item inner outer top bottom left right main site page slot unit bar link links post posts form header text content google global primary secondary mobile".split())
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _ROLES = frozenset("navigation contentinfo complementary dialog alertdialog alert search menu menubar toolbar banner".split())
@@ -67,11 +70,11 @@ class _Node:
 
 
 @lru_cache(maxsize=1 << 14)
-def _marked(value: str) -> bool:
+def _marked(value: str, marks: frozenset[str] = _MARKS) -> bool:
     """Whether a token of a class or id attribute marks boilerplate."""
     for token in value.split():
         words = [w for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if not w.isdigit()]
-        if any(w in _MARKS for w in words) and all(w in _MARKS or w in _FILLERS for w in words):
+        if any(w in marks for w in words) and all(w in _MARKS or w in _FILLERS for w in words):
             return True
     return False
 
@@ -94,8 +97,9 @@ def _off(tag: str, attributes: str, inside_article: bool) -> str:
         return ""
     if found.get("role", "").strip().lower() in _ROLES:
         return "declared"
-    # ids inside an article are mostly anchors of its sections
-    named = _marked(found.get("class", "")) or (not inside_article and _marked(found.get("id", "")))
+    if found.get("role", "").strip().lower() in ("main", "article"):
+        return ""
+    named = _marked(found.get("class", "")) or _marked(found.get("id", ""), _STRONG if inside_article else _MARKS)
     return "named" if named else ""
 
 
@@ -304,4 +308,4 @@ def extracted(df: DataFrame, text: str = "html", name: str = "extracted") -> Dat
                 made = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["text", "n_chars"])
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -79,6 +79,13 @@ def test_sections_named_like_boilerplate_stay_in_an_article():
     assert main_text(page(f"<article>{inner}</article>")) == "\n".join([*ARTICLE[:2], "Search", "On logging in.", *ARTICLE[2:]])
 
 
+@pytest.mark.parametrize("opening", ["<section id=comments>", "<div id='disqus'>", "<div class='post-comments'>", "<div id=ad-slot-1>"])
+def test_comments_by_their_id_go_from_an_article(opening):
+    inner = BODY + f"{opening}<p>A reader comment of some length, as long as a paragraph.</p></{opening[1:].split()[0]}>"
+    assert main_text(page(f"<article>{inner}</article>")) == "\n".join(ARTICLE)
+    assert main_text(page(f"<div role=main id=search>{BODY}</div>")) == "\n".join(ARTICLE)
+
+
 def test_form_around_the_page_and_nav_never_closed():
     form = f"<form id=aspnet><nav><a href=/>Home</a></nav><div>{BODY}</div><label>Name</label><select><option>x</select><button>Send it</button></form>"
     assert main_text(page(form)) == "\n".join(ARTICLE)
