@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from brindle.llm.quality import Rules
+
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op5_exact_dedup"] = r"""
@@ -60,3 +62,31 @@ WITH p AS (
 )
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_dropped, coalesce(array_to_string(stay, chr(10)), '') AS text FROM kept
 """
+
+
+def _quality(rules: Rules) -> str:
+    n, grams = rules.repeat_words_n, rules.max_dup_ngram_share
+    chars = ", ".join(f"coalesce(max(chars) FILTER (n = {k} AND later), 0)::BIGINT AS dup_{k}gram_chars" for k in grams)
+    too_many = " OR ".join(f"dup_{k}gram_chars > {most}::DOUBLE * word_chars" for k, most in grams.items())
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents
+), words AS MATERIALIZED (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d
+), word AS (SELECT r, unnest(words) AS w, unnest(range(len(words))) AS i FROM words
+), line AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d
+), bare AS (SELECT r, line, i, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars FROM line
+), again AS (SELECT r, count(*) AS n_dup_lines, sum(chars) AS dup_line_chars FROM (FROM bare WHERE chars > 0 QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY i) > 1) GROUP BY r
+), gram AS (SELECT r, n, i, array_to_string(words[i + 1:i + n], ' ') AS gram FROM (SELECT r, words, n, unnest(range(len(words) - n + 1)) AS i FROM words, (SELECT unnest([{n}, {", ".join(map(str, grams))}]) AS n))
+), found AS (SELECT r, n, i, later FROM (SELECT r, n, i, unnest([FALSE, TRUE]) AS later, count(*) OVER (PARTITION BY r, n, gram) AS times, row_number() OVER (PARTITION BY r, n, gram ORDER BY i) AS nth FROM gram) WHERE CASE WHEN later THEN nth > 1 ELSE times > 1 END
+), cover AS (SELECT DISTINCT r, n, later, unnest(range(i, i + n)) AS i FROM found
+), covered AS (SELECT r, n, later, count(*) AS words, sum(length(w)) AS chars FROM cover JOIN word USING (r, i) GROUP BY r, n, later
+), per AS (SELECT r, coalesce(max(words) FILTER (n = {n} AND NOT later), 0)::BIGINT AS n_repeat_words, {chars} FROM covered GROUP BY r
+), base AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars FROM word GROUP BY r
+), f AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, {", ".join(f"coalesce(dup_{k}gram_chars, 0)::BIGINT AS dup_{k}gram_chars" for k in grams)}
+  FROM d LEFT JOIN base USING (r) LEFT JOIN again USING (r) LEFT JOIN per USING (r)
+), j AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_words_pct} * n_words AS base_failed FROM f)
+SELECT *, NOT (base_failed OR dup_line_chars > {rules.max_dup_line_share}::DOUBLE * word_chars OR {too_many}) AS kept FROM j
+"""
+
+
+ORACLE_SQL["op1_quality_rules"] = _quality(Rules())
