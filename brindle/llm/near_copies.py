@@ -1,10 +1,9 @@
-"""Near copies by SimHash, completed and checked exactly by the Jaccard similarity of word shingles.
+"""Near copies by SimHash and, beyond its radius, by MinHash bands; checked exactly by the similarity of word shingles.
 
 Fingerprints of five-word shingles that differ in a few bits are found by covering locality-sensitive hashing, as in
-``simhash``; a pair found is checked on its sets of shingles. A similarity of 4/5 is some 10 of a fingerprint's 64
-bits and up to 20, and a covering code for so many has millions of tables; so what the fingerprints leave is found by
-the shingles. All sets are put into one order, common shingles last. Two sets of similarity 4/5 share a shingle among
-the first fifth (and one) of each, so every such pair meets in the bucket of some shingle, with no chance involved.
+``simhash``. A similarity of 4/5 is some 10 of a fingerprint's 64 bits and up to 20, and a covering code for so many
+has millions of tables; so sets that share one of BANDS bands of ROWS smallest hashes meet as well. Two sets of
+similarity s share none with a probability of (1 - s^ROWS)^BANDS: 3 in a million at 4/5, less above.
 
 In a bucket pairs are ruled out by a bound: sets that differ in d shingles differ by d at most in how many fall into
 each of 256 classes. What is left is checked on the sets. First each bucket's sets are held against a few of its own,
@@ -22,15 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.arrow_text import tidy
 from brindle.llm.components import components
-from brindle.llm.scratch import attached, numbered, stored
+from brindle.llm.scratch import attached, discard, numbered, stored
 from brindle.llm.simhash import RADIUS, links
 
 #: Words of a shingle, and the least similarity as NUM / DEN.
 WIDTH, NUM, DEN, SEED = 5, 4, 5, 42
-#: Documents from which common shingles are taken, the count there from which one is common, and how many are kept.
-#: They only set the order, and with it the size of buckets.
-SAMPLE, COMMON, MOST = 20_000, 8, 200_000
+BANDS, ROWS = 32, 5
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = np.random.default_rng(12).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 CLASSES = 256
 _BLOCK = 1 << 16
 
@@ -48,19 +49,17 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first of the set's shingles: one of them is shared with every set that is similar enough.
-
-    ``common`` are the common shingles, sorted, and ``rank`` their places in the order; the others precede them by digest.
-    """
-    n = len(found) - -(-NUM * len(found) // DEN) + 1
-    at = np.minimum(np.searchsorted(common, found), max(0, len(common) - 1))
-    known = common[at] == found if len(common) else np.zeros(len(found), bool)
-    rare = found[~known]
-    if len(rare) >= n:
-        return rare[:n]
-    held = found[known]
-    return np.r_[rare, held[np.argsort(rank[at[known]], kind="stable")][: n - len(rare)]]
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key for each band: equal for two sets if the band's smallest hashes are."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for lo in range(0, len(found), 4096):
+        h = (found[lo : lo + 4096, None] ^ _SALTS) * _FACTORS
+        np.minimum(least, h.min(0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64) * _STEP
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * _STEP
+        keys ^= keys >> np.uint64(29)
+    return keys
 
 
 def fingerprint(found: np.ndarray) -> int:
@@ -75,28 +74,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _batched(run: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    return lambda batches: (run(b.slice(lo, 256)) for b in batches for lo in range(0, b.num_rows, 256))
-
-
-def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    many = rows.count()
-    part = rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, many // SAMPLE))) == 0).select("text")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, width) for t in batch.column(0).to_pylist()]).view(np.int64))], names=["k"])
-
-    counts = part.mapInArrow(_batched(run), "k long").groupBy("k").count().filter(F.col("count") >= COMMON)
-    top = counts.orderBy(F.desc("count"), "k").limit(MOST).toArrow()
-    keys, n = top["k"].to_numpy().astype(np.int64).view(np.uint64), top["count"].to_numpy()
-    order = np.argsort(keys)
-    rank = np.empty(len(keys), np.int64)
-    rank[np.lexsort((keys, n))] = np.arange(len(keys))
-    return keys[order], rank[order]
+    return tidy(lambda batches: (run(b.slice(lo, 256)) for b in batches for lo in range(0, b.num_rows, 256)))
 
 
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
     """(row, doc_id, same, fp, size, hist, keys); same is a digest of the set, fp its fingerprint, hist its shingles by class."""
-    common, rank = _common(rows, width)
     kind = rows.select("row", "doc_id", F.lit(b"").alias("same"), F.lit(0).cast("long").alias("fp"), F.lit(0).alias("size"), F.lit(b"").alias("hist"), F.array(F.lit(0).cast("long")).alias("keys")).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -107,7 +89,7 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
             fp.append(fingerprint(s))
             size.append(len(s))
             hist.append(np.minimum(np.bincount((s % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
-            keys.append(prefix(s, common, rank).view(np.int64))
+            keys.append(bands(s).view(np.int64))
         lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(hist, pa.binary()), lists], names=kind.names)
 
@@ -144,7 +126,7 @@ def _meet(members: DataFrame) -> DataFrame:
             while len(rest) > 1:
                 i, rest = rest[0], rest[1:]
                 differ = np.abs(hist[rest] - hist[i]).sum(1, dtype=np.int64)
-                may = (DEN + NUM) * differ <= (DEN - NUM) * (size[rest] + size[i])
+                may = _may(differ, size[rest] + size[i])
                 hit = rest[may & (label[rest] != label[i])] if across else rest[may]
                 a.append(np.minimum(row[hit], row[i]))
                 b.append(np.maximum(row[hit], row[i]))
@@ -155,7 +137,7 @@ def _meet(members: DataFrame) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return members.repartition("k").sortWithinPartitions("k", "row").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("k").sortWithinPartitions("k", "row").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _checked(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -173,16 +155,32 @@ def _checked(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 
     known = stored(rows.select("row", "text").join(asked, "row", "left_semi").mapInArrow(_batched(sets), "row long, set binary"), "sets")
     both = pairs.join(known.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(_batched(run), "a long, b long"), "similar")
+    found = stored(both.select("a", "b", "x", "y").mapInArrow(_batched(run), "a long, b long"), "similar")
+    discard(pairs, asked, known)
+    return found
 
 
 def _by_fingerprint(reps: DataFrame, radius: int) -> DataFrame:
-    """(a, b), a < b: links that connect all of ``reps`` (row, fp) whose fingerprints are within ``radius``; not yet checked."""
+    """(a, b), a < b: links between those of ``reps`` (row, fp, size, hist) whose fingerprints are within ``radius`` and that may be similar."""
     fps = stored(reps.groupBy("fp").agg(F.min("row").alias("root"), F.count("*").alias("rows")), "fingerprint-roots")
-    same = attached(stored(reps.select("row", "fp"), "fingerprints"), fps, ["fp"], "rows").filter("row <> root").select(F.col("root").alias("a"), F.col("row").alias("b"))
+    same = attached(reps.select("row", "fp"), fps, ["fp"], "rows").filter("row <> root").select(F.col("root").alias("a"), F.col("row").alias("b"))
     one = fps.select(F.col("fp").alias("a"), F.col("root").alias("x"))
     near = links(fps.select("fp"), radius).join(one, "a").join(one.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
-    return same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    pairs = same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    side = lambda a, n, h: reps.select(F.col("row").alias(a), F.col("size").alias(n), F.col("hist").alias(h))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = [batch.column(i).to_numpy().astype(np.int64) for i in (2, 3)]
+        h = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for i in (4, 5)]
+        return batch.select([0, 1]).filter(pa.array(_may(np.abs(h[0] - h[1]).sum(1, dtype=np.int64), n[0] + n[1])))
+
+    both = pairs.join(side("a", "n", "g"), "a").join(side("b", "m", "h"), "b").select("a", "b", "n", "m", "g", "h")
+    return both.mapInArrow(_batched(run), "a long, b long")
+
+
+def _may(differ: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets may be similar: they differ in ``differ`` shingles at least, and have ``sizes`` in all."""
+    return (DEN + NUM) * differ <= (DEN - NUM) * sizes
 
 
 def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -226,7 +224,7 @@ def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     # buckets are named by their rows: those of the same rows become one (and two of one name together lose no pair)
     members = stored(keyed.mapInArrow(shared, "k long, row long").distinct(), "shared")
     members = stored(members.join(found.select("row", "size", "hist"), "row").select("k", "row", "size", "hist"), "members")
-    near = _checked(_by_fingerprint(reps, RADIUS), rows, width).union(_checked(_meet(members), rows, width))
+    near = _checked(_by_fingerprint(stored(reps.select("row", "fp", "size", "hist"), "representatives"), RADIUS).union(_meet(members)).distinct(), rows, width)
     roots = stored(components(near), "first-roots")
     members = members.join(roots.withColumnRenamed("node", "row"), "row", "left").select("k", "row", "size", "hist", F.coalesce("root", "row").alias("label"))
     members = stored(members, "labelled")

@@ -2,7 +2,6 @@ import random
 import re
 
 import duckdb
-import pytest
 
 import corpus_pipeline
 from brindle.llm import near_copies
@@ -50,9 +49,7 @@ def planted():
     return [(i * 613 % 997, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("common", [8, 10**9])
-def test_planted_copies_match_brute_force(spark, tmp_path, monkeypatch, common):
-    monkeypatch.setattr(near_copies, "COMMON", common)
+def test_planted_copies_match_brute_force(spark, tmp_path):
     given = planted()
     spark.createDataFrame([(d, t, "x", "y", 1) for d, t in given], SCHEMA).repartition(3).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))

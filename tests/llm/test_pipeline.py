@@ -69,7 +69,14 @@ def test_tables_on_the_way_are_deleted(spark):
 
     from brindle.llm import scratch
 
-    before = len(scratch._WRITTEN)
-    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
-    left = scratch._WRITTEN[before:]
-    assert len(left) == 1 and [p for p in glob.glob(f"{scratch.folder(spark)}/*") if p not in scratch._WRITTEN] == []
+    before = set(glob.glob(f"{scratch.folder(spark)}/*"))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(glob.glob(f"{scratch.folder(spark)}/*")) - before
+    assert len(left) == 1 and left == {p for p in corpus_pipeline.STORED.paths if p in left} and out.count() > 0
+
+
+def test_a_stage_keeps_what_its_input_reads(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lazy = corpus_pipeline.exact_duplicates(spark, docs, "")
+    kept = corpus_pipeline.quality_rules(spark, lazy, "")
+    assert 0 < kept.count() < lazy.count()
