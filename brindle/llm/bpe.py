@@ -3,27 +3,32 @@
 A batch of texts is split into words by the tokenizer's pattern; each different word is encoded once. The
 symbols of all words lie in one flat array. A round looks up every adjacent pair by binary search over the
 sorted pair keys, takes the lowest rank in each word, and merges that pair wherever it stands in the word, from
-the left. Words with nothing left to merge leave the array.
+the left. Words with nothing left to merge leave the array. A word of very many bytes would keep the rounds going for
+itself alone, each over its whole length; such words are merged one by one, over a heap of their pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.arrow_text import tidy
 from brindle.llm.scratch import free_name
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Different words that a worker remembers, and the bytes of words that one run of rounds takes.
-REMEMBERED, ROUND_BYTES = 400_000, 1 << 21
+#: Different words that a worker remembers, the bytes of words that one run of rounds takes, and of a word that is merged alone.
+REMEMBERED, ROUND_BYTES, LONG = 120_000, 1 << 20, 4096
 _NONE = np.int64(1) << 40
 
 
@@ -63,16 +68,24 @@ class Bpe:
         self.lengths = np.array([len(b) for b in self.token_bytes], np.int64)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
-        self.known: dict[str, tuple[str, int, np.ndarray]] = {}
+        self.shown = [str(i) for i in range(size)]
+        self.pair: dict[int, int] = {}  # for long words only
+        self._forget()
+
+    def _forget(self) -> None:
+        """The ids of all words known are in one pool; ``index`` says where a word stands in ``starts_of`` and ``sizes_of``."""
+        self.index: dict[str, int] = {s: i for i, s in enumerate(self.special)}
+        self.pool = np.array(list(self.special.values()), np.int32)
+        self.starts_of, self.sizes_of = np.arange(len(self.special)), np.ones(len(self.special), np.int64)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
-    def merged(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each (non-empty) word."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words, start, size of each) for (non-empty) words."""
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         symbols = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         sizes = np.array([len(w) for w in words], np.int64)
         ids = np.arange(len(words))
@@ -86,9 +99,8 @@ class Bpe:
             lowest = np.minimum.reduceat(rank, head)
             over = lowest == _NONE
             if over.any():
-                for i, at, n in zip(ids[over].tolist(), head[over].tolist(), sizes[over].tolist(), strict=True):
-                    out[i] = symbols[at : at + n].copy()
                 stay = np.repeat(~over, sizes)
+                done.append((ids[over], sizes[over], symbols[~stay]))
                 symbols, rank = symbols[stay], rank[stay]
                 ids, sizes, lowest = ids[~over], sizes[~over], lowest[~over]
                 continue
@@ -111,27 +123,69 @@ class Bpe:
             new = moved[at]
             ends = np.zeros(len(symbols), bool)
             ends[tail] = True
-            touched = np.unique(np.r_[new, new[new > 0] - 1])
+            mark = np.zeros(len(symbols), bool)
+            mark[new] = True
+            mark[new[new > 0] - 1] = True
+            touched = np.flatnonzero(mark)
             inner = touched[~ends[touched]]
             rank[inner] = self._rank(symbols[inner], symbols[inner + 1])
             rank[touched[ends[touched]]] = _NONE
-        return out
+        which, count, flat = (np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64) for i in range(3))
+        start, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        start[which], size[which] = np.cumsum(count) - count, count
+        return flat, start, size
+
+    def merged_alone(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: the leftmost pair of lowest rank is merged until there is none."""
+        if not self.pair:
+            self.pair = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        symbols: list[int] = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
+        n = len(symbols)
+        after, before, size, rank_of = [*range(1, n), -1], list(range(-1, n - 1)), self.size, self.pair.get
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := rank_of(a * size + b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j < 0 or symbols[j] != b:
+                continue  # one of the two has been merged otherwise
+            symbols[i], symbols[j] = int(self.made_of_rank[r]), -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right >= 0 and (found := rank_of(symbols[left] * size + symbols[right])) is not None:
+                    heapq.heappush(heap, (found, left, symbols[left], symbols[right]))
+        return np.array([x for x in symbols if x >= 0], np.int64)
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        lo = 0
+        new = list(words.difference(self.index))
+        if len(self.index) + len(new) > REMEMBERED:
+            self._forget()
+            new = list(words.difference(self.index))
         raw = [w.encode() for w in new]
-        while lo < len(new):
+        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
+        flats, starts, sizes = [self.pool], np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        end, lo = len(self.pool), 0
+        while lo < len(short):
             hi, size = lo, 0
-            while hi < len(new) and (hi == lo or size + len(raw[hi]) <= ROUND_BYTES):
-                size += len(raw[hi])
+            while hi < len(short) and (hi == lo or size + len(raw[short[hi]]) <= ROUND_BYTES):
+                size += len(raw[short[hi]])
                 hi += 1
-            for w, ids in zip(new[lo:hi], self.merged(raw[lo:hi]), strict=True):
-                self.known[w] = ",".join(map(str, ids.tolist())), len(ids), ids.astype(np.int32)
-            lo = hi
+            at = short[lo:hi]
+            flat, start, count = self.merged([raw[i] for i in at])
+            starts[at], sizes[at] = start + end, count
+            flats.append(flat.astype(np.int32))
+            end, lo = end + len(flat), hi
+        for i in (i for i, r in enumerate(raw) if len(r) > LONG):
+            flat = self.merged_alone(raw[i])
+            starts[i], sizes[i] = end, len(flat)
+            flats.append(flat.astype(np.int32))
+            end += len(flat)
+        if new:
+            first = len(self.index)
+            self.index.update(zip(new, range(first, first + len(new)), strict=True))
+            self.pool, self.starts_of, self.sizes_of = np.concatenate(flats), np.r_[self.starts_of, starts], np.r_[self.sizes_of, sizes]
 
     def _words(self, text: str) -> list[str]:
         if self.cut is None:
@@ -141,23 +195,28 @@ class Bpe:
             out += [part] if part in self.special else self.split.findall(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
-        """(decimal ids joined by commas, ids) of each text; special tokens in a text are recognised."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of the texts in them); special tokens in a text are recognised."""
         split = [self._words(t) for t in texts]
-        self._learn({w for words in split for w in words} - self.special.keys())
-        known = self.known
-        for s, i in self.special.items():
-            known[s] = str(i), 1, np.array([i], np.int32)
-        out = []
-        for words in split:
-            got = [known[w] for w in words]
-            out.append((",".join([g[0] for g in got]), np.concatenate([g[2] for g in got]) if got else np.zeros(0, np.int32)))
-        return out
+        self._learn(set().union(*split))
+        at = np.array(list(map(self.index.__getitem__, chain.from_iterable(split))), np.int64)
+        sizes = self.sizes_of[at]
+        ends = np.r_[0, np.cumsum(sizes)]
+        ids = self.pool[np.repeat(self.starts_of[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.cumsum([0, *map(len, split)])]
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The text of each run of ids; bytes that are no UTF-8 become U+FFFD."""
         sizes = self.lengths[ids]
-        at = np.repeat(self.starts[ids] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(ids) else np.zeros(0, np.int64)
-        return self.flat[at].tobytes().decode("utf-8", errors="replace")
+        ends = np.r_[0, np.cumsum(sizes)]
+        raw = self.flat[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = ends[offsets].tolist()
+        return [raw[a:b].decode("utf-8", errors="replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def joined(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The decimal ids of each run, joined by commas."""
+        shown, cuts = list(map(self.shown.__getitem__, ids.tolist())), offsets.tolist()
+        return [",".join(shown[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -175,7 +234,8 @@ def encoded(df: DataFrame, path: str, text: str = "text", name: str = "bpe", wit
     """``df`` with a struct column: n_tokens, ids_sha256, decoded_sha256 and, if wanted, the ids.
 
     Null counts as an empty text, of no tokens. A text is read whole, however long. Repeated rows get the same
-    result. If ``df`` has a column called ``name``, underscores are put in front.
+    result. Columns of any name are carried along; if one is called ``name``, underscores are put in front. An empty
+    table gives an empty table.
     """
     name = free_name(df, name)
     spec = df.sparkSession.sparkContext.broadcast(load(path))
@@ -185,23 +245,38 @@ def encoded(df: DataFrame, path: str, text: str = "text", name: str = "bpe", wit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _parsed(spec.value)
-        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                got = bpe.encode(texts)
-                columns = {"n_tokens": pa.array([len(i) for _, i in got], pa.int64()), "ids_sha256": pa.array([digest(s) for s, _ in got], pa.string()), "decoded_sha256": pa.array([digest(bpe.decode(i)) for _, i in got], pa.string())}
-                if with_ids:
-                    columns["ids"] = pa.array([i for _, i in got], pa.list_(pa.int32()))
-                made = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
+        digests = lambda texts: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
+        try:
+            for batch in batches:
+                for lo, hi in _parts(batch.column(at)):
+                    part = batch.slice(lo, hi - lo)
+                    ids, offsets = bpe.encode([t or "" for t in part.column(at).to_pylist()])
+                    columns = {"n_tokens": pa.array(np.diff(offsets)), "ids_sha256": digests(bpe.joined(ids, offsets)), "decoded_sha256": digests(bpe.decode(ids, offsets))}
+                    if with_ids:
+                        columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                    made = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+                    yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
+        finally:
+            bpe._forget()  # an idle worker keeps the tokenizer, not the words
+
+    return df.mapInArrow(tidy(run), kind)
+
 
-    return df.mapInArrow(run, kind)
+def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about a megabyte of text; a longer text is a run of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + ROUND_BYTES, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """``df`` with the text of its token ids (null: an empty text); bytes that are no UTF-8 become U+FFFD."""
+    """``df`` with the text of its token ids (null: an empty text); bytes that are no UTF-8 become U+FFFD.
+
+    Columns of any name are carried along; if one is called ``name``, underscores are put in front.
+    """
     name = free_name(df, name)
     spec = df.sparkSession.sparkContext.broadcast(load(path))
     at = df.columns.index(ids)
@@ -209,7 +284,8 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _parsed(spec.value)
         for batch in batches:
-            texts = [bpe.decode(np.array(i or [], np.int64)) for i in batch.column(at).to_pylist()]
+            rows = [i or [] for i in batch.column(at).to_pylist()]
+            texts = bpe.decode(np.array([x for r in rows for x in r], np.int64), np.cumsum([0, *map(len, rows)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, df.withColumn(name, F.lit("")).schema)

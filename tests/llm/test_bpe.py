@@ -32,11 +32,29 @@ def test_encodes_and_decodes_like_the_library(theirs):
     bpe = _parsed(load(PATH))
     given = texts()
     want = [e.ids for e in theirs.encode_batch(given, add_special_tokens=False)]
-    got = bpe.encode(given)
-    for text, ids, (joined, mine) in zip(given, want, got, strict=True):
-        assert mine.tolist() == ids, text[:80]
+    flat, offsets = bpe.encode(given)
+    for i, (text, ids, joined, back) in enumerate(zip(given, want, bpe.joined(flat, offsets), bpe.decode(flat, offsets), strict=True)):
+        assert flat[offsets[i] : offsets[i + 1]].tolist() == ids, text[:80]
         assert joined == ",".join(map(str, ids))
-        assert bpe.decode(mine) == theirs.decode(ids, skip_special_tokens=False) == text
+        assert back == theirs.decode(ids, skip_special_tokens=False) == text
+
+
+def test_long_words_merged_alone(theirs):
+    bpe, rng = _parsed(load(PATH)), random.Random(6)
+    for word in ["aaaa", "ab" * 999, "".join(rng.choice("abcdeé日") for _ in range(5000)), "=" * 777, "the" * 1500, "z"]:
+        want = theirs.encode(word, add_special_tokens=False).ids
+        assert bpe.merged_alone(word.encode()).tolist() == want
+        flat, start, size = bpe.merged([word.encode(), b"x"])
+        assert flat[start[0] : start[0] + size[0]].tolist() == want
+
+
+def test_a_very_long_word_takes_no_rounds_of_its_own(theirs):
+    import time
+
+    word = "".join(random.Random(7).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    began = time.perf_counter()
+    ids, _ = _parsed(load(PATH)).encode([word])
+    assert time.perf_counter() - began < 30 and ids.tolist() == theirs.encode(word, add_special_tokens=False).ids
 
 
 def test_decodes_any_ids(theirs):
@@ -44,7 +62,7 @@ def test_decodes_any_ids(theirs):
     rng = random.Random(8)
     for _ in range(200):
         ids = [rng.randrange(50257) for _ in range(rng.randrange(12))]
-        assert bpe.decode(np.array(ids, np.int64)) == theirs.decode(ids, skip_special_tokens=False)
+        assert bpe.decode(np.array(ids, np.int64), np.array([0, len(ids)])) == [theirs.decode(ids, skip_special_tokens=False)]
 
 
 def test_small_memory_gives_the_same(theirs, monkeypatch):
@@ -57,7 +75,8 @@ def test_small_memory_gives_the_same(theirs, monkeypatch):
     mine = Bpe(json.loads(load(PATH)))
     given = texts()[:100]
     for _ in range(2):
-        assert [i.tolist() for _, i in mine.encode(given)] == [e.ids for e in theirs.encode_batch(given, add_special_tokens=False)]
+        ids, offsets = mine.encode(given)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [e.ids for e in theirs.encode_batch(given, add_special_tokens=False)]
 
 
 def test_operator_on_rows(spark, theirs):
@@ -73,3 +92,15 @@ def test_operator_on_rows(spark, theirs):
     back = decoded(out.select("text", "_bpe.ids"), PATH)
     assert all(r.decoded == (r.text or "") for r in back.collect())
     assert encoded(df.limit(0), PATH).count() == 0
+
+
+def test_query_on_table(spark, theirs):
+    import duckdb
+
+    from brindle.llm.queries import op9_bpe
+
+    rows = duckdb.sql("SELECT doc_id, coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY 1").fetchall()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    ids = [e.ids for e in theirs.encode_batch([t for _, t in rows], add_special_tokens=False)]
+    want = [(d, len(i), sha(",".join(map(str, i))), sha(theirs.decode(i, skip_special_tokens=False))) for (d, _), i in zip(rows, ids, strict=True)]
+    assert [tuple(r) for r in op9_bpe(spark, "/root/testdata/sf0.01").orderBy("doc_id").collect()] == want
