@@ -6,6 +6,7 @@ the next stage's documents. All stages but the last return the columns of ``docu
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,12 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, exact_dedup, mixing, near_copies, quality
-from brindle.llm.scratch import free_name, mark, stored_alone
+from brindle.llm.scratch import Owner, free_name, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
+#: The tables that stages store on the way; each stage first deletes those of the stages before it.
+STORED = Owner()
 
 
+def _stage(f: Stage) -> Stage:
+    """A stage whose ``docs`` are a table that was written: then nothing of the stage before is still needed."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with STORED.step(docs):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or repeat themselves too much go: null, empty and short texts among them.
 
@@ -28,6 +43,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+@_stage
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays, a null doc_id only where there is no other; a null text equals an empty one.
 
@@ -37,6 +53,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup.drop_exact(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with four fifths of their five-word shingles in common the smallest doc_id stays.
 
@@ -47,6 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_copies.drop_similar(docs)
 
 
+@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass over a document that the mix takes words from, in training order.
 
@@ -56,6 +74,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mixed(docs)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row, with digests of the ids and of the decoded text.
 
@@ -81,7 +100,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; each stage's result is stored, and what it stored on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    since = mark()
     for name, stage in STAGES[:-1]:
-        docs = stored_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name, since)
+        docs = stage(spark, docs, sf_dir)
+        with STORED.step():
+            docs = stored(docs, name)
     return STAGES[-1][1](spark, docs, sf_dir)
