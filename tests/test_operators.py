@@ -1,6 +1,7 @@
 """Operators on rows that tables of the test data don't hold: nulls, empty tables, ties, skew, names that clash."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from brindle.functions import entities as E
 from brindle.functions import rules as R
 from brindle.functions import text as X
+from brindle.operators import chunked as T
 from brindle.operators import content as K
 from brindle.operators import corpus as C
 from brindle.operators import dialogue as D
@@ -254,3 +256,58 @@ def test_small_operators_on_nulls_and_ties(spark):
     assert C.oversampled(df, F.col("label") == "x", 3).count() == 3 * 3 + 2
     for out in (C.first_per_key(df.limit(0), "key", "id"), C.class_weights(df.limit(0), "label"), C.connected(spark.createDataFrame([], "a long, b long")), M.per_label(df.limit(0), "key", "label")):
         assert out.count() == 0
+
+
+def _tfidf_joined(rows):
+    counts = S.term_counts(rows.select("doc_id", F.explode(X.ngrams(F.col("text"))).alias("term")), "doc_id", "term")
+    return S.tfidf_vectors(counts, S.tfidf_fit(counts))
+
+
+@pytest.fixture()
+def chunked_rows(spark):
+    """Odd texts in chunks of a few rows, so that every word and pair is in several."""
+    texts = ["aa bb cc dd", "aa bb", None, "", "x", "bb aa bb aa bb", "dd cc bb aa", "été aa bb", "aa_1 aa_1", "zz yy aa_1 aa_1"] * 3
+    rows = spark.createDataFrame([(i, t, "pq"[i % 2] if i % 7 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(8)
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return rows, lambda **marks: T.TfIdf(T.chunks(rows, "doc_id", words, **marks))
+
+
+def test_chunked_tfidf_is_the_joined_one(chunked_rows):
+    rows, model = chunked_rows
+    assert model().chunked.count() > 3
+    got = {(r.doc, r.term): r.w for r in model().vectors().collect()}
+    want = {(r.doc, r.term): r.w for r in _tfidf_joined(rows).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_chunked_logits_are_the_joined_ones(spark, chunked_rows):
+    rows, model = chunked_rows
+    bias = [("p", 0.5), ("q", 0.0), ("never", 1.0)]
+    v = _tfidf_joined(rows)
+    coef = v.join(rows.select(F.col("doc_id").alias("doc"), F.col("lang").alias("label")), "doc").groupBy("term", "label").agg(F.avg("w").alias("coef"))
+    want = S.linear_logits(rows.select(F.col("doc_id").alias("doc")), v, coef, spark.createDataFrame(bias, "label string, b double"))
+    got = model(label=F.col("lang"), labels=[name for name, _ in bias]).label_logits(bias)
+    assert {(r.doc, r.label): r.z for r in got.collect()} == pytest.approx({(r.doc, r.label): r.z for r in want.collect()})
+
+
+@pytest.mark.parametrize(("dense", "least"), [(1, 0.1), (2, 0.6), (1024, 0.1)])
+def test_chunked_best_cosine_is_that_of_all_pairs(chunked_rows, dense, least):
+    rows, model = chunked_rows
+    v = {}
+    for r in _tfidf_joined(rows).collect():
+        v.setdefault(r.doc, {})[r.term] = r.w
+    lang = {r.doc_id: r.lang for r in rows.collect()}
+    want = {}
+    for a in v:
+        if lang[a] == "p":
+            top = max(sum(w * v[b].get(t, 0.0) for t, w in v[a].items()) for b in v if lang[b] == "q")
+            want[a] = top if top >= least else -1
+    got = model(kind=F.col("lang")).best_cosine("p", "q", least, dense)
+    assert {r.doc: -1 if r.best is None else r.best for r in got.collect()} == pytest.approx(want)
+
+
+def test_stored_table_is_small_and_the_same(spark):
+    rows = spark.range(1000).withColumn("t", F.lit("x" * 100))
+    kept = C.stored(rows.repartition(2))
+    assert kept.dtypes == rows.dtypes and kept.count() == 1000
+    assert sum(os.path.getsize(f.removeprefix("file:")) for f in kept.inputFiles()) < 20_000
