@@ -17,6 +17,7 @@ from brindle.operators import corpus as C
 from brindle.operators import dialogue as D
 from brindle.operators import metrics as M
 from brindle.operators import scoring as S
+from brindle.operators import set_pairs as P
 from brindle.sources import host_files as H
 
 
@@ -311,3 +312,25 @@ def test_stored_table_is_small_and_the_same(spark):
     kept = C.stored(rows.repartition(2))
     assert kept.dtypes == rows.dtypes and kept.count() == 1000
     assert sum(os.path.getsize(f.removeprefix("file:")) for f in kept.inputFiles()) < 20_000
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_similar_pairs_are_all_pairs(spark, threshold):
+    rng = random.Random(1)
+    base = [[f"t{int(rng.paretovariate(0.5)) % 300}" for _ in range(rng.randint(1, 60))] for _ in range(40)]
+    sets = [sorted(set(rng.choice(base)) - {f"t{rng.randint(0, 9)}"} | {f"t{rng.randint(0, 40)}"}) for _ in range(300)] + [[], ["one"], ["one"]]
+    rows = spark.createDataFrame([(i, s, "pq"[i % 2] if i % 9 else None) for i, s in enumerate(sets)], "id long, tokens array<string>, g string")
+    for block in (None, "g"):
+        classes, members = P.classes_by_digest(rows, block)
+        first, want = {}, {}
+        for i, s in enumerate(sets):
+            if s:
+                first.setdefault((tuple(s), block and ("pq"[i % 2] if i % 9 else None)), i)
+        for (s, g), a in first.items():
+            for (t, h), b in first.items():
+                sim = len({*s} & {*t}) / len({*s} | {*t})
+                if a < b and g == h and (g is not None or not block) and sim >= threshold:
+                    want[a, b] = sim
+        found = P.similar_pairs(rows, classes, threshold, block).collect()
+        assert len(found) == len(want) > 20 and {(r.a, r.b): r.sim for r in found} == pytest.approx(want)
+        assert {r.id: r.rep for r in members.collect()} == {i: first[tuple(s), block and ("pq"[i % 2] if i % 9 else None)] for i, s in enumerate(sets) if s}
