@@ -18,6 +18,7 @@ from brindle.operators import dialogue as D
 from brindle.operators import metrics as M
 from brindle.operators import scoring as S
 from brindle.operators import set_pairs as P
+from brindle.operators import token_sort as Q
 from brindle.sources import host_files as H
 
 
@@ -195,6 +196,53 @@ def test_nearest_token_sort(spark):
     assert got == want and want
 
 
+def test_nearest_token_sort_by_blocks(spark, monkeypatch):
+    """Blocks of some texts only, words beyond one machine word, copies, ties: the same as all pairs."""
+    monkeypatch.setattr(Q, "TEXTS", 40)
+    monkeypatch.setattr(Q, "ASKED", 7)
+    rng = random.Random(11)
+    rows = []
+    for _ in range(25):
+        base = [rng.choice("abcdeé 𝄞") for _ in range(rng.choice([8, 61, 63, 64, 126, 200, 450]))]
+        for _ in range(20):
+            text = list(base)
+            for _ in range(rng.randrange(max(2, len(base) // 8))):
+                text[rng.randrange(len(text))] = rng.choice(["", "a", "b é", "𝄞"])
+            rows.append("".join(text))
+    rows = [(i, t) for i, t in enumerate(rows * 2)] + [(2000 + 20 * i, "turn the volume up now") for i in range(60)] + [(3301, "turn the volume up"), (3302, None), (3320, " ")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    found = S.nearest_token_sort(df.filter("id % 20 = 0"), df, "id", "text", 85.0)
+    got = sorted(tuple(r) for r in found.collect())
+    key = {i: " ".join(sorted((t or "").lower().split())) for i, t in rows}
+    first = {}
+    for i, k in sorted(key.items()):
+        if k:
+            first.setdefault(k, i)
+    want = []
+    for i, k in sorted(key.items()):
+        if i % 20 == 0 and k:
+            score, j = max((200 * S.common_length(k, o) / (len(k) + len(o)), -j) for o, j in first.items() if o != k)
+            if score >= 85:
+                want.append((i, -j, round(score, 6)))
+    assert got == want and len(want) > 70
+    block = Q.Block([1, 2, 3], ["abc", "abcd", "abce"])
+    assert block.best("abcd", 70.0) == (1, 600 / 7) and block.best("zzzz", 70.0) is None
+
+
+def test_band_loses_no_ratio():
+    rng = random.Random(12)
+    for size in (30, 63, 64, 130, 400):
+        base = "".join(rng.choice("abcdeé 𝄞") for _ in range(size))
+        some = {base[: (at := rng.randrange(size))] + "x" * rng.randrange(size // 5) + base[at + rng.randrange(size // 5) :] for _ in range(60)}
+        texts = sorted(some, key=len)
+        block = Q.Block(list(range(len(texts))), texts)
+        for text in [base, *texts[::10]]:
+            for least in (70.0, 85.0, 92.0):
+                scores = [(200.0 * S.common_length(text, t) / (len(text) + len(t)), -i) for i, t in enumerate(texts) if t != text]
+                top = max(scores)
+                assert block.best(text, least) == ((-top[1], top[0]) if top[0] >= least else None)
+
+
 def test_replay_equals_the_steps(spark):
     rng = random.Random(9)
     rows = []
