@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.scratch import stored
+from brindle.llm.scratch import gathered, stored
 
 
-def _smallest(pairs: DataFrame, key: str, value: str) -> DataFrame:
-    return stored(pairs.groupBy(key).agg(F.min(value).alias("m")), "smallest")
+def _smallest(pairs: DataFrame, key: str, value: str, rows: int) -> DataFrame:
+    return stored(gathered(pairs.groupBy(key).agg(F.min(value).alias("m")), rows), "smallest")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,13 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.select(F.col("big").alias("u"), F.col("small").alias("v")).union(edges.select("small", "big"))
-        near = _smallest(both, "u", "v").select("u", F.least("u", "m").alias("m"))
+        near = _smallest(both, "u", "v", 2 * state[0]).select("u", F.least("u", "m").alias("m"))
         large = both.join(near, "u").filter("v > u").select(F.col("v").alias("big"), F.col("m").alias("small"))
-        large = stored(large.distinct(), "large-star")
-        down = large.join(_smallest(large, "big", "small"), "big")
+        large = stored(gathered(large.distinct(), state[0]), "large-star")
+        down = large.join(_smallest(large, "big", "small", state[0]), "big")
         down = down.filter("small <> m").select(F.col("small").alias("big"), F.col("m").alias("small")).union(down.select("big", F.col("m").alias("small")))
-        edges = stored(down.distinct(), "small-star")
+        edges = stored(gathered(down.distinct(), state[0]), "small-star")
         before, state = state, _state(edges)
         if state == before:
             break
-    return edges.groupBy(F.col("big").alias("node")).agg(F.min("small").alias("root"))
+    return gathered(edges.groupBy(F.col("big").alias("node")).agg(F.min("small").alias("root")), state[0])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.arrow_text import tidy
 from brindle.llm.components import components
-from brindle.llm.scratch import attached, numbered, stored
+from brindle.llm.scratch import attached, gathered, numbered, stored
 
 SHINGLE, RADIUS, BITS, SEED = 4, 4, 64, 42
 #: Larger buckets are split by a second covering code over the bits that the first leaves out.
@@ -149,8 +149,9 @@ def _classes(df: DataFrame, doc_id: str, text: str, radius: int, width: int, num
     roots = stored(components(links(distinct.select("fp"), radius)), "roots")
     linked_fps = roots.select(F.col("node").alias("fp"), "root").union(roots.select("root", "root").distinct())
     members = stored(distinct.join(linked_fps, "fp"), "members")
-    firsts = stored(members.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
-    lookup = stored(members.select("fp", "root", "rows").join(firsts, "root"), "lookup")
+    count = members.count()
+    firsts = stored(gathered(members.groupBy("root").agg(F.min("first").alias("component_id")), count), "firsts")
+    lookup = stored(gathered(members.select("fp", "root", "rows").join(firsts, "root"), count), "lookup")
     alone = distinct.join(lookup, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"), "rows")
     return attached(rows, stored(lookup.select("fp", "root", "component_id", "rows").union(alone), "classes"), ["fp"], "rows")
 

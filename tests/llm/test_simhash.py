@@ -144,3 +144,21 @@ def test_stage_with_columns_of_any_name(spark):
     got = drop_near(df)
     assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [*rows[:4], rows[12]]
     assert drop_near(df.limit(0)).count() == 0
+
+
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    from brindle.llm import components as made
+
+    pairs = [(7 * i, 7 * i + j) for i in range(400) for j in (1, 2, 3)] + [(i, i + 1) for i in range(5000, 5040)]
+    tables, put = [], made.stored
+    monkeypatch.setattr(made, "stored", lambda df, name: tables.append((name, out := put(df, name))) or out)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {7 * i + j: 7 * i for i in range(400) for j in (1, 2, 3)} | {i: 5000 for i in range(5001, 5041)}
+    assert len(tables) > 4 and all(len(df.inputFiles()) <= 12 for name, df in tables if name != "edges")
