@@ -21,13 +21,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     """(node, root) for each node of ``edges`` (columns a, b) that isn't the smallest of its component; root is that.
 
-    Loops and repeated edges do no harm; no edges give no rows.
+    Loops and repeated edges do no harm; no edges give no rows. With ``nodes``, how many there may be, the edges too are
+    written in few files.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).distinct()
-    edges = stored(edges, "edges")
+    edges = stored(edges if nodes is None else gathered(edges, nodes), "edges")
     state = _state(edges)
     while state[0]:
         both = edges.select(F.col("big").alias("u"), F.col("small").alias("v")).union(edges.select("small", "big"))

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.scratch import attached, discard, numbered, stored
+from brindle.llm.scratch import attached, discard, gathered, numbered, stored
 
 BLOCK = 2048
 #: Stands for the missing right half of a pair; no name is so small.
@@ -35,11 +35,12 @@ def _sorted_names(keys: DataFrame, by: list[str]) -> DataFrame:
     return keys.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def _named_blocks(blocks: DataFrame) -> DataFrame:
-    """(row, i, n, doc_id, sha, name) of stored (row, i, n, doc_id, sha, h, block); h is any hash of block."""
+def _named_blocks(blocks: DataFrame, count: int) -> DataFrame:
+    """(row, i, n, doc_id, sha, name) of ``count`` stored (row, i, n, doc_id, sha, h, block); h is any hash of block."""
     distinct = blocks.groupBy("h", "block").agg(F.count("*").alias("rows"))
-    names = stored(_sorted_names(distinct, ["h", "block"]).select("h", "name", "rows"), "block-names")
-    hashes = stored(names.groupBy("h").agg(F.count("*").alias("blocks"), F.min("name").alias("name"), F.sum("rows").alias("rows")), "hashes")
+    names = stored(gathered(_sorted_names(distinct, ["h", "block"]).select("h", "name", "rows"), count), "block-names")
+    hashes = names.groupBy("h").agg(F.count("*").alias("blocks"), F.min("name").alias("name"), F.sum("rows").alias("rows"))
+    hashes = stored(gathered(hashes, count), "hashes")
     narrow = blocks.drop("block")
     sole = attached(narrow, hashes, ["h"], "rows")
     if hashes.filter("blocks > 1").isEmpty():
@@ -49,10 +50,10 @@ def _named_blocks(blocks: DataFrame) -> DataFrame:
     return sole.filter("blocks = 1").drop("h", "blocks").unionByName(attached(shared, names, ["h", "block"], "rows").drop("h", "block"))
 
 
-def _named_pairs(pairs: DataFrame) -> DataFrame:
-    """(row, i, n, doc_id, sha, name) of stored (row, i, n, doc_id, sha, left, right)."""
+def _named_pairs(pairs: DataFrame, count: int) -> DataFrame:
+    """(row, i, n, doc_id, sha, name) of ``count`` stored (row, i, n, doc_id, sha, left, right)."""
     distinct = pairs.groupBy("left", "right").agg(F.count("*").alias("rows"))
-    names = stored(_sorted_names(distinct, ["left", "right"]), "pair-names")
+    names = stored(gathered(_sorted_names(distinct, ["left", "right"]), count), "pair-names")
     return attached(pairs, names, ["left", "right"], "rows").drop("left", "right")
 
 
@@ -67,7 +68,8 @@ def identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
     part = F.substring("norm", F.col("i") * block + 1, F.lit(block))
     rows = rows.select("row", "i", "n", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("sha")).alias("sha"), part.alias("block"))
     blocks = stored(rows.withColumn("h", hashed("block")), "blocks")
-    level = stored(_named_blocks(blocks), "level-0")
+    total = count = blocks.count()
+    level = stored(gathered(_named_blocks(blocks, count), count), "level-0")
     discard(blocks)
     most = level.agg(F.max("n")).first()[0] or 1
     done, depth = [], 0
@@ -81,8 +83,10 @@ def identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
             F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.ceil(F.max("n") / 2).cast("int").alias("n"),
             F.max(F.when(even, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(_NONE)).alias("right"),
         )
-        level = stored(_named_pairs(stored(pairs, "pairs")), f"level-{depth}")
-    return stored(reduce(DataFrame.unionByName, done), "identities")
+        pairs = stored(gathered(pairs, count), "pairs")
+        count = pairs.count()
+        level = stored(gathered(_named_pairs(pairs, count), count), f"level-{depth}")
+    return stored(gathered(reduce(DataFrame.unionByName, done), total), "identities")
 
 
 def _judged(df: DataFrame, doc_id: str, text: str, block: int, number: str | None = None) -> DataFrame:
@@ -90,7 +94,8 @@ def _judged(df: DataFrame, doc_id: str, text: str, block: int, number: str | Non
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
     groups = ids.groupBy("level", "name").agg(F.count("*").alias("group_size"), head)
     groups = groups.select("level", "name", "group_size", F.col("head.doc_id").alias("keep_id"), F.col("head.row").alias("first"))
-    ids = attached(ids, stored(groups.withColumn("rows", F.col("group_size")), "groups"), ["level", "name"], "rows")
+    groups = gathered(groups.withColumn("rows", F.col("group_size")), ids.count())
+    ids = attached(ids, stored(groups, "groups"), ["level", "name"], "rows")
     return ids.select("row", "doc_id", "keep_id", "group_size", (F.col("first") == F.col("row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
@@ -113,5 +118,6 @@ def drop_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
     """
     rows, at = numbered(df)
     found = _judged(rows, doc_id, text, block, at)
-    gone = stored(found.filter(~F.col("kept")).select(F.col("row").alias(at)), "gone")
+    gone = found.filter(~F.col("kept")).select(F.col("row").alias(at))
+    gone = stored(gathered(gone, rows.count()), "gone")
     return rows.join(gone, at, "left_anti").drop(at)

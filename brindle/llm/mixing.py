@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.scratch import free_name, numbered, stored
+from brindle.llm.scratch import free_name, gathered, numbered, stored
 
 WEIGHTS = (5, 2, 1)
 #: For each weight, the knots (time, level): heavy sources fade out, light ones come in.
@@ -76,13 +76,14 @@ def mixture(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     rows = df.select((F.col(number) if number else F.monotonically_increasing_id()).alias("row"), F.col(doc_id).alias("doc_id"), key.alias("source_key"), words(F.col(text)).alias("size"))
     rows = rows.withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = stored(rows.withColumn("bucket", F.substring("place", 1, DIGITS)), "sizes")
-    buckets = stored(rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
+    count = rows.count()
+    buckets = stored(gathered(rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size")), count), "buckets")
     per_source = buckets.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size"))
     per_source = per_source.withColumn("source", F.when(F.col("source_key") != "", F.substring("source_key", 2, 1 << 30)))
     plan = stored(targets(per_source, weights, share, cap), "targets")
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("source_key", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start")).join(plan, "source_key")
-    rows = rows.join(stored(buckets, "bucket-starts"), ["source_key", "bucket"])
+    rows = rows.join(stored(gathered(buckets, count), "bucket-starts"), ["source_key", "bucket"])
     inside = Window.partitionBy("source_key", "bucket").orderBy("place", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     rows = rows.withColumns({"start": start, "limit": F.floor(F.col("target") + 0.5).cast("long")})
@@ -111,5 +112,5 @@ def mixed(df: DataFrame, **options) -> DataFrame:
     rows, at = numbered(df)
     spot = free_name(rows, "position")
     plan = mixture(rows, number=at, **options).select(F.col("row").alias(at), F.explode("positions").alias(spot))
-    rows = rows.join(stored(plan, "training-plan"), at)
+    rows = rows.join(stored(gathered(plan, rows.count()), "training-plan"), at)
     return rows.repartitionByRange(spot, at).sortWithinPartitions(spot, at).drop(at, spot)

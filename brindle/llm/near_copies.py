@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.arrow_text import tidy
 from brindle.llm.components import components
-from brindle.llm.scratch import attached, discard, numbered, stored
+from brindle.llm.scratch import attached, discard, gathered, numbered, stored
 from brindle.llm.simhash import RADIUS, links
 
 #: Words of a shingle, and the least similarity as NUM / DEN.
@@ -140,10 +140,10 @@ def _meet(members: DataFrame) -> DataFrame:
     return members.repartition("k").sortWithinPartitions("k", "row").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _checked(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """The pairs whose sets are similar."""
-    pairs = stored(pairs, "pairs")
-    asked = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "asked")
+def _checked(pairs: DataFrame, rows: DataFrame, width: int, count: int) -> DataFrame:
+    """The pairs whose sets are similar; ``count`` is how many ``rows`` there are."""
+    pairs = stored(gathered(pairs, count), "pairs")
+    asked = stored(gathered(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), count), "asked")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["row", "set"])
@@ -153,16 +153,19 @@ def _checked(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
         good = [similar(read(x), read(y)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         return batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    known = stored(rows.select("row", "text").join(asked, "row", "left_semi").mapInArrow(_batched(sets), "row long, set binary"), "sets")
+    known = rows.select("row", "text").join(asked, "row", "left_semi").mapInArrow(_batched(sets), "row long, set binary")
+    known = stored(gathered(known, asked.count()), "sets")
     both = pairs.join(known.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-    found = stored(both.select("a", "b", "x", "y").mapInArrow(_batched(run), "a long, b long"), "similar")
+    both = both.select("a", "b", "x", "y").mapInArrow(_batched(run), "a long, b long")
+    found = stored(gathered(both, pairs.count()), "similar")
     discard(pairs, asked, known)
     return found
 
 
-def _by_fingerprint(reps: DataFrame, radius: int) -> DataFrame:
-    """(a, b), a < b: links between those of ``reps`` (row, fp, size, hist) whose fingerprints are within ``radius`` and that may be similar."""
-    fps = stored(reps.groupBy("fp").agg(F.min("row").alias("root"), F.count("*").alias("rows")), "fingerprint-roots")
+def _by_fingerprint(reps: DataFrame, radius: int, count: int) -> DataFrame:
+    """(a, b), a < b: links between those of ``count`` ``reps`` (row, fp, size, hist) whose fingerprints are within ``radius`` and that may be similar."""
+    fps = reps.groupBy("fp").agg(F.min("row").alias("root"), F.count("*").alias("rows"))
+    fps = stored(gathered(fps, count), "fingerprint-roots")
     same = attached(reps.select("row", "fp"), fps, ["fp"], "rows").filter("row <> root").select(F.col("root").alias("a"), F.col("row").alias("b"))
     one = fps.select(F.col("fp").alias("a"), F.col("root").alias("x"))
     near = links(fps.select("fp"), radius).join(one, "a").join(one.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
@@ -196,7 +199,8 @@ def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     rows = copy.select(F.col(at).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = _sketches(rows, width)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    sets = stored(found.groupBy("same").agg(F.min("row").alias("rep"), best).drop("same"), "different-sets")
+    count = found.count()
+    sets = stored(gathered(found.groupBy("same").agg(F.min("row").alias("rep"), best).drop("same"), count), "different-sets")
     reps = found.join(sets.select(F.col("rep").alias("row")), "row", "left_semi")
     keyed = reps.select(F.explode("keys").alias("k"), "row").repartition("k").sortWithinPartitions("k", "row")
 
@@ -222,15 +226,19 @@ def drop_similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
             yield runs(*tail)
 
     # buckets are named by their rows: those of the same rows become one (and two of one name together lose no pair)
-    members = stored(keyed.mapInArrow(shared, "k long, row long").distinct(), "shared")
-    members = stored(members.join(found.select("row", "size", "hist"), "row").select("k", "row", "size", "hist"), "members")
-    near = _checked(_by_fingerprint(stored(reps.select("row", "fp", "size", "hist"), "representatives"), RADIUS).union(_meet(members)).distinct(), rows, width)
-    roots = stored(components(near), "first-roots")
+    members = stored(gathered(keyed.mapInArrow(shared, "k long, row long").distinct(), count), "shared")
+    held = members.count()
+    members = stored(gathered(members.join(found.select("row", "size", "hist"), "row").select("k", "row", "size", "hist"), held), "members")
+    reps = stored(gathered(reps.select("row", "fp", "size", "hist"), count), "representatives")
+    near = _checked(_by_fingerprint(reps, RADIUS, count).union(_meet(members)).distinct(), rows, width, count)
+    roots = stored(components(near, count), "first-roots")
     members = members.join(roots.withColumnRenamed("node", "row"), "row", "left").select("k", "row", "size", "hist", F.coalesce("root", "row").alias("label"))
-    members = stored(members, "labelled")
+    members = stored(gathered(members, held), "labelled")
     mixed = members.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("k")
-    near = near.union(_checked(_meet(members.join(stored(mixed, "mixed"), "k", "left_semi")), rows, width))
-    roots = stored(components(near), "roots")
+    mixed = stored(gathered(mixed, held), "mixed")
+    near = near.union(_checked(_meet(members.join(mixed, "k", "left_semi")), rows, width, count))
+    roots = stored(components(near, count), "roots")
     stay = sets.join(roots, F.col("rep") == F.col("node"), "left").groupBy(F.coalesce("root", "rep").alias("root")).agg(F.min("best").alias("best"))
-    gone = stored(found.select("row").join(stay.select(F.col("best.row").alias("row")), "row", "left_anti").select(F.col("row").alias(at)), "gone")
+    gone = found.select("row").join(stay.select(F.col("best.row").alias("row")), "row", "left_anti").select(F.col("row").alias(at))
+    gone = stored(gathered(gone, count), "gone")
     return copy.join(gone, at, "left_anti").drop(at)

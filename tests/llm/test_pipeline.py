@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -80,3 +81,27 @@ def test_a_stage_keeps_what_its_input_reads(spark):
     lazy = corpus_pipeline.exact_duplicates(spark, docs, "")
     kept = corpus_pipeline.quality_rules(spark, lazy, "")
     assert 0 < kept.count() < lazy.count()
+
+
+def test_stages_write_small_tables_in_few_files(spark, monkeypatch):
+    from brindle.llm import components, exact_dedup, mixing, near_copies
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(80)) for _ in range(150)]
+    rows = [(i, t + " end" * (i // 150 % 2), "en", "ab"[i % 2], 0) for i, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(4)
+    tables = []
+    for module in (exact_dedup, near_copies, mixing, components):
+        monkeypatch.setattr(module, "stored", lambda df, name, put=module.stored: tables.append((name, out := put(df, name), len(out.inputFiles()))) or out)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = exact_dedup.drop_exact(docs)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+        assert sorted(r.doc_id for r in near_copies.drop_similar(docs).collect()) == list(range(150))
+        assert {r.doc_id for r in mixing.mixed(docs).collect()} <= set(range(450))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(tables) > 20 and not [(name, files) for name, _, files in tables if files > 12]
